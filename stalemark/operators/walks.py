@@ -1,0 +1,66 @@
+"""The loops that run in Python workers: small, over sorted batches, with a few numbers of state."""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
+
+# Send these functions to the workers whole, so that executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+GONE = -1
+
+
+def walk_tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Tops born within each slice, and the sum and deepest point of its steps so far. Rows arrive sorted."""
+    group = None
+    even = odd = GONE
+    flipped, shift, deepest = False, 0, 0
+    for batch in batches:
+        columns = []
+        for place, inc, stick in zip(
+            zip(batch["key"], batch["attribute"], batch["slice"]), batch["inc"], batch["stick"]
+        ):
+            if place != group:
+                group, even, odd, flipped, shift, deepest = place, GONE, GONE, False, 0, 0
+            step = 1 if inc else -1
+            even, odd = (odd + step if odd >= 0 else GONE), (even + step if even >= 0 else GONE)
+            if stick:
+                even = max(even, 0)
+            flipped, shift = not flipped, shift + step
+            deepest = min(deepest, shift)
+            columns.append((even, odd, flipped, shift, deepest))
+        made = pd.DataFrame(columns, columns=["new_even", "new_odd", "flipped", "shift", "deepest"], index=batch.index)
+        for top in ("new_even", "new_odd"):
+            made[top] = made[top].astype("Int64").mask(made[top] < 0)
+        kept = batch[["key", "attribute", "slice", "hot", "start_ns", "end_ns", "lowest"]]
+        yield pd.concat([kept, made], axis=1)
+
+
+def carry_tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The tops each slice starts from, out of what the slices before it did. Rows arrive sorted, one per slice."""
+    item, even, odd = None, GONE, GONE
+    for batch in batches:
+        starts = []
+        for row in batch.itertuples(index=False):
+            if (row.key, row.attribute) != item:
+                item = (row.key, row.attribute)
+                even, odd = _number(row.from_even), _number(row.from_odd)
+            starts.append((row.key, row.attribute, row.slice, even, odd))
+            kept_even, kept_odd = (
+                top + int(row.shift) if top >= 0 and top + row.deepest >= 0 else GONE for top in (even, odd)
+            )
+            if row.flipped:
+                kept_even, kept_odd = kept_odd, kept_even
+            even, odd = max(kept_even, _number(row.new_even)), max(kept_odd, _number(row.new_odd))
+        made = pd.DataFrame(starts, columns=["key", "attribute", "slice", "from_even", "from_odd"])
+        for top in ("from_even", "from_odd"):
+            made[top] = made[top].astype("Int64").mask(made[top] < 0)
+        yield made
+
+
+def _number(top) -> int:
+    return GONE if pd.isna(top) else int(top)
