@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stalemark.functions.columns import floor_div, overlaps, power_of_two
+from stalemark.functions.columns import floor_div, holds_point, overlaps, power_of_two
 from stalemark.operators.scans import scan
 from stalemark.operators.slices import NO_SLICES, TimeSlices
 from stalemark.operators.states import cell_values
@@ -19,26 +19,43 @@ INTERVAL = (*ITEM, "start_ns", "end_ns")
 # ------------------------------------------------------------------------ pairs
 
 
-def point_join(
-    points: DataFrame, point: str, intervals: DataFrame, start: str, end: str, keys: Sequence[str], test: Column
-) -> DataFrame:
-    """Pairs of a point and an interval of the same key that satisfy ``test``, which must imply start <= point <= end.
+# Two intervals meet, besides the key, on a time bucket about as wide as one of them. An interval is rounded up to a
+# power of 4 and falls into at most two buckets of that width; a point looks into one bucket per width that occurs (a
+# few). So rows are compared only with rows near them, whatever mix of lengths there is and however many rows an item
+# has, and a hot item spreads over its buckets.
 
-    Besides the key, pairs meet on a time bucket about as wide as the interval itself: intervals are rounded up to a
-    power of 4, fall into at most two buckets of that width, and a point looks into one bucket per width that occurs (a
-    few). So only intervals near the point are compared, whatever mix of lengths there is and however many rows an item
-    has, and a hot item spreads over its buckets.
-    """
-    width = power_of_two(F.col("_level"))
-    length = (F.col(end) - F.col(start) + 1).cast("double")
-    bucketed = intervals.withColumn("_level", (F.ceil(F.log2(length) / 2) * 2).cast("int")).withColumn(
-        "_bucket", F.explode(F.sequence(floor_div(F.col(start), width), floor_div(F.col(end), width)))
+
+def _level(start: str, end: str) -> Column:
+    return (F.ceil(F.log2((F.col(end) - F.col(start) + 1).cast("double")) / 2) * 2).cast("int")
+
+
+def _levels(intervals: DataFrame, start: str, end: str) -> Column:
+    """The levels that occur, an array of at most 33 numbers, as a scalar subquery."""
+    return intervals.agg(F.collect_set(_level(start, end))).scalar()
+
+
+def _as_interval(role: str, start: str, end: str) -> Column:
+    width = power_of_two(_level(start, end))
+    buckets = F.sequence(floor_div(F.col(start), width), floor_div(F.col(end), width))
+    level = _level(start, end)
+    return F.transform(buckets, lambda b: F.struct(F.lit(role).alias("role"), level.alias("level"), b.alias("bucket")))
+
+
+def _as_point(role: str, point: str) -> Column:
+    at = F.col(point)
+    return F.transform(
+        "_levels",
+        lambda n: F.struct(F.lit(role).alias("role"), n.alias("level"), floor_div(at, power_of_two(n)).alias("bucket")),
     )
-    length = (intervals[end] - intervals[start] + 1).cast("double")
-    # At most 32 numbers.
-    levels = intervals.agg(F.collect_set((F.ceil(F.log2(length) / 2) * 2).cast("int"))).scalar()
-    probes = points.withColumn("_level", F.explode(levels)).withColumn("_bucket", floor_div(F.col(point), width))
-    return probes.join(bucketed, [*keys, "_level", "_bucket"]).where(test).drop("_level", "_bucket")
+
+
+def _placed(df: DataFrame, places: Column, levels: Column | None = None) -> DataFrame:
+    """One row per place; points look into the given ``levels``."""
+    ready = df if levels is None else df.withColumn("_levels", levels)
+    return ready.select(*df.columns, F.explode(places).alias("_place")).select(
+        *df.columns, F.col("_place.role").alias("_role"), F.col("_place.level").alias("_level"),
+        F.col("_place.bucket").alias("_bucket"),
+    )
 
 
 def overlap_join(
@@ -46,35 +63,40 @@ def overlap_join(
     right: DataFrame,
     closed: bool,
     keys: Sequence[str] = ITEM,
-    left_span: tuple[str, str] = ("start_ns", "end_ns"),
-    right_span: tuple[str, str] = ("start_ns", "end_ns"),
     prefix: str = "update_",
 ) -> DataFrame:
     """Pairs of left and right rows of the same key whose intervals overlap, each pair once.
 
     Right columns other than the keys get the prefix. Two intervals overlap exactly if the right one starts inside the
-    left one, or the left one starts strictly inside the right one: two point joins without a pair in common.
+    left one ("in_left") or the left one starts strictly inside the right one ("in_right"); never both.
     """
     right = right.select(*keys, *[F.col(c).alias(prefix + c) for c in right.columns if c not in keys])
-    l_start, l_end = left_span
-    r_start, r_end = (prefix + c for c in right_span)
+    l_start, l_end, r_start, r_end = "start_ns", "end_ns", f"{prefix}start_ns", f"{prefix}end_ns"
     if not closed:  # an empty half-open interval overlaps nothing
         left = left.where(F.col(l_start) < F.col(l_end))
         right = right.where(F.col(r_start) < F.col(r_end))
-    starts_in_left = F.col(r_start) >= F.col(l_start)
-    starts_in_left &= F.col(r_start) <= F.col(l_end) if closed else F.col(r_start) < F.col(l_end)
-    starts_in_right = F.col(l_start) > F.col(r_start)
-    starts_in_right &= F.col(l_start) <= F.col(r_end) if closed else F.col(l_start) < F.col(r_end)
-    first = point_join(right, r_start, left, l_start, l_end, keys, starts_in_left)
-    second = point_join(left, l_start, right, r_start, r_end, keys, starts_in_right)
-    columns = [*keys, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys]]
-    return first.select(columns).unionByName(second.select(columns))
+    in_left = F.col(r_start) >= F.col(l_start)
+    in_left &= F.col(r_start) <= F.col(l_end) if closed else F.col(r_start) < F.col(l_end)
+    in_right = F.col(l_start) > F.col(r_start)
+    in_right &= F.col(l_start) <= F.col(r_end) if closed else F.col(l_start) < F.col(r_end)
+
+    as_left = F.concat(_as_interval("in_left", l_start, l_end), _as_point("in_right", l_start))
+    as_right = F.concat(_as_point("in_left", r_start), _as_interval("in_right", r_start, r_end))
+    place = ["_role", "_level", "_bucket"]
+    pairs = _placed(left, as_left, _levels(right, r_start, r_end)).join(
+        _placed(right, as_right, _levels(left, l_start, l_end)), [*keys, *place]
+    )
+    met = ((F.col("_role") == "in_left") & in_left) | ((F.col("_role") == "in_right") & in_right)
+    return pairs.where(met).drop(*place)
 
 
 def contains_point(points: DataFrame, point: str, intervals: DataFrame, keys: Sequence[str] = ITEM) -> DataFrame:
-    """Pairs of a point and a closed interval of the same key that holds it."""
-    inside = F.col(point).between(F.col("start_ns"), F.col("end_ns"))
-    return point_join(points, point, intervals, "start_ns", "end_ns", keys, inside)
+    """Pairs of a point and a closed interval (``start_ns``, ``end_ns``) of the same key that holds it."""
+    levels = _levels(intervals, "start_ns", "end_ns")
+    pairs = _placed(points, _as_point("at", point), levels).join(
+        _placed(intervals, _as_interval("at", "start_ns", "end_ns")), [*keys, "_role", "_level", "_bucket"]
+    )
+    return pairs.where(holds_point(F.col("start_ns"), F.col("end_ns"), F.col(point))).drop("_role", "_level", "_bucket")
 
 
 # -------------------------------------------------------------------- existence

@@ -198,6 +198,12 @@ def set_cells(states: DataFrame) -> DataFrame:
     return states.withColumn("c", F.explode(cells)).select("*", "c.level", "c.cell").drop("c")
 
 
+def spread_level() -> Column:
+    """An upper bound on the level of any cell of a possible set; 0 for a single value."""
+    reach = F.greatest("top_even", "top_odd") - F.col("lowest")
+    return F.floor(F.log2((floor_div(reach, F.lit(2).cast("bigint")) + 1).cast("double"))).cast("int")
+
+
 def _run_cells(parity: int, top: Column) -> Column:
     """Aligned cells that together cover every second value from the lowest one of that parity up to ``top``."""
     lowest = F.col("lowest")
