@@ -190,10 +190,10 @@ def value_cells(states: DataFrame) -> DataFrame:
 
 def set_cells(states: DataFrame) -> DataFrame:
     """States of ``possible_set_states`` as cells, one row per cell."""
-    lowest = F.col("lowest")
-    single = F.coalesce("top_even", F.lit(-1)) + F.coalesce("top_odd", F.lit(-1)) == lowest - 1
-    cells = F.when(single, F.array(F.struct(F.lit(0).alias("level"), lowest.alias("cell")))).otherwise(
-        F.concat(_run_cells(0, F.col("top_even")), _run_cells(1, F.col("top_odd")))
+    single = "coalesce(top_even, -1L) + coalesce(top_odd, -1L) = lowest - 1"
+    cells = F.expr(
+        f"CASE WHEN {single} THEN array(struct(0 AS level, lowest AS cell)) "
+        f"ELSE concat({_run_cells(0, 'top_even')}, {_run_cells(1, 'top_odd')}) END"
     )
     return states.withColumn("c", F.explode(cells)).select("*", "c.level", "c.cell").drop("c")
 
@@ -204,27 +204,21 @@ def spread_level() -> Column:
     return F.floor(F.log2((floor_div(reach, F.lit(2).cast("bigint")) + 1).cast("double"))).cast("int")
 
 
-def _run_cells(parity: int, top: Column) -> Column:
-    """Aligned cells that together cover every second value from the lowest one of that parity up to ``top``."""
-    lowest = F.col("lowest")
-    bottom = lowest + F.when(lowest % 2 == parity, 0).otherwise(1)
-    two = F.lit(2).cast("bigint")
-    first = floor_div(bottom - parity, two)
-    stop = floor_div(top - parity, two) + 1
-
-    def at(level: Column) -> Column:
-        left = F.call_function("shiftright", first + power_of_two(level) - 1, level)
-        right = F.call_function("shiftright", stop, level)
-        odd_left = F.when((left < right) & (left % 2 == 1), left)
-        odd_right = F.when((left < right) & (right % 2 == 1), right - 1)
-        return F.transform(
-            F.array_compact(F.array(odd_left, odd_right)),
-            lambda i: F.struct(level.cast("int").alias("level"), (i * 2 + parity).alias("cell")),
-        )
+def _run_cells(parity: int, top: str) -> str:
+    """SQL for the aligned cells that cover every second value from the lowest one of that parity up to ``top``.
 
-    levels = F.sequence(F.lit(0), F.ceil(F.log2((stop - first + 1).cast("double"))).cast("int"))
-    empty = F.array().cast("array<struct<level:int,cell:bigint>>")
-    return F.when(stop > first, F.flatten(F.transform(levels, at))).otherwise(empty)
+    Values of one parity are numbered first .. stop-1. On each level at most the outermost block on the left and on the
+    right is not part of a larger aligned block inside the run; those blocks are the cells.
+    """
+    first = f"((lowest + IF(lowest % 2 = {parity}, 0, 1) - {parity}) div 2)"
+    stop = f"(({top} - {parity}) div 2 + 1)"
+    left = f"shiftright({first} + shiftleft(1L, n) - 1, n)"
+    right = f"shiftright({stop}, n)"
+    ends = f"array(IF({left} % 2 = 1, {left}, NULL), IF({right} % 2 = 1, {right} - 1, NULL))"
+    blocks = f"IF({left} < {right}, array_compact({ends}), array())"
+    levels = f"sequence(0, CAST(ceil(log2({stop} - {first} + 1)) AS INT))"
+    cells = f"transform({levels}, n -> transform({blocks}, i -> struct(n AS level, i * 2 + {parity} AS cell)))"
+    return f"IF({stop} > {first}, flatten({cells}), CAST(array() AS ARRAY<STRUCT<level: INT, cell: BIGINT>>))"
 
 
 def cell_of(value: Column, level: Column) -> Column:

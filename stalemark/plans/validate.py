@@ -15,6 +15,7 @@ from stalemark.functions.columns import starting_value
 from stalemark.operators import matching, states
 from stalemark.operators.slices import TimeSlices, measure_slices
 from stalemark.schemas import INITIAL, ITEM
+from stalemark.session import write_through
 
 INTERVAL = (*ITEM, "start_ns", "end_ns")
 SEMANTICS = ("possible_set", "running_value")
@@ -74,7 +75,10 @@ def _start(semantics: str, initial: Mapping[str, int]) -> Column:
 def update_states(updates: DataFrame, semantics: str, slices: TimeSlices, initial: Mapping[str, int]) -> DataFrame:
     """The states of an item after each distinct update interval, under either semantics."""
     make = states.running_value if _closed(semantics) else states.possible_set_states
-    return make(updates, slices, initial)
+    after = make(updates, slices, initial)
+    # The states are used twice or more below. Where there is enough data for hot items they are computed once, into the
+    # shared folder, which also spares a lost executor's successor the long lineage.
+    return write_through(after, "states") if slices else after
 
 
 def _probes(semantics: str) -> Column:
