@@ -10,13 +10,17 @@ from stalemark.schemas import LOG
 
 # File name patterns per kind, fields of a read and of an update line, and the op of a line without one.
 LOG_FILES = {"read": "read*", "update": "update*"}
-READ_FIELDS, UPDATE_FIELDS = 9, 10
+READ_FIELDS = 9
+UPDATE_FIELDS = 10
 NO_OP = "N"
 
 
 def scan_logs(spark: SparkSession, directory: str, kind: str) -> DataFrame:
-    """Lines (``value``) of all log files of one kind, with the ``file`` they come from. Many files are one scan."""
-    lines = spark.read.text(directory, pathGlobFilter=LOG_FILES[kind])
+    """Lines (``value``) of all logs of one kind, with the ``file`` they come from. Many files are one scan.
+
+    A log is a file, or a folder of part files, whose name matches the kind's pattern.
+    """
+    lines = spark.read.text(f"{directory.rstrip('/')}/{LOG_FILES[kind]}")
     return lines.select("value", F.col("_metadata.file_name").alias("file"))
 
 
