@@ -259,7 +259,7 @@ def interval_delete(spark, sf_dir):
 def _neighborhood(updates, semantics):
     closed = semantics == "running_value"
     slices = measure_slices([updates])
-    after = validate.update_states(updates, semantics, slices, INITIAL)
+    after = validate.kept_states(updates, semantics, slices, INITIAL)
     cells = states.value_cells(after) if closed else states.set_cells(after)
     return matching.neighborhood(after, cells, slices, closed).select(*INTERVAL, text("possible").alias("around"))
 

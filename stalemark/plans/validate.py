@@ -75,10 +75,15 @@ def _start(semantics: str, initial: Mapping[str, int]) -> Column:
 def update_states(updates: DataFrame, semantics: str, slices: TimeSlices, initial: Mapping[str, int]) -> DataFrame:
     """The states of an item after each distinct update interval, under either semantics."""
     make = states.running_value if _closed(semantics) else states.possible_set_states
-    after = make(updates, slices, initial)
-    # The states are used twice or more below. Where there is enough data for hot items they are computed once, into the
-    # shared folder, which also spares a lost executor's successor the long lineage.
-    return write_through(after, "states") if slices else after
+    return make(updates, slices, initial)
+
+
+def kept_states(updates: DataFrame, semantics: str, slices: TimeSlices, initial: Mapping[str, int]) -> DataFrame:
+    """The same, written to the shared folder and read back: for plans that use the states several times.
+
+    It spares repeated scans, and a lost executor's successor the long lineage.
+    """
+    return write_through(update_states(updates, semantics, slices, initial), "states")
 
 
 def _probes(semantics: str) -> Column:
@@ -117,7 +122,9 @@ def judge_spans(
     reads, updates, slices = _inputs(reads, updates, semantics, initial, slices)
     closed = _closed(semantics)
     distinct = reads.groupBy(*INTERVAL, F.col("value").cast("bigint").alias("value")).agg(F.count("*").alias("n_reads"))
-    after = update_states(updates, semantics, slices, initial)
+    # Used twice below: worth keeping where a state is more than one window away, or the data is large.
+    states_of = kept_states if slices or not closed else update_states
+    after = states_of(updates, semantics, slices, initial)
     if closed:
         cells = states.value_cells(after)
         placed = matching.anchor_running(distinct, after, slices).withColumn("top_level", F.lit(0))
@@ -187,7 +194,7 @@ def _values_of(
     distinct: DataFrame, updates: DataFrame, semantics: str, initial: Mapping[str, int], slices: TimeSlices, own: bool
 ) -> DataFrame:
     closed = _closed(semantics)
-    after = update_states(updates, semantics, slices, initial)
+    after = kept_states(updates, semantics, slices, initial)
     cells = states.value_cells(after) if closed else states.set_cells(after)
     placed = anchored(distinct, after, semantics, slices)
     if own:
@@ -200,6 +207,7 @@ def _values_of(
     asked = placed.select(*INTERVAL, sees_start.alias("sees_start"), F.explode(spans).alias("span")).select(
         *INTERVAL, "sees_start", F.col("span.from").alias("from"), F.col("span.to").alias("to")
     )
+    asked = write_through(asked, "spans")
     # Many reads share the span before them; its values are looked up once.
     wanted = asked.where("from is not null").select(
         *ITEM, F.col("from").alias("start_ns"), F.col("to").alias("end_ns")

@@ -57,22 +57,19 @@ def parse_logs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         "op": F.when(has_op, at(8)).otherwise(NO_OP),
         "action_type": last,
     }
-    numbers = ["seq_id", "thread_id", "key", "start_ns", "end_ns", "value"]
     missing = F.lit(False)
-    for name in numbers:
-        missing = missing | F.col(f"log.{name}").isNull()
+    for name in ("seq_id", "thread_id", "key", "start_ns", "end_ns", "value"):
+        missing = missing | columns[name].isNull()
     reason = (
         F.when(~F.size("f").isin(READ_FIELDS, UPDATE_FIELDS), "field_count")
         .when(missing, "bad_number")
-        .when(F.col("log.start_ns") > F.col("log.end_ns"), "start_after_end")
+        .when(columns["start_ns"] > columns["end_ns"], "start_after_end")
     )
-    parsed = (
-        lines.withColumn("f", field)
-        .withColumn("log", F.struct(*[c.alias(name) for name, c in columns.items()]))
-        .withColumn("reason", reason)
-    )
-    logs = parsed.where("reason is null").select(*[f"log.{name}" for name in LOG.names])
-    rejects = parsed.where("reason is not null").select(*lines.columns, "reason")
+    record = F.struct(*[c.alias(name) for name, c in columns.items()], reason.alias("reason"))
+    # Exploding the one record keeps the filters below it from being pushed under the split and repeating it per field.
+    parsed = lines.withColumn("f", field).select(*lines.columns, F.explode(F.array(record)).alias("log"))
+    logs = parsed.where("log.reason is null").select(*[f"log.{name}" for name in LOG.names])
+    rejects = parsed.where("log.reason is not null").select(*lines.columns, "log.reason")
     return logs, rejects
 
 
