@@ -25,12 +25,16 @@ INTERVAL = (*ITEM, "start_ns", "end_ns")
 # has, and a hot item spreads over its buckets.
 
 
+MAX_LEVEL = 62  # widths must fit a BIGINT; longer intervals take a few buckets more
+
+
 def _level(start: str, end: str) -> Column:
-    return (F.ceil(F.log2((F.col(end) - F.col(start) + 1).cast("double")) / 2) * 2).cast("int")
+    length = (F.col(end) - F.col(start) + 1).cast("double")
+    return F.least(F.ceil(F.log2(length) / 2) * 2, F.lit(MAX_LEVEL)).cast("int")
 
 
 def _levels(intervals: DataFrame, start: str, end: str) -> Column:
-    """The levels that occur, an array of at most 33 numbers, as a scalar subquery."""
+    """The levels that occur, an array of at most 32 numbers, as a scalar subquery."""
     return intervals.agg(F.collect_set(_level(start, end))).scalar()
 
 
