@@ -29,8 +29,8 @@ MAX_LEVEL = 62  # widths must fit a BIGINT; longer intervals take a few buckets
 
 
 def _level(start: str, end: str) -> Column:
-    length = (F.col(end) - F.col(start) + 1).cast("double")
-    return F.least(F.ceil(F.log2(length) / 2) * 2, F.lit(MAX_LEVEL)).cast("int")
+    length = F.try_add(F.try_subtract(F.col(end), F.col(start)), F.lit(1)).cast("double")
+    return F.coalesce(F.least(F.ceil(F.log2(length) / 2) * 2, F.lit(MAX_LEVEL)), F.lit(MAX_LEVEL)).cast("int")
 
 
 def _levels(intervals: DataFrame, start: str, end: str) -> Column:
