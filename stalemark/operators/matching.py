@@ -23,6 +23,10 @@ INTERVAL = (*ITEM, "start_ns", "end_ns")
 # power of 4 and falls into at most two buckets of that width; a point looks into one bucket per width that occurs (a
 # few). So rows are compared only with rows near them, whatever mix of lengths there is and however many rows an item
 # has, and a hot item spreads over its buckets.
+#
+# A very long interval has a very wide bucket, which may hold most points of its item. In hot items a bucket is therefore
+# divided by time slice as well: a point is in one slice, and an interval is copied to every slice it reaches into. Only
+# where an interval covers whole slices does that make more than two copies, and then it pairs with all that is in them.
 
 
 MAX_LEVEL = 62  # widths must fit a BIGINT; longer intervals take a few buckets more
@@ -53,13 +57,36 @@ def _as_point(role: str, point: str) -> Column:
     )
 
 
-def _placed(df: DataFrame, places: Column, levels: Column | None = None) -> DataFrame:
-    """One row per place; points look into the given ``levels``."""
+def _placed(
+    df: DataFrame,
+    places: Column,
+    span: tuple[str, str],
+    interval_role: str | None,
+    slices: TimeSlices,
+    keys: Sequence[str],
+    levels: Column | None = None,
+) -> DataFrame:
+    """One row per place, with the columns of ``PLACE``; points look into the given ``levels``.
+
+    In ``interval_role`` the row stands for its whole span, otherwise for the span's start.
+    """
     ready = df if levels is None else df.withColumn("_levels", levels)
-    return ready.select(*df.columns, F.explode(places).alias("_place")).select(
-        *df.columns, F.col("_place.role").alias("_role"), F.col("_place.level").alias("_level"),
+    slice_of = F.lit(0)
+    if slices:
+        ready = slices.assign(ready, F.col(span[0]), keys).withColumnRenamed("slice", "_first").drop("hot")
+        ready = slices.assign(ready, F.col(span[1]), keys).withColumnRenamed("slice", "_last").drop("hot")
+        last = F.when(F.col("_place.role") == interval_role, F.col("_last")).otherwise(F.col("_first"))
+        slice_of = F.explode(F.sequence("_first", last))
+    return ready.withColumn("_place", F.explode(places)).select(
+        *df.columns,
+        F.col("_place.role").alias("_role"),
+        F.col("_place.level").alias("_level"),
         F.col("_place.bucket").alias("_bucket"),
-    )
+        slice_of.alias("_slice"),
+    )
+
+
+PLACE = ["_role", "_level", "_bucket", "_slice"]
 
 
 def overlap_join(
@@ -68,6 +95,7 @@ def overlap_join(
     closed: bool,
     keys: Sequence[str] = ITEM,
     prefix: str = "update_",
+    slices: TimeSlices = NO_SLICES,
 ) -> DataFrame:
     """Pairs of left and right rows of the same key whose intervals overlap, each pair once.
 
@@ -86,21 +114,25 @@ def overlap_join(
 
     as_left = F.concat(_as_interval("in_left", l_start, l_end), _as_point("in_right", l_start))
     as_right = F.concat(_as_point("in_left", r_start), _as_interval("in_right", r_start, r_end))
-    place = ["_role", "_level", "_bucket"]
-    pairs = _placed(left, as_left, _levels(right, r_start, r_end)).join(
-        _placed(right, as_right, _levels(left, l_start, l_end)), [*keys, *place]
+    pairs = _placed(
+        left, as_left, (l_start, l_end), "in_left", slices, keys, _levels(right, r_start, r_end)
+    ).join(
+        _placed(right, as_right, (r_start, r_end), "in_right", slices, keys, _levels(left, l_start, l_end)),
+        [*keys, *PLACE],
     )
     met = ((F.col("_role") == "in_left") & in_left) | ((F.col("_role") == "in_right") & in_right)
-    return pairs.where(met).drop(*place)
+    return pairs.where(met).drop(*PLACE)
 
 
-def contains_point(points: DataFrame, point: str, intervals: DataFrame, keys: Sequence[str] = ITEM) -> DataFrame:
+def contains_point(
+    points: DataFrame, point: str, intervals: DataFrame, keys: Sequence[str] = ITEM, slices: TimeSlices = NO_SLICES
+) -> DataFrame:
     """Pairs of a point and a closed interval (``start_ns``, ``end_ns``) of the same key that holds it."""
-    levels = _levels(intervals, "start_ns", "end_ns")
-    pairs = _placed(points, _as_point("at", point), levels).join(
-        _placed(intervals, _as_interval("at", "start_ns", "end_ns")), [*keys, "_role", "_level", "_bucket"]
-    )
-    return pairs.where(holds_point(F.col("start_ns"), F.col("end_ns"), F.col(point))).drop("_role", "_level", "_bucket")
+    span = ("start_ns", "end_ns")
+    asked = _placed(points, _as_point("at", point), (point, point), None, slices, keys, _levels(intervals, *span))
+    stored = _placed(intervals, _as_interval("at", *span), span, "at", slices, keys)
+    held = holds_point(F.col("start_ns"), F.col("end_ns"), F.col(point))
+    return asked.join(stored, [*keys, *PLACE]).where(held).drop(*PLACE)
 
 
 # -------------------------------------------------------------------- existence
@@ -280,7 +312,7 @@ def values_at(spans: DataFrame, cells: DataFrame, slices: TimeSlices, closed: bo
     interval gave a value does not matter here, and where many updates run at once this removes most of them.
     """
     spans = spans.select(*INTERVAL).distinct()
-    pairs = overlap_join(spans, merge_runs(cells, slices), closed)
+    pairs = overlap_join(spans, merge_runs(cells, slices), closed, slices=slices)
     held = pairs.groupBy(*INTERVAL).agg(
         F.collect_set(F.struct(F.col("update_level").alias("level"), F.col("update_cell").alias("cell"))).alias("held")
     )

@@ -100,7 +100,7 @@ def measure_slices(
     quantiles = (
         times.join(F.broadcast(hot_items), list(keys))
         .groupBy(*keys)
-        .agg(F.percentile_approx("t", [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("cuts"))
+        .agg(F.percentile_approx("t", [i / parts for i in range(1, parts)], max(10_000, 4 * parts)).alias("cuts"))
         .collect()
     )
     wanted = {tuple(r[k] for k in keys): max(2, ceil(r.n / per_slice)) for r in hot}

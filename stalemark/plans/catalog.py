@@ -176,7 +176,8 @@ def contains_point(spark, sf_dir):
     reads, updates = both(spark, sf_dir)
     points = reads.select(*ITEM, F.col("start_ns").alias("at_ns"), F.col("seq_id").alias("read_id"))
     spans = updates.select(*INTERVAL, F.col("seq_id").alias("update_id"))
-    return matching.contains_point(points, "at_ns", spans).select("read_id", "update_id")
+    slices = measure_slices([reads, updates])
+    return matching.contains_point(points, "at_ns", spans, slices=slices).select("read_id", "update_id")
 
 
 @query
@@ -213,7 +214,7 @@ def _overlap(spark, sf_dir, closed):
     reads, updates = both(spark, sf_dir)
     left = reads.select(*INTERVAL, F.col("seq_id").alias("read_id"))
     right = updates.select(*INTERVAL, "seq_id", "op")
-    pairs = matching.overlap_join(left, right, closed)
+    pairs = matching.overlap_join(left, right, closed, slices=measure_slices([reads, updates]))
     return pairs.select("read_id", "update_seq_id", "update_start_ns", "update_end_ns", "update_op")
 
 

@@ -30,11 +30,11 @@ def test_overlap_join_and_any_overlap(spark, closed):
     left, right = intervals(1, 300), intervals(2, 200)
     l_df, r_df = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
     want = sorted((a[4], b[4]) for a in left for b in right if a[:2] == b[:2] and overlap(a, b, closed))
-    pairs = matching.overlap_join(l_df, r_df, closed).select("seq_id", "update_seq_id").collect()
-    assert sorted(map(tuple, pairs)) == want
     slices = measure_slices([l_df, r_df], rows_per_slice=20)
     assert slices
     for s in (NO_SLICES, slices):
+        pairs = matching.overlap_join(l_df, r_df, closed, slices=s).select("seq_id", "update_seq_id").collect()
+        assert sorted(map(tuple, pairs)) == want
         hit = matching.any_overlap(l_df, r_df, closed, s).select("seq_id").collect()
         assert sorted(r.seq_id for r in hit) == sorted({a for a, _ in want})
 
@@ -43,8 +43,10 @@ def test_contains_point(spark):
     points, spans = intervals(3, 200), intervals(4, 200)
     want = sorted((p[4], s[4]) for p in points for s in spans if p[:2] == s[:2] and s[2] <= p[2] <= s[3])
     p_df = spark.createDataFrame(points, SCHEMA).selectExpr("key", "attribute", "start_ns as at", "seq_id as point")
-    got = matching.contains_point(p_df, "at", spark.createDataFrame(spans, SCHEMA)).select("point", "seq_id").collect()
-    assert sorted(map(tuple, got)) == want
+    s_df = spark.createDataFrame(spans, SCHEMA)
+    for slices in (NO_SLICES, measure_slices([s_df], rows_per_slice=20)):
+        got = matching.contains_point(p_df, "at", s_df, slices=slices).select("point", "seq_id").collect()
+        assert sorted(map(tuple, got)) == want
 
 
 def test_overlap_of_extreme_lengths(spark):
