@@ -145,17 +145,21 @@ def mark_overlapped(
     closed: bool,
     keys: Sequence[str],
     span: tuple[str, str] = ("start_ns", "end_ns"),
+    witness: bool = False,
 ) -> DataFrame:
     """Probes with ``hit``: does any interval of the same key overlap the probe's ``span``?
 
     No pairs are made. Of the intervals that start before a probe ends, one overlaps it exactly if the one with the
-    greatest end does, and that is a running maximum in time order. ``keys`` must include the data item.
+    greatest end does, and that is a running maximum in time order. ``keys`` must include the data item. With
+    ``witness`` that interval is returned too, as ``found_start`` and ``found_end`` (null without a hit).
     """
     start, end = span
     event = {"_time": F.col("start_ns"), "_reach": F.col("end_ns"), "_probe": F.lit(False)}
+    if witness:  # where ends are equal, the later start
+        event["_reach"] = F.struct(F.col("end_ns").alias("end"), F.col("start_ns").alias("start"))
     marks = intervals.where(F.col("start_ns") < F.col("end_ns")) if not closed else intervals
     marks = marks.select(*keys, *[c.alias(name) for name, c in event.items()])
-    asks = probes.withColumns({"_time": F.col(end), "_reach": F.lit(None).cast("bigint"), "_probe": F.lit(True)})
+    asks = probes.withColumns({"_time": F.col(end), "_probe": F.lit(True)})
     timeline = slices.assign(asks.unionByName(marks, allowMissingColumns=True), F.col("_time"))
     # At equal times a closed probe comes after the starts, a half-open one ahead of them.
     tie = "_probe" if closed else "_asks_first"
@@ -163,8 +167,10 @@ def mark_overlapped(
     swept = scan(
         timeline, slices, order=["_time", tie], running={"_far": ("max", F.col("_reach"))}, keys=keys
     ).where("_probe")
-    reached = F.col("_far") >= F.col(start) if closed else (F.col("_far") > F.col(start)) & (F.col(start) < F.col(end))
-    return swept.withColumn("hit", F.coalesce(reached, F.lit(False))).select(*probes.columns, "hit")
+    far = F.col("_far.end") if witness else F.col("_far")
+    reached = far >= F.col(start) if closed else (far > F.col(start)) & (F.col(start) < F.col(end))
+    found = [F.when(F.col("hit"), F.col(f"_far.{c}")).alias(f"found_{c}") for c in ("start", "end")] if witness else []
+    return swept.withColumn("hit", F.coalesce(reached, F.lit(False))).select(*probes.columns, "hit", *found)
 
 
 def any_overlap(reads: DataFrame, intervals: DataFrame, closed: bool, slices: TimeSlices = NO_SLICES) -> DataFrame:
@@ -174,6 +180,13 @@ def any_overlap(reads: DataFrame, intervals: DataFrame, closed: bool, slices: Ti
     return reads.join(hits, list(INTERVAL), "left_semi")
 
 
+def search_overlap(reads: DataFrame, intervals: DataFrame, closed: bool, slices: TimeSlices = NO_SLICES) -> DataFrame:
+    """Per distinct read span one interval that overlaps it (the one that ends last), or null."""
+    spans = reads.select(*INTERVAL).distinct()
+    marked = mark_overlapped(spans, intervals.select(*INTERVAL), slices, closed, ITEM, witness=True)
+    return marked.drop("hit")
+
+
 # ----------------------------------------------------------------- exact lookup
 
 

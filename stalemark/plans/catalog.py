@@ -243,6 +243,12 @@ def any_overlap(spark, sf_dir):
     return matching.any_overlap(reads, updates, closed=True, slices=slices).select("seq_id", *INTERVAL)
 
 
+@query
+def search_overlap(spark, sf_dir):
+    reads, updates = both(spark, sf_dir)
+    return matching.search_overlap(reads, updates, closed=True, slices=measure_slices([reads, updates]))
+
+
 @query
 def interval_lookup(spark, sf_dir):
     reads, updates = both(spark, sf_dir)

@@ -307,6 +307,11 @@ ORACLES: dict[str, str] = {
     "any_overlap": _with(LOGS)
     + "SELECT seq_id, key, attribute, start_ns, end_ns FROM reads r WHERE EXISTS "
     f"(SELECT 1 FROM updates u WHERE u.key = r.key AND u.attribute = r.attribute AND {CLOSED})",
+    "search_overlap": _with(LOGS)
+    + "SELECT r.key, r.attribute, r.start_ns, r.end_ns, u.start_ns AS found_start, u.end_ns AS found_end "
+    f"FROM (SELECT DISTINCT {SPAN} FROM reads) r LEFT JOIN updates u ON u.key = r.key AND u.attribute = r.attribute AND {CLOSED} "
+    "QUALIFY row_number() OVER (PARTITION BY r.key, r.attribute, r.start_ns, r.end_ns "
+    "ORDER BY u.end_ns DESC, u.start_ns DESC) = 1",
     "interval_lookup": _with(LOGS, RUNNING)
     + f"SELECT {SPAN}, r.seq_id, s.value FROM reads r LEFT JOIN stored s USING ({SPAN})",
     "interval_delete": _with(LOGS, RUNNING)

@@ -316,6 +316,12 @@ def report_lines(report: DataFrame) -> DataFrame:
     return report.select(F.explode(F.array(*lines)).alias("l")).select("l.*")
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """The report as text at ``path``, one "figure: amount" per line; the previous one there is replaced."""
+    lines = report_lines(report).select(F.concat_ws(": ", "figure", F.coalesce("amount", F.lit("none"))))
+    lines.write.mode("overwrite").text(path)
+
+
 # ---------------------------------------------------------------------- by item
 
 

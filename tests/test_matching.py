@@ -35,6 +35,10 @@ def test_overlap_join_and_any_overlap(spark, closed):
     for s in (NO_SLICES, slices):
         pairs = matching.overlap_join(l_df, r_df, closed, slices=s).select("seq_id", "update_seq_id").collect()
         assert sorted(map(tuple, pairs)) == want
+        found = matching.search_overlap(l_df, r_df, closed, s).collect()
+        ends = {a[:4]: [(b[3], b[2]) for b in right if a[:2] == b[:2] and overlap(a, b, closed)] for a in left}
+        latest = {span: max(e, default=(None, None)) for span, e in ends.items()}
+        assert {tuple(r)[:4]: (r.found_end, r.found_start) for r in found} == latest
         hit = matching.any_overlap(l_df, r_df, closed, s).select("seq_id").collect()
         assert sorted(r.seq_id for r in hit) == sorted({a for a, _ in want})
 

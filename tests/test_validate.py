@@ -158,7 +158,7 @@ def test_result_does_not_depend_on_partitioning(spark, semantics):
     assert results[0] == results[1]
 
 
-def test_report(spark):
+def test_report(spark, tmp_path):
     updates = [(1, A, 10, 20, "I", 1), (1, A, 30, 40, "I", 2), (9, A, 10, 20, "I", 3)]
     reads = [(1, A, 22, 25, 11), (1, A, 22, 25, 7), (1, A, 22, 25, 7), (2, P, 1, 2, 0), (2, P, 1, 2, 5)]
     read_df, update_df = frames(spark, reads, updates)
@@ -183,6 +183,9 @@ def test_report(spark):
     assert empty.correct_fraction is None and empty.correct_percent is None
     lines = validate.report_lines(report(read_df, update_df)).orderBy("line").collect()
     assert (lines[0].figure, lines[0].amount) == ("total_reads", "5") and len(lines) == 9
+    validate.write_report(report(read_df, update_df), str(tmp_path / "report"))
+    written = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert "stale_reads: 3" in written and len(written) == 9
 
 
 def test_unknown_semantics(spark):
