@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stalemark.operators.scans import scan
 from stalemark.operators.slices import TimeSlices, measure_slices
-from stalemark.operators.social import CONFIRMED, PENDING, guard_ids
+from stalemark.operators.social import CONFIRMED, PENDING
 
 EDGE = ("owner", "other", "kind")
 # What each operation does, as (list's owner is, kind of list, entry is set or cleared). The entry is the
@@ -49,10 +49,10 @@ def _effects() -> Column:
 
 
 def accepted_ops(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Operations that run, and those refused for a negative id."""
-    unguarded = ops.where(~F.col("op").isin(*GUARDED))
-    ok, refused = guard_ids(ops.where(F.col("op").isin(*GUARDED)), ["inviter", "invitee"])
-    return ok.unionByName(unguarded), refused
+    """Operations that run, and those refused for a negative id with status ERROR."""
+    negative = F.coalesce((F.col("inviter") < 0) | (F.col("invitee") < 0), F.lit(False))
+    bad = F.col("op").isin(*GUARDED) & negative
+    return ops.where(~bad), ops.where(bad).withColumn("status", F.lit("ERROR"))
 
 
 def edge_facts(ops: DataFrame) -> DataFrame:
