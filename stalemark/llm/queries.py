@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stalemark.llm import mixing, packing
+from stalemark.llm import balltree, mixing, nearness, packing, repeats, sharding
 from stalemark.llm.frames import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,11 +20,34 @@ def query(make: Query) -> Query:
     return make
 
 
+@query
+def op1_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = balltree.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return balltree.top_inner_products(vectors, vectors.where(F.col("id") % 50 == 0))
+
+
 @query
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+@query
+def op3_b_bit_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearness.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op5_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return removed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op8_hypergeometric_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shuffle_into_shards(sharding.sized(documents(spark, sf_dir)), ["doc_id", "text_crc32"])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(documents(spark, sf_dir).select("doc_id", "text", "source"))
