@@ -25,7 +25,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 ITEMS_PER_CHUNK = 40_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 
 #: Letters of Latin-1, composed and with one lower case each, and a mark behind them.
 LATIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,])?")
