@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of documents (doc_id, text)."""
     signed = write_through(signatures(docs, length), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("high", "low").agg(F.min("doc_id").alias("least"))
+    # A table of its own, so that the joins below can split a class that holds many of the rows.
+    classes = write_through(full.groupBy("high", "low").agg(F.min("doc_id").alias("least")), "class-ids")
     firsts = full.join(classes, ["high", "low"]).where("doc_id = least").dropDuplicates(["doc_id", "high", "low"])
     firsts = write_through(firsts.select("doc_id", "high", "low", "bands", "signature"), "classes")
     clusters = candidate_clusters(firsts)

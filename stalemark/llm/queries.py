@@ -1,4 +1,4 @@
-"""The queries of this subpackage and the SQL that some of them are compared with."""
+"""The queries of this subpackage, each with the parameters of a real run, over whole tables."""
 
 from __future__ import annotations
 
@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stalemark.llm import balltree, mixing, nearness, packing, repeats, sharding
+from stalemark.llm import balltree, bytelang, chat, mixing, nearness, oracles, packing, phrases, quality, repeats, sharding
 from stalemark.llm.frames import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ball_tree_top_k": oracles.TOP_K,
+    "op3_b_bit_minhash_dedup": oracles.NEAR,
+    "op5_repeated_phrase_automata": oracles.REPEATS,
+    "op9_incremental_rendering": oracles.CHAT,
+}
 
 
 def query(make: Query) -> Query:
@@ -36,19 +41,49 @@ def op3_b_bit_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearness.near_duplicates(documents(spark, sf_dir))
 
 
+@query
+def op4_lempel_ziv_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprint_documents(documents(spark, sf_dir))
+
+
 @query
 def op5_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return removed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "n_chars").withColumn("held_out", bytelang.held_out())
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = quality.learn_quality(docs.where("NOT held_out"), labels, ["n_chars"])
+    return quality.score_documents(docs, model, ["n_chars"]).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op7_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    named = bytelang.label_documents(docs.select("doc_id", "text"), bytelang.learn_languages(docs))
+    return named.select("doc_id", bytelang.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_hypergeometric_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shuffle_into_shards(sharding.sized(documents(spark, sf_dir)), ["doc_id", "text_crc32"])
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op9_incremental_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = r"\### Assistant: </turn> ok"
+    row = F.struct(F.lit(-7).cast("long").alias("conv_id"), F.col("turn"), F.col("role"), F.lit(told).alias("text"))
+    pair = F.array(*(F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role")) for k, r in enumerate(("user", "assistant"))))
+    extra = spark.range(1).select(F.inline(pair)).select(row.alias("r")).select("r.*")
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.turn_spans(table.union(extra)))
+
+
 @query
 def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("source").alias("source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
