@@ -1,11 +1,46 @@
-"""The corpus pipeline: language ID, near-dedup, substring dedup, mixing, packing, each over all that the one before kept."""
+"""The corpus pipeline: language ID, near-dedup, substring dedup, mixing, packing.
+
+Each stage works on every row that the one before kept, and returns the columns of ``documents``; the last returns pieces.
+Each passes on rows in full, takes an empty table, and carries extra columns along.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from stalemark.llm import bytelang, mixing, nearness, packing, repeats
+from stalemark.llm.frames import documents, unwrapped, wrapped, write_through
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out documents in no language: without a text, without a letter in it, or if no language could be learned."""
+    row = wrapped(docs).select("_row", "_row.text")
+    return unwrapped(bytelang.label_documents(row, bytelang.learn_languages(docs)).where(F.col("lang_pred") != bytelang.NONE), {})
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that of the smallest doc_id; of rows equal in doc_id and text, one. Rows without
+    a doc_id stay.
+    """
+    found = nearness.near_duplicates(docs.select("doc_id", "text"))
+    stays = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_stays")).distinct()
+    row = F.col("_row")
+    keyed = wrapped(docs).select("_row", row["doc_id"].cast("long").alias("_id"), F.xxhash64(row["text"]).alias("_hash"))
+    kept = keyed.join(stays, F.col("_id") == F.col("_stays"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))
+    kept = kept.withColumn("_place", first).where("_place = 1").select("_row")
+    return unwrapped(kept.union(keyed.where("_id IS NULL").select("_row")), {})
+
 
-from stalemark.llm import mixing, packing
-from stalemark.llm.frames import documents, write_through
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand elsewhere too are cut out; a document goes if nothing is left of it. Others keep their text."""
+    row = F.col("_row")
+    plain = wrapped(docs).select(F.struct(*(row[c].alias(c) for c in docs.columns if c != "text")).alias("_row"), row["doc_id"].alias("doc_id"), row["text"].alias("text"))
+    removed = repeats.remove_repeats(plain).where("n_removed = 0 OR n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    made = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return unwrapped(removed, made).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +53,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("mixing sources to target weights", mix), ("best-fit packing", pack)]
+STAGES = [
+    ("language ID", language),
+    ("MinHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
+]
 
 #: Language ID, minima and tokens can't be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
