@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stalemark.session import write_through
+from stalemark import session
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+FILTER_BITS = 23
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -35,4 +37,27 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["WORD", "documents", "partitions", "text_of", "unwrapped", "wrapped", "write_through"]
+def write_through(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, read back from a table in the shared folder; the shuffle files that made it go at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return session.write_through(df, purpose)
+    finally:
+        conf.set(CLEANUP, before)
+
+
+def marked_by(df: DataFrame, keys: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Add ``name``: whether a row may have a partner in ``keys`` with the same ``columns``, which hold no nulls.
+
+    A bitmap of 2**``FILTER_BITS`` bits, whatever the size of ``keys``: at most 131,072 rows of 64 bits, so it may be
+    broadcast. Rows without a partner that share a bit with one are marked too; the fuller the bitmap, the more of them.
+    """
+    place = F.pmod(F.xxhash64(*columns), F.lit(1 << FILTER_BITS))
+    word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
+    bitmap = keys.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit"))
+    bitmap = bitmap.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    hit = F.col("_bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit)) != 0
+    found = df.join(F.broadcast(bitmap), word == F.col("_word"), "left")
+    return found.select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce(hit, F.lit(False)).alias(name))

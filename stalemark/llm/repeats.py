@@ -2,7 +2,7 @@
 
 1. In each window of ``PASSAGE`` words, the smallest hash of ``GRAM`` words in a row is its anchor. Equal windows have
    equal anchors, and neighbouring windows mostly share theirs, so a document becomes a few runs of windows, one for
-   about every 14 words: (anchor, hash of all words of the run).
+   about every 12 words: (anchor, hash of all words of the run).
 2. Runs that occur twice recur as a whole. Where runs of one anchor differ, the windows of one example of each are
    counted. No group is collected: counts are aggregated before the shuffle, and joined back.
 3. Documents meet the places found in them. A task takes them slice by slice, compiles the recurring passages of the
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stalemark.llm.frames import text_of, wrapped, write_through
+from stalemark.llm.frames import marked_by, text_of, wrapped, write_through
 from stalemark.llm.texts import Slice, constants, expand, mix, run_hashes, slices, word_hashes
 
-PASSAGE, GRAM = 35, 8
+PASSAGE, GRAM = 35, 12
 AUTOMATON_BYTES = 1 << 20
-RUNS = "id long, hash long, anchor long, seg long, first int, n int, again boolean"
+RUNS = "id long, crc int, anchor long, seg long, first int, n int, again boolean"
 
 
 def sliding(values: np.ndarray, width: int, better: np.ufunc) -> np.ndarray:
@@ -91,8 +91,8 @@ def window_runs(part: Slice, passage: int, gram: int) -> dict[str, np.ndarray]:
 
 
 def find_runs(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
-    """Runs of windows of each of ``texts`` (id, hash, text)."""
-    schema = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("anchor", pa.int64()), ("seg", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
+    """Runs of windows of each of ``texts`` (id, crc, text)."""
+    schema = pa.schema([("id", pa.int64()), ("crc", pa.int32()), ("anchor", pa.int64()), ("seg", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,27 +129,39 @@ def window_rows(examples: DataFrame, passage: int = PASSAGE) -> DataFrame:
 
 
 def recurring_places(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
-    """(id, hash, places): places (first window, windows) of each of ``texts`` (id, hash, text) that occur elsewhere too."""
+    """(id, crc, places): the runs (first window, windows, at) of each of ``texts`` (id, crc, text) that occur elsewhere
+    too; as a whole, or where ``at`` isn't null, in the windows it lists.
+
+    Tables that are joined back to what they were counted from are written first: such a join has its own shuffle, which
+    can split a key that holds many of the rows.
+    """
     runs = write_through(find_runs(texts, passage, gram), "runs")
-    segs = runs.groupBy("anchor", "seg").agg(
-        F.count("n").alias("times"), F.max("again").alias("again"), F.min(F.struct("id", "hash", "first", "n")).alias("example")
+    twice = runs.groupBy("anchor").agg(F.count("n").alias("times"), F.max("again").alias("again")).where("times > 1 OR again")
+    live = write_through(runs.join(write_through(twice.select("anchor"), "anchors"), "anchor"), "live-runs")
+    segs = live.groupBy("anchor", "seg").agg(
+        F.count("n").alias("times"), F.max("again").alias("again"), F.min(F.struct("id", "crc", "first", "n")).alias("example")
     )
-    segs = write_through(segs.withColumn("whole", F.col("times") > 1), "segs")
-    kinds = segs.groupBy("anchor").agg(F.count("seg").alias("kinds"))
-    unsure = segs.join(kinds.where("kinds > 1"), "anchor", "left").where("kinds IS NOT NULL OR (again AND NOT whole)")
+    segs = write_through(segs, "segs")
+    kinds = write_through(segs.groupBy("anchor").agg(F.count("seg").alias("kinds")).where("kinds > 1"), "kinds")
+    unsure = segs.join(kinds, "anchor", "left").where("kinds IS NOT NULL OR (again AND times = 1)")
     run = F.struct("anchor", "seg", "example.first", "example.n", F.least("times", F.lit(2)).cast("int").alias("weight"))
-    listed = unsure.groupBy(F.col("example.id").alias("id"), F.col("example.hash").alias("hash")).agg(F.collect_set(run).alias("runs"))
-    windows = write_through(window_rows(texts.join(listed, ["id", "hash"]), passage), "windows").distinct()
+    listed = unsure.groupBy(F.col("example.id").alias("id"), F.col("example.crc").alias("crc")).agg(F.collect_set(run).alias("runs"))
+    listed = write_through(listed, "examples")
+    some = marked_by(texts, listed, ["id", "crc"], "maybe").where("maybe").join(listed, ["id", "crc"]).dropDuplicates(["id", "crc"])
+    windows = write_through(window_rows(some, passage), "windows")
     again = windows.groupBy("anchor", "window").agg(F.sum("weight").alias("times")).where("times > 1").select("anchor", "window")
+    again = write_through(again, "recurring-windows")
     parts = windows.join(again, ["anchor", "window"]).groupBy("anchor", "seg").agg(F.collect_set("place").alias("at"))
-    marked = segs.where("times > 1").select("anchor", "seg", F.lit(None).cast("array<int>").alias("at"))
-    marked = marked.union(parts.join(segs.where("times = 1").select("anchor", "seg"), ["anchor", "seg"]).select("anchor", "seg", "at"))
-    places = runs.join(marked, ["anchor", "seg"]).select(
-        "id", "hash", F.explode(F.when(F.col("at").isNull(), F.array(F.struct("first", "n"))).otherwise(
-            F.transform("at", lambda p: F.struct((F.col("first") + p).alias("first"), F.lit(1).alias("n")))
-        )).alias("place"),
-    )
-    return places.groupBy("id", "hash").agg(F.collect_set("place").alias("places"))
+    whole = segs.where("times > 1").select("anchor", "seg", F.lit(None).cast("array<int>").alias("at"))
+    parts = parts.join(segs.where("times = 1").select("anchor", "seg"), ["anchor", "seg"]).select("anchor", "seg", "at")
+    marked = write_through(whole.union(parts), "recurring-runs")
+    found = live.join(marked, ["anchor", "seg"])
+    return found.groupBy("id", "crc").agg(F.collect_set(F.struct("first", "n", "at")).alias("places"))
+
+
+def windows_of(run: dict) -> list[tuple[int, int]]:
+    """The recurring windows of a run, as (first, how many)."""
+    return [(run["first"], run["n"])] if run["at"] is None else [(run["first"] + p, 1) for p in run["at"]]
 
 
 def covered(places: list[tuple[int, int]], passage: int) -> list[tuple[int, int]]:
@@ -189,10 +201,12 @@ def locate(docs: list[list[str]], places: list[list[tuple[int, int]]], passage:
 def remove_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
     """Add ``n_words``, ``n_removed`` and ``kept_text`` (the kept words, joined by one space) to documents (doc_id, text)."""
     row = F.col("_row")
-    keyed = wrapped(docs).select("_row", F.coalesce(row["doc_id"].cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(row["text"]).alias("hash"), text_of(row["text"]).alias("text"))
-    places = recurring_places(keyed.select("id", "hash", "text"), passage, gram)
+    keyed = wrapped(docs).select("_row", F.coalesce(row["doc_id"].cast("long"), F.lit(-(2**63))).alias("id"), (F.crc32(text_of(row["text"]).cast("binary")) - (1 << 31)).cast("int").alias("crc"), text_of(row["text"]).alias("text"))
+    places = write_through(recurring_places(keyed.select("id", "crc", "text"), passage, gram), "places")
     rest = F.struct(*(row[c].alias(c) for c in docs.columns if c != "text"))
-    joined = keyed.select(rest.alias("_rest"), "id", "hash", "text").join(places, ["id", "hash"], "left").select("_rest", "text", "places")
+    keyed = marked_by(keyed.select(rest.alias("_rest"), "id", "crc", "text"), places, ["id", "crc"], "maybe")
+    joined = keyed.where("maybe").join(places, ["id", "crc"], "left").select("_rest", "text", "places")
+    joined = joined.union(keyed.where("NOT maybe").select("_rest", "text", F.lit(None).alias("places")))
     schema = joined.select("_rest", F.lit("").alias("text"), F.lit(1).cast("long").alias("n_words"), F.lit(1).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +215,7 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) ->
                 own = batch.slice(part.first, part.n)
                 texts = [t or "" for t in own.column(1).to_pylist()]
                 words = [[w.decode() for w in t.encode().split()] for t in texts]
-                places = [[(p["first"], p["n"]) for p in x or ()] for x in own.column(2).to_pylist()]
+                places = [[w for p in x or () for w in windows_of(p)] for x in own.column(2).to_pylist()]
                 gone = locate(words, places, passage)
                 kept = [" ".join([w for w, g in zip(ws, gs.tolist(), strict=True) if not g]) if gs.any() else " ".join(ws) for ws, gs in zip(words, gone, strict=True)]
                 n_words, n_gone = [len(w) for w in words], [int(g.sum()) for g in gone]
