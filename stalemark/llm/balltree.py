@@ -47,7 +47,7 @@ class BallTree:
         self.centres, self.radii, self.children, self.rows, self.same = [], [], [], [], []
         if len(vectors):
             self._grow(np.arange(len(vectors)))
-        self.centres, self.radii = np.array(self.centres).reshape(-1, vectors.shape[1]), np.array(self.radii)
+        self.centres, self.radii = np.array(self.centres).reshape(len(self.centres), vectors.shape[1]), np.array(self.radii)
 
     def _grow(self, rows: np.ndarray) -> int:
         points = self.vectors[rows]
@@ -144,7 +144,8 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = K, rows_
     blocks = max(1, -(-asked // QUERIES_PER_BLOCK))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int"))
     dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asking = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    asking = queries.select(F.col("id").alias("id"), F.col("vector").alias("vector"))  # columns of their own beside those of ``vectors``
+    asking = asking.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 
     def hits(shard: DataFrame, query: DataFrame) -> DataFrame:
         pair = ("shard", "block")
