@@ -151,7 +151,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], epochs: int
 
 def _metadata(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
     """Logarithms of numeric columns."""
-    columns = [np.log1p(np.abs(pc.fill_null(batch.column(n).cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False))) for n in names]
+    columns = [np.log1p(np.abs(pc.fill_null(batch.column(n).cast(pa.float64(), safe=False), 0.0).to_numpy(zero_copy_only=False))) for n in names]
     return np.nan_to_num(np.stack(columns, axis=1)) if columns else np.zeros((len(batch), 0))
 
 
