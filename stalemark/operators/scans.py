@@ -58,15 +58,13 @@ def scan(
         carry = totals.select(
             *group, *[_BUILD[how](F.col(name)).over(earlier).alias(f"carry_{name}") for name, (how, _) in carried.items()]
         ).where("slice > 0")
-        # One row per hot item and slice, a bounded table; with a finer key it is not, and the join stays open.
-        bounded = set(keys) == set(ITEM)
-        local = local.join(F.broadcast(carry) if bounded else carry, group, "left")
+        local = local.join(carry, group, "left")  # one row per hot key and slice; Spark picks the join by its size
         local = local.withColumns(
             {name: _JOIN[how](F.col(name), F.col(f"carry_{name}")) for name, (how, _) in carried.items()}
         ).drop(*[f"carry_{name}" for name in carried])
     if whole:
         totals = hot_rows.groupBy(*keys).agg(*[_BUILD[how](col).alias(f"all_{name}") for name, (how, col) in whole.items()])
-        local = local.join(F.broadcast(totals), list(keys), "left")
+        local = local.join(totals, list(keys), "left")
         local = local.withColumns(
             {name: F.coalesce(F.col(f"all_{name}"), F.col(name)) for name in whole}
         ).drop(*[f"all_{name}" for name in whole])

@@ -2,8 +2,12 @@
 
 A scan in time order over one data item is a window, and a window runs a whole item in one task. Items with more rows
 than a task should take are cut into time slices; a scan then runs per slice and adds what the earlier slices
-contribute (see ``scans``). The cut points are measured once, by aggregation, and kept as plain numbers, so every branch
-of a plan and every retried task slices alike. All others keep slice 0 and cost nothing extra.
+contribute (see ``scans``). All others keep slice 0.
+
+The cuts are a table with one row per hot item, made by aggregation, written once and joined by item, so every branch of
+a plan and every retried task slices alike, and nothing about the items passes through the driver. An item gets as many
+slices as its rows ask for: up to ``FAN`` by the first table; each of those is cut again by a second table if it still
+holds more rows than a slice should.
 
 Slices only decide where the work runs. Results do not depend on them.
 """
@@ -12,61 +16,74 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stalemark.schemas import ITEM
+from stalemark.session import write_through
 
 ROWS_PER_SLICE = 2_000_000
-# Bounds on the driver and on the broadcast table of cuts. They bound the table, not the data: with more hot items
-# than this, those left whole hold less than 1/MAX_HOT_ITEMS of all rows each.
-MAX_HOT_ITEMS = 1024
-MAX_CUTS = 4096
-CUTS_PER_BLOCK = 64
+FAN = 1024
+CUTS_PER_BLOCK = 32
 
 
 @dataclass(frozen=True)
 class TimeSlices:
-    """Cut points per hot item: ``((item values), (cut, cut, ...))`` in rising order."""
+    """Cuts of hot items: ``coarse`` per item, ``fine`` per item and coarse slice; None where there is nothing to cut.
+
+    Both hold rising cuts in blocks of ``CUTS_PER_BLOCK``, and the first cut of each block.
+    """
 
-    cuts: tuple[tuple[tuple, tuple[int, ...]], ...] = ()
+    coarse: DataFrame | None = None
+    fine: DataFrame | None = None
 
     def __bool__(self) -> bool:
-        return bool(self.cuts)
+        return self.coarse is not None
 
     def assign(self, df: DataFrame, time: Column, keys: Sequence[str] = ITEM) -> DataFrame:
-        """Add ``slice`` (number of cuts at or before ``time``) and ``hot`` (has cuts at all)."""
-        if not self.cuts:
+        """Add ``slice`` (it never falls as ``time`` rises) and ``hot`` (has cuts at all)."""
+        if self.coarse is None:
             return df.withColumns({"slice": F.lit(0), "hot": F.lit(False)})
-        table = F.broadcast(self._table(df.sparkSession, df.schema, keys))
-        # Two short searches instead of one long one: first the block of cuts, then the place in it.
-        earlier_blocks = F.size(F.filter("cut_heads", lambda c: c <= time))
-        in_block = F.size(F.filter(F.element_at("cut_blocks", earlier_blocks), lambda c: c <= time))
-        place = F.when(earlier_blocks > 0, (earlier_blocks - 1) * CUTS_PER_BLOCK + in_block).otherwise(0)
-        return (
-            df.join(table, list(keys), "left")
-            .withColumn("hot", F.col("cut_heads").isNotNull())
-            .withColumn("slice", F.when(F.col("hot"), place).otherwise(0))
-            .drop("cut_heads", "cut_blocks")
-        )
-
-    def _table(self, spark: SparkSession, source: T.StructType, keys: Sequence[str]) -> DataFrame:
-        longs = T.ArrayType(T.LongType())
-        fields = [T.StructField(k, source[k].dataType) for k in keys]
-        fields += [T.StructField("cut_heads", longs), T.StructField("cut_blocks", T.ArrayType(longs))]
-        rows = []
-        for item, cuts in self.cuts:
-            blocks = [list(cuts[i : i + CUTS_PER_BLOCK]) for i in range(0, len(cuts), CUTS_PER_BLOCK)]
-            rows.append((*item, [b[0] for b in blocks], blocks))
-        return spark.createDataFrame(rows, T.StructType(fields))
+        found = _placed(df, self.coarse, time, [*keys]).withColumn("hot", F.col("_place").isNotNull())
+        found = found.withColumn("slice", F.coalesce("_place", F.lit(0))).drop("_place")
+        if self.fine is None:
+            return found
+        found = _placed(found, self.fine, time, [*keys, "slice"])
+        return found.withColumn("slice", F.col("slice") * FAN + F.coalesce("_place", F.lit(0))).drop("_place")
 
 
 NO_SLICES = TimeSlices()
 
 
+def _placed(df: DataFrame, cuts: DataFrame, time: Column, keys: Sequence[str]) -> DataFrame:
+    """Add ``_place``, the number of the key's cuts at or before ``time``; null if the key has none."""
+    # Two short searches instead of one long one: first the block of cuts, then the place in it.
+    blocks = F.size(F.filter("_heads", lambda c: c <= time))
+    inside = F.size(F.filter(F.element_at("_blocks", blocks), lambda c: c <= time))
+    place = F.when(F.col("_heads").isNull(), None).when(blocks > 0, (blocks - 1) * CUTS_PER_BLOCK + inside).otherwise(0)
+    return df.join(cuts, list(keys), "left").withColumn("_place", place).drop("_heads", "_blocks")
+
+
+def _cut(times: DataFrame, keys: Sequence[str], rows_per_slice: int) -> DataFrame:
+    """Cuts of ``times`` (keys, t, n_rows) that split each key's ``n_rows`` about evenly, up to ``FAN`` ways."""
+    marks = times.groupBy(*keys).agg(
+        F.max("n_rows").alias("n_rows"), F.percentile_approx("t", [i / FAN for i in range(1, FAN)], 16 * FAN).alias("_all")
+    )
+    wanted = F.least(F.lit(FAN), F.greatest(F.lit(2), F.ceil(F.col("n_rows") / rows_per_slice))).cast("int")
+    picked = F.transform(
+        F.sequence(F.lit(1), wanted - 1),
+        lambda i: F.element_at("_all", F.greatest(F.lit(1), F.round(i * FAN / wanted).cast("int")).cast("int")),
+    )
+    marks = marks.withColumn("_cuts", F.array_sort(F.array_distinct(picked)))
+    starts = F.sequence(F.lit(1), F.size("_cuts"), F.lit(CUTS_PER_BLOCK))
+    return marks.select(
+        *keys,
+        F.transform(starts, lambda i: F.element_at("_cuts", i)).alias("_heads"),
+        F.transform(starts, lambda i: F.slice("_cuts", i, CUTS_PER_BLOCK)).alias("_blocks"),
+    )
+
+
 def measure_slices(
     frames: Sequence[DataFrame],
     time: str = "start_ns",
@@ -75,39 +92,20 @@ def measure_slices(
 ) -> TimeSlices:
     """Find the hot items of the frames and cut points that split their rows about evenly.
 
-    One counting job; a second one only if there are hot items, over their rows alone. What reaches the driver is
-    bounded by MAX_HOT_ITEMS and MAX_CUTS.
+    One counting job over the key columns; others only if there are hot items, over their rows alone.
     """
     times = frames[0].select(*keys, F.col(time).alias("t"))
     for frame in frames[1:]:
         times = times.unionByName(frame.select(*keys, F.col(time).alias("t")))
-    hot = (
-        times.groupBy(*keys)
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > rows_per_slice)
-        .orderBy(F.desc("n"), *keys)
-        .limit(MAX_HOT_ITEMS)
-        .collect()
-    )
-    if not hot:
+    counted = times.groupBy(*keys).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > rows_per_slice)
+    most = counted.agg(F.max("n_rows")).first()[0]
+    if most is None:
         return NO_SLICES
-    room = MAX_CUTS - len(hot)
-    per_slice = max(rows_per_slice, ceil(sum(r.n for r in hot) / room))
-    parts = max(2, ceil(hot[0].n / per_slice))
-    hot_items = times.sparkSession.createDataFrame(
-        [tuple(r[k] for k in keys) for r in hot], T.StructType([times.schema[k] for k in keys])
-    )
-    quantiles = (
-        times.join(F.broadcast(hot_items), list(keys))
-        .groupBy(*keys)
-        .agg(F.percentile_approx("t", [i / parts for i in range(1, parts)], max(10_000, 4 * parts)).alias("cuts"))
-        .collect()
-    )
-    wanted = {tuple(r[k] for k in keys): max(2, ceil(r.n / per_slice)) for r in hot}
-    cuts = []
-    for row in quantiles:
-        item = tuple(row[k] for k in keys)
-        step = parts / wanted[item]
-        picked = {row.cuts[min(len(row.cuts), max(1, round(i * step))) - 1] for i in range(1, wanted[item])}
-        cuts.append((item, tuple(sorted(picked))))
-    return TimeSlices(tuple(sorted(cuts, key=str)))
+    hot = write_through(counted, "hot-items")
+    coarse = write_through(_cut(times.join(hot, list(keys)), keys, rows_per_slice), "cuts")
+    if most <= FAN * rows_per_slice:
+        return TimeSlices(coarse)
+    placed = _placed(times.join(hot.select(*keys), list(keys)), coarse, F.col("t"), keys).withColumnRenamed("_place", "slice")
+    inner = [*keys, "slice"]
+    full = placed.groupBy(*inner).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > rows_per_slice)
+    return TimeSlices(coarse, write_through(_cut(placed.join(write_through(full, "full-slices"), inner), inner, rows_per_slice), "cuts"))

@@ -151,7 +151,7 @@ def _mixed_states(rows: DataFrame, slices: TimeSlices, initial: Mapping[str, int
             .sortWithinPartitions(*ITEM, "slice")
             .mapInPandas(carry_tops, "key bigint, attribute string, slice int, from_even bigint, from_odd bigint")
         )
-        walked = walked.join(F.broadcast(carry), [*ITEM, "slice"], "left")
+        walked = walked.join(carry, [*ITEM, "slice"], "left")
         cold = ~F.col("hot")
         from_even = F.when(cold, even_start).otherwise(F.col("from_even"))
         from_odd = F.when(cold, odd_start).otherwise(F.col("from_odd"))

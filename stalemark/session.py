@@ -33,14 +33,38 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="stalemark-")
 
 
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the cluster's shared folder; below a local one only where none is configured, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    """A fresh path below the cluster's shared folder: ``spark.checkpoint.dir``, or the folder of ``setCheckpointDir``.
+
+    Where neither is set, a local session (as in tests) gets a temporary folder. On a cluster that is an error, because
+    every executor would write to a disk of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def write_through(df: DataFrame, purpose: str) -> DataFrame:
-    """The same rows, read back from a table written to the shared folder."""
+    """The same rows, read back from a table written to the shared folder; ``remove_written`` removes such tables."""
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_tables() -> list[str]:
+    """The paths of the tables that this driver has written and not removed."""
+    return list(_written)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Remove those tables. Results that were read from them can't be computed again afterwards."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -68,7 +68,7 @@ def test_slices_split_a_hot_item_evenly(spark):
     cold = spark.range(500).select((F.col("id") + 100).alias("key"), F.lit("PENDFRND").alias("attribute"), F.col("id").alias("start_ns"))
     df = hot.unionByName(cold)
     slices = measure_slices([df], rows_per_slice=100)
-    assert [item for item, _ in slices.cuts] == [(7, "ACCEPTFRND")]
+    assert [(r.key, r.attribute) for r in slices.coarse.collect()] == [(7, "ACCEPTFRND")] and slices.fine is None
     counts = slices.assign(df, F.col("start_ns")).groupBy("key", "hot", "slice").count().collect()
     assert all(r.slice == 0 and not r.hot for r in counts if r.key != 7)
     sizes = [r["count"] for r in counts if r.key == 7]
@@ -76,3 +76,32 @@ def test_slices_split_a_hot_item_evenly(spark):
     # Slices rise with time.
     ordered = slices.assign(hot, F.col("start_ns")).orderBy("start_ns").select("slice").collect()
     assert [r.slice for r in ordered] == sorted(r.slice for r in ordered)
+
+
+def test_every_hot_item_is_cut_however_many_there_are(spark):
+    df = spark.range(1500 * 40).selectExpr("id % 1500 as key", "'PENDFRND' as attribute", "id as start_ns")
+    slices = measure_slices([df], rows_per_slice=10)
+    sizes = slices.assign(df, F.col("start_ns")).groupBy("key", "slice").count()
+    assert sizes.count() >= 1500 * 4 and sizes.agg(F.max("count")).first()[0] <= 20
+
+
+def test_slices_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr("stalemark.operators.slices.FAN", 8)
+    df = spark.range(4000).selectExpr("id % 2 as key", "'PENDFRND' as attribute", "id * id as start_ns")
+    slices = measure_slices([df], rows_per_slice=20)
+    assert slices.fine is not None
+    placed = slices.assign(df, F.col("start_ns"))
+    sizes = placed.groupBy("key", "slice").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2000 / 64 * 2
+    ordered = placed.where("key = 0").orderBy("start_ns").select("slice").collect()
+    assert [r.slice for r in ordered] == sorted(r.slice for r in ordered)
+
+
+def test_states_do_not_depend_on_slices_cut_again(spark, monkeypatch):
+    monkeypatch.setattr("stalemark.operators.slices.FAN", 4)
+    rows = updates_with_many_mixed(9)
+    df = spark.createDataFrame(rows, SCHEMA)
+    slices = measure_slices([df], rows_per_slice=5)
+    assert slices.fine is not None
+    for make in (states.running_value, states.possible_set_states):
+        assert sorted(make(df, slices).collect()) == sorted(make(df, NO_SLICES).collect())
