@@ -12,6 +12,7 @@ from stalemark.operators.slices import TimeSlices, measure_slices
 from stalemark.operators.social import CONFIRMED, PENDING
 
 EDGE = ("owner", "other", "kind")
+LONGEST = 100_000
 # What each operation does, as (list's owner is, kind of list, entry is set or cleared). The entry is the
 # other of the two.
 EFFECTS = {
@@ -49,10 +50,14 @@ def _effects() -> Column:
 
 
 def accepted_ops(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Operations that run, and those refused for a negative id with status ERROR."""
+    """Operations that run, and those refused: status ERROR for a negative id, SELF for a pair of one user, UNKNOWN for an
+    operation there is not.
+    """
     negative = F.coalesce((F.col("inviter") < 0) | (F.col("invitee") < 0), F.lit(False))
-    bad = F.col("op").isin(*GUARDED) & negative
-    return ops.where(~bad), ops.where(bad).withColumn("status", F.lit("ERROR"))
+    known = F.coalesce(F.col("op").isin(*EFFECTS), F.lit(False))
+    status = F.when(~known, "UNKNOWN").when(F.col("op").isin(*GUARDED) & negative, "ERROR")
+    status = status.when(F.col("inviter") == F.col("invitee"), "SELF")
+    return ops.where(status.isNull()), ops.withColumn("status", status).where(F.col("status").isNotNull())
 
 
 def edge_facts(ops: DataFrame) -> DataFrame:
@@ -95,38 +100,56 @@ def count_friendship_ops(edges: DataFrame, ops: DataFrame, slices: TimeSlices |
     return ended.select(*EDGE, (F.col("end") - F.least(F.lit(0), F.col("dip"))).alias("n")).where("n > 0")
 
 
-def friend_lists(edges: DataFrame, longest: int = 100_000) -> DataFrame:
-    """Edges as arrays: ``ConfFriends`` and ``PendFriends`` per owner, rising.
+def friend_lists(edges: DataFrame, longest: int = LONGEST, slices: TimeSlices | None = None) -> DataFrame:
+    """Edges as arrays: ``ConfFriends`` and ``PendFriends`` per owner and ``part``, rising.
 
-    An owner with more than ``longest`` entries gets several rows, told apart by ``part``, so that no array and no task
-    has to hold an unbounded list.
+    Part 0 holds the first ``longest`` entries of either list, part 1 the next, and so on, whatever the length.
     """
-    return chunked_lists(
+    return ordered_lists(
         edges,
         ["owner"],
+        ["kind"],
+        ["other"],
         longest,
-        spread=["other", "kind"],
-        lists={
+        {
             "ConfFriends": F.when(F.col("kind") == CONFIRMED, F.col("other")),
             "PendFriends": F.when(F.col("kind") == PENDING, F.col("other")),
         },
+        slices,
     )
 
 
-def chunked_lists(
-    df: DataFrame, keys: Sequence[str], longest: int, spread: Sequence[str], lists: dict[str, Column]
+def ordered_lists(
+    df: DataFrame,
+    keys: Sequence[str],
+    kinds: Sequence[str],
+    order: Sequence[str],
+    longest: int,
+    lists: dict[str, Column],
+    slices: TimeSlices | None = None,
 ) -> DataFrame:
-    """Sorted lists per key in parts of about ``longest`` rows; ``spread`` columns tell the rows of a key apart."""
-    long_keys = df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > longest)
-    parts = long_keys.select(*keys, F.ceil(F.col("n_rows") / longest).alias("n_parts"))
-    placed = df.join(parts, list(keys), "left").withColumn(
-        "part", F.when(F.col("n_parts") > 1, F.pmod(F.xxhash64(*spread), F.col("n_parts"))).otherwise(0).cast("int")
+    """Sorted lists per key, cut after every ``longest`` rows of a kind in ``order``; ``part`` counts the cuts.
+
+    Positions come from a scan, which slices long lists by the first column of ``order``, so no task holds one whole.
+    """
+    group = [*keys, *kinds]
+    if slices is None:
+        slices = measure_slices([df], time=order[0], keys=group)
+    ranked = scan(
+        slices.assign(df, F.col(order[0]), group),
+        slices,
+        order=order,
+        running={"_position": ("sum", F.lit(1).cast("bigint"))},
+        keys=group,
     )
+    placed = ranked.withColumn("part", F.floor((F.col("_position") - 1) / longest).cast("int"))
     return placed.groupBy(*keys, "part").agg(
         *[F.array_sort(F.collect_list(column)).alias(name) for name, column in lists.items()]
     )
 
 
-def group_by_item(logs: DataFrame, keys: Sequence[str], entry: Sequence[str], longest: int = 100_000) -> DataFrame:
-    """All log entries of an item together, as a sorted list of structs, in parts of about ``longest``."""
-    return chunked_lists(logs, keys, longest, spread=entry, lists={"entries": F.struct(*entry)})
+def group_by_item(
+    rows: DataFrame, keys: Sequence[str], entry: Sequence[str], longest: int = LONGEST, slices: TimeSlices | None = None
+) -> DataFrame:
+    """All log entries of an item as sorted lists of structs; ``part`` 0 holds the first ``longest``, and so on."""
+    return ordered_lists(rows, keys, [], entry, longest, {"entries": F.struct(*entry)}, slices)

@@ -284,13 +284,14 @@ def anchor_possible(
 
     The latest end strictly before the read counts, with all updates that share it. They all overlap what the longest of
     them overlaps, so the span from the earliest of their starts to that end stands for all. Ends up to 1 do not count:
-    the search for earlier updates begins at time 1.
+    the search for earlier updates begins at time 1. Such updates have no mark, but ``whole`` covers them.
     """
-    marks = states.where("end_ns > 1").select(
+    mark = F.struct("end_ns", (-F.col("start_ns")).alias("minus_start"))
+    marks = states.select(
         *ITEM,
         F.col("end_ns").alias("_time"),
         F.lit(1).alias("_tie"),
-        F.struct("end_ns", (-F.col("start_ns")).alias("minus_start")).alias("_mark"),
+        F.when(F.col("end_ns") > 1, mark).alias("_mark"),
         *extra,
     )
     swept = _sweep(reads, marks, slices, probe_tie=0, whole=whole or {})
@@ -349,11 +350,6 @@ def merge_runs(cells: DataFrame, slices: TimeSlices) -> DataFrame:
     )
 
 
-def neighborhood(anchors: DataFrame, cells: DataFrame, slices: TimeSlices, closed: bool) -> DataFrame:
-    """For each anchor interval, the values of every update that overlaps it."""
-    return values_at(anchors, cells, slices, closed)
-
-
 def overlapping(a: str, b: str, closed: bool) -> Column:
     """Do the intervals ``a_start_ns..a_end_ns`` and ``b_start_ns..b_end_ns`` of a row overlap?"""
     return overlaps(F.col(f"{a}start_ns"), F.col(f"{a}end_ns"), F.col(f"{b}start_ns"), F.col(f"{b}end_ns"), closed)

@@ -30,6 +30,19 @@ def guard_ids(requests: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, D
     return requests.where(~bad), requests.where(bad).withColumn("status", F.lit("ERROR"))
 
 
+REFUSED_BY = {
+    "list_friends": ["requester", "owner"],
+    "view_friend_requests": ["owner"],
+    "friend_ids": ["member"],
+    "delete_comments": ["creatorid", "rid"],
+}
+
+
+def refused(operation: str, requests: DataFrame) -> DataFrame:
+    """The requests that an operation of this module leaves out for a negative id, with status ERROR."""
+    return guard_ids(requests, REFUSED_BY[operation])[1]
+
+
 def edges_of(users: DataFrame) -> DataFrame:
     """Edges out of the friend arrays of users."""
     lists = F.array(
@@ -55,8 +68,8 @@ def select_fields(users: DataFrame, fields: Sequence[str] | None = None, with_th
 
 
 def friend_ids(requests: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
-    """One row per requested ``member`` and id on its list of that kind; negative members are refused."""
-    ok, _ = guard_ids(requests, ["member"])
+    """One row per requested ``member`` and id on its list of that kind; negative members are refused (``refused``)."""
+    ok, _ = guard_ids(requests, REFUSED_BY["friend_ids"])
     listed = edges.where(F.col("kind") == kind).select(F.col("owner").alias("member"), F.col("other").alias("friend"))
     return ok.join(listed, "member")
 
@@ -80,7 +93,7 @@ def list_friends(
     with_thumbnail: bool = False,
 ) -> DataFrame:
     """For each request (requester, owner), the profile rows of the owner's confirmed friends."""
-    ok, _ = guard_ids(requests.select("requester", "owner"), ["requester", "owner"])
+    ok, _ = guard_ids(requests.select("requester", "owner"), REFUSED_BY["list_friends"])
     return _profiles_on_list(ok, users, edges, CONFIRMED, fields, with_thumbnail)
 
 
@@ -88,7 +101,7 @@ def view_friend_requests(
     requests: DataFrame, users: DataFrame, edges: DataFrame, with_thumbnail: bool = False
 ) -> DataFrame:
     """For each requested owner, the profile rows of those who wait for an answer."""
-    ok, _ = guard_ids(requests.select("owner"), ["owner"])
+    ok, _ = guard_ids(requests.select("owner"), REFUSED_BY["view_friend_requests"])
     return _profiles_on_list(ok, users, edges, PENDING, None, with_thumbnail)
 
 
@@ -137,16 +150,21 @@ def top_k_resources(requests: DataFrame, resources: DataFrame, k: int | str) ->
     """
     most = k if isinstance(k, int) else (requests.agg(F.max(k)).first()[0] or 0)
     newest = Window.partitionBy("walluserid").orderBy(F.desc("rid"))
-    top = resources.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most)
+    walls = requests.select(F.col("owner").alias("walluserid")).distinct()
+    asked_for = resources.join(walls, "walluserid", "left_semi")
+    top = asked_for.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most)
     asked = requests.withColumnRenamed("owner", "walluserid")
     found = asked.join(top, "walluserid")
     return found if isinstance(k, int) else found.where(F.col("place") <= F.col(k))
 
 
 def resources_of_user(requests: DataFrame, resources: DataFrame, by: str = "creatorid") -> DataFrame:
-    """For each requested owner, the resources it created (or, by ``walluserid``, has on its wall), newest first."""
+    """For each requested owner, the resources it created (or, by ``walluserid``, has on its wall).
+
+    The rows of an owner are together in one partition, newest first; partitions have no order among each other.
+    """
     found = requests.select("owner").join(resources.withColumn("owner", F.col(by)), "owner")
-    return found.orderBy("owner", F.desc("rid"))
+    return found.repartition("owner").sortWithinPartitions("owner", F.desc("rid"))
 
 
 def comments_on_resource(resource_ids: DataFrame, manipulations: DataFrame) -> DataFrame:
@@ -170,7 +188,7 @@ def post_comments(manipulations: DataFrame, new: DataFrame) -> DataFrame:
 
 def delete_comments(manipulations: DataFrame, deletes: DataFrame) -> DataFrame:
     """Manipulations without those named by (mid, rid, creatorid); deletes with negative ids are refused."""
-    ok, _ = guard_ids(deletes, ["creatorid", "rid"])
+    ok, _ = guard_ids(deletes, REFUSED_BY["delete_comments"])
     return manipulations.join(ok.select("mid", "rid", "creatorid"), ["mid", "rid", "creatorid"], "left_anti")
 
 

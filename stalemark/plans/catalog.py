@@ -36,14 +36,6 @@ def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 # ------------------------------------------------------------- scans, parsing, sinks
 
 
-@query
-def scan_logs(spark, sf_dir):
-    folder = shared_folder(spark, "logs")
-    bindings.read_lines(spark, sf_dir).write.text(f"{folder}/read_log")
-    bindings.update_lines(spark, sf_dir).write.text(f"{folder}/update_log")
-    return logs.scan_logs(spark, folder, "update").select("value")
-
-
 @query
 def union_logs(spark, sf_dir):
     return logs.union_logs(bindings.read_lines(spark, sf_dir), bindings.update_lines(spark, sf_dir))
@@ -89,6 +81,15 @@ def load_users(spark, sf_dir):
     )
 
 
+@query
+def load_users_with_image(spark, sf_dir):
+    raw = bindings.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("entity_id"), F.encode("c_name", "UTF-8").alias("PIC")
+    )
+    users = entities.load_entities(raw, "users", insert_image=True)
+    return users.select("userid", F.decode("pic", "UTF-8").alias("pic"))
+
+
 @query
 def load_resources(spark, sf_dir):
     raw = bindings.resources(spark, sf_dir).select(
@@ -117,11 +118,35 @@ def load_manipulations(spark, sf_dir):
 @query
 def report_sink(spark, sf_dir):
     reads, updates = both(spark, sf_dir)
-    report = validate.staleness_report(
-        validate.judge_spans(reads, updates, "running_value"), validate.update_counts(reads, updates)
-    )
-    whole = [c for c in report.columns if not c.endswith(("fraction", "percent"))]
-    return validate.report_lines(report.select(*whole))
+    return validate.report_lines(validate.report_of(reads, updates, "running_value"))
+
+
+def _log_folder(spark, sf_dir):
+    folder = shared_folder(spark, "logs")
+    bindings.read_lines(spark, sf_dir).write.text(f"{folder}/read_log")
+    bindings.update_lines(spark, sf_dir).write.text(f"{folder}/update_log")
+    return folder
+
+
+@query
+def scan_logs(spark, sf_dir):
+    return logs.scan_logs(spark, _log_folder(spark, sf_dir), "update").select("value")
+
+
+@query
+def scan_read_logs(spark, sf_dir):
+    found = logs.scan_logs(spark, _log_folder(spark, sf_dir), "read")
+    return found.select("value", F.col("file").startswith("part-").alias("is_part"))
+
+
+@query
+def report_directory_running(spark, sf_dir):
+    return validate.report_directory(spark, _log_folder(spark, sf_dir), "running_value")
+
+
+@query
+def report_directory_possible(spark, sf_dir):
+    return validate.report_directory(spark, _log_folder(spark, sf_dir), "possible_set")
 
 
 # ------------------------------------------------- projections, filters, predicates
@@ -268,7 +293,7 @@ def _neighborhood(updates, semantics):
     slices = measure_slices([updates])
     after = validate.kept_states(updates, semantics, slices, INITIAL)
     cells = states.value_cells(after) if closed else states.set_cells(after)
-    return matching.neighborhood(after, cells, slices, closed).select(*INTERVAL, text("possible").alias("around"))
+    return matching.values_at(after, cells, slices, closed).select(*INTERVAL, text("possible").alias("around"))
 
 
 @query
@@ -358,11 +383,24 @@ def validate_reads_running(spark, sf_dir):
     return judged.select("seq_id", *INTERVAL, "value", "valid")
 
 
-def _report(spark, sf_dir, semantics):
-    reads, updates = both(spark, sf_dir)
-    return validate.staleness_report(
-        validate.judge_spans(reads, updates, semantics), validate.update_counts(reads, updates)
+@query
+def refused_reads(spark, sf_dir):
+    # Some reads lose their value, some run backwards, some are of an attribute that isn't validated.
+    reads, k = bindings.reads(spark, sf_dir), F.col("seq_id") % 20
+    spoiled = reads.select(
+        "seq_id",
+        "key",
+        F.when(k == 3, "POSTCOMMENT").otherwise(F.col("attribute")).alias("attribute"),
+        F.when(k == 5, F.col("end_ns")).otherwise(F.col("start_ns")).alias("start_ns"),
+        F.when(k == 5, F.col("start_ns")).when(k == 9, None).otherwise(F.col("end_ns")).alias("end_ns"),
+        F.when(k != 7, F.col("value")).alias("value"),
     )
+    ok, refused = validate.split_reads(spoiled, "possible_set")
+    return ok.withColumn("reason", F.lit("")).unionByName(refused).select("seq_id", "value", "reason")
+
+
+def _report(spark, sf_dir, semantics):
+    return validate.report_of(*both(spark, sf_dir), semantics)
 
 
 @query
@@ -453,6 +491,29 @@ def view_friend_requests(spark, sf_dir):
     return social.view_friend_requests(_requests(spark, sf_dir), bindings.users(spark, sf_dir), _edges(spark, sf_dir))
 
 
+@query
+def list_friends_with_thumbnail(spark, sf_dir):
+    users = bindings.users(spark, sf_dir).withColumn("tpic", F.reverse("username"))
+    return social.list_friends(_requests(spark, sf_dir), users, _edges(spark, sf_dir), ["address"], with_thumbnail=True)
+
+
+@query
+def view_profile_with_picture(spark, sf_dir):
+    users = bindings.users(spark, sf_dir).withColumn("pic", F.reverse("username"))
+    requests, resources = _requests(spark, sf_dir), bindings.resources(spark, sf_dir)
+    shown = social.view_profile(requests, users, _edges(spark, sf_dir), resources, with_picture=True)
+    return shown.select("requester", "userid", "pic", "friendcount")
+
+
+@query
+def refused_requests(spark, sf_dir):
+    shifted = _requests(spark, sf_dir).select((F.col("requester") - 40).alias("requester"), "owner")
+    users, edges = bindings.users(spark, sf_dir), _edges(spark, sf_dir)
+    answered = social.list_friends(shifted, users, edges).groupBy("requester", "owner").agg(F.count("userid").alias("n"))
+    refused = social.refused("list_friends", shifted).withColumn("n", F.lit(None).cast("bigint"))
+    return answered.withColumn("status", F.lit("SUCCESS")).unionByName(refused)
+
+
 @query
 def pending_ids(spark, sf_dir):
     members = _requests(spark, sf_dir).select(F.col("owner").alias("member"))
@@ -543,6 +604,11 @@ def apply_friendship_ops(spark, sf_dir):
     return _edges(spark, sf_dir)
 
 
+@query
+def refused_friendship_ops(spark, sf_dir):
+    return friendship.accepted_ops(bindings.friendship_ops(spark, sf_dir))[1]
+
+
 def _applied(spark, sf_dir, op):
     """The operations of one kind, applied to what all the others leave."""
     ops = bindings.friendship_ops(spark, sf_dir)

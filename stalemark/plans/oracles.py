@@ -19,8 +19,13 @@ reads AS (
          CAST(CASE WHEN attribute = 'ACCEPTFRND' THEN 10 + k % 7 - 3 ELSE k % 4 END AS INTEGER) AS value
   FROM logs WHERE event_type IN ('view', 'click')),
 updates AS (
-  SELECT key, attribute, start_ns, end_ns, seq_id, k, CASE WHEN k % 2 = 0 THEN 'I' ELSE 'D' END AS op
-  FROM logs WHERE event_type IN ('purchase', 'signup', 'error') AND key % 10 <> 3)"""
+  SELECT key, CASE WHEN key % 10 = 3 THEN 'POSTCOMMENT' ELSE attribute END AS attribute, start_ns, end_ns, seq_id, k,
+         CASE WHEN k % 2 = 0 THEN 'I' ELSE 'D' END AS op
+  FROM logs WHERE event_type IN ('purchase', 'signup', 'error'))"""
+# What is left of the logs after a round through text lines, some of which are spoiled (see LINES).
+PARSED = LOGS.replace("IN ('view', 'click'))", "IN ('view', 'click') AND k NOT IN (1, 2, 3))").replace(
+    "'error'))", "'error') AND k NOT IN (1, 2, 3))"
+)
 
 # Every update with its place in the item's order and the running value; then one row per interval, the last value.
 RUNNING = """
@@ -77,7 +82,7 @@ POSSIBLE = """
 ivs AS (
   SELECT key, attribute, start_ns, end_ns, bool_or(op = 'I') AS inc, bool_or(op <> 'I') AS dec,
          row_number() OVER (PARTITION BY key, attribute ORDER BY start_ns, end_ns) AS pos
-  FROM updates GROUP BY key, attribute, start_ns, end_ns),
+  FROM updates WHERE attribute <> 'POSTCOMMENT' GROUP BY key, attribute, start_ns, end_ns),
 reach(key, attribute, pos, value) AS (
   SELECT DISTINCT key, attribute, CAST(0 AS BIGINT),
          CAST(CASE WHEN attribute = 'ACCEPTFRND' THEN 10 ELSE 0 END AS BIGINT) FROM ivs
@@ -134,14 +139,15 @@ FRACTIONS = """SELECT *, CAST(correct_reads AS DOUBLE) / total_reads AS correct_
 
 LINES = f"""
 parts AS (
-  SELECT CASE WHEN event_type IN ('view', 'click') THEN 'READ' ELSE 'UPDATE' END AS log_type, attribute, seq_id,
+  SELECT CASE WHEN event_type IN ('view', 'click') THEN 'READ' ELSE 'UPDATE' END AS log_type,
+         CASE WHEN event_type NOT IN ('view', 'click') AND key % 10 = 3 THEN 'POSTCOMMENT' ELSE attribute END AS attribute, seq_id,
          CAST(seq_id % 16 AS INTEGER) AS thread_id, key, start_ns, end_ns, k,
          CAST(CASE WHEN event_type NOT IN ('view', 'click') THEN 1
                    WHEN attribute = 'ACCEPTFRND' THEN 10 + k % 7 - 3 ELSE k % 4 END AS INTEGER) AS value,
          CASE WHEN event_type IN ('view', 'click') THEN 'N' WHEN k % 2 = 0 THEN 'I' ELSE 'D' END AS op,
          CASE WHEN event_type IN ('view', 'click') THEN 'GetProfile' ELSE 'AcceptFriend' END AS action_type
   FROM logs
-  WHERE event_type IN ('view', 'click') OR (event_type IN ('purchase', 'signup', 'error') AND key % 10 <> 3)),
+  WHERE event_type IN ('view', 'click', 'purchase', 'signup', 'error')),
 lines AS (
   SELECT *, CASE WHEN k = 4 THEN ' ' ELSE '' END
     || log_type || ',' || attribute || ',' || seq_id || ',' || thread_id || ','
@@ -162,15 +168,15 @@ COMMENTS = """comments AS (
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 REQUESTS = """requests AS (
   SELECT c_custkey - c_custkey % 2 AS requester, c_custkey AS owner, CAST(c_custkey % 4 AS INTEGER) AS k FROM customer)"""
-OPS = """ops AS (
-  SELECT * FROM (
-    SELECT event_id AS op_seq,
-           CASE event_type WHEN 'signup' THEN 'invite' WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'reject'
-                           WHEN 'click' THEN 'thaw' END AS op,
-           user_id AS inviter,
-           user_id - user_id % 10 + CAST(regexp_extract(props, '[0-9]+') AS INTEGER) % 10 AS invitee
-    FROM events)
-  WHERE op IS NOT NULL AND inviter <> invitee),
+ALL_OPS = """all_ops AS (
+  SELECT event_id AS op_seq,
+         CASE event_type WHEN 'signup' THEN 'invite' WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'reject'
+                         WHEN 'click' THEN 'thaw' ELSE event_type END AS op,
+         user_id AS inviter,
+         user_id - user_id % 10 + CAST(regexp_extract(props, '[0-9]+') AS INTEGER) % 10 AS invitee
+  FROM events)"""
+OPS = f"""{ALL_OPS},
+ops AS (SELECT * FROM all_ops WHERE op <> 'view' AND inviter <> invitee),
 facts AS (
   SELECT op_seq, op, invitee AS owner, inviter AS other, 'pending' AS kind, op = 'invite' AS is_on FROM ops
   WHERE op IN ('invite', 'reject', 'accept')
@@ -271,7 +277,17 @@ ORACLES: dict[str, str] = {
     + "SELECT l.line, l.figure, CAST(l.amount AS VARCHAR) AS amount FROM report, LATERAL (VALUES "
     "(1, 'total_reads', total_reads), (2, 'total_updates', total_updates), (3, 'processed_updates', processed_updates), "
     "(4, 'correct_reads', correct_reads), (5, 'stale_reads', stale_reads), "
-    "(6, 'stale_reads_with_updates', stale_reads_with_updates)) l(line, figure, amount)",
+    "(6, 'stale_reads_with_updates', stale_reads_with_updates)) l(line, figure, amount) UNION ALL "
+    "SELECT l.line, l.figure, printf('%.6f', l.amount) FROM report, LATERAL (VALUES "
+    "(7, 'correct_fraction', CAST(correct_reads AS DOUBLE) / total_reads), "
+    "(8, 'stale_fraction', CAST(stale_reads AS DOUBLE) / total_reads), "
+    "(9, 'correct_percent', CAST(correct_reads AS DOUBLE) / total_reads * 100.0)) l(line, figure, amount)",
+    "scan_read_logs": _with(LOGS, LINES) + "SELECT line AS value, true AS is_part FROM lines WHERE log_type = 'READ'",
+    "report_directory_running": _with(PARSED, RUNNING, VERDICTS, READ_ITEMS, REPORT) + FRACTIONS,
+    "report_directory_possible": _with(PARSED, POSSIBLE, VERDICTS, READ_ITEMS, REPORT) + FRACTIONS,
+    "refused_reads": _with(LOGS)
+    + "SELECT seq_id, CASE WHEN seq_id % 20 <> 7 THEN value END AS value, CASE seq_id % 20 WHEN 3 THEN 'unknown_attribute' "
+    "WHEN 5 THEN 'start_after_end' WHEN 7 THEN 'no_value' WHEN 9 THEN 'missing_field' ELSE '' END AS reason FROM reads",
     "filter_validatable": _with(LOGS) + "SELECT seq_id, attribute FROM reads",
     "filter_attribute": _with(LOGS) + "SELECT seq_id, attribute, op FROM updates WHERE attribute = 'PENDFRND'",
     "project_intervals": _with(LOGS) + f"SELECT {SPAN}, op FROM updates",
@@ -321,8 +337,10 @@ ORACLES: dict[str, str] = {
     "state_before_possible": _with(LOGS, POSSIBLE) + _values("before_values", "state"),
     "state_before_running": _with(LOGS, RUNNING) + _values("before_values", "state"),
     "group_by_item": _with(LOGS)
-    + "SELECT key, attribute, CAST(0 AS INTEGER) AS part, string_agg(start_ns || ':' || end_ns || ':' || seq_id || ':' || op, ',' "
-    "ORDER BY start_ns, end_ns, seq_id) AS entries FROM updates GROUP BY ALL",
+    + "SELECT key, attribute, CAST((place - 1) // 100000 AS INTEGER) AS part, "
+    "string_agg(start_ns || ':' || end_ns || ':' || seq_id || ':' || op, ',' ORDER BY start_ns, end_ns, seq_id) AS entries "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY key, attribute ORDER BY start_ns, end_ns, seq_id) AS place FROM updates) "
+    "GROUP BY key, attribute, part",
     "merge_same_interval": _with(LOGS)
     + f"SELECT {SPAN}, bool_or(op = 'I') AS inc, bool_or(op <> 'I') AS dec, count(*) AS n_updates FROM updates GROUP BY ALL",
     "dedup_interval_last": _with(LOGS)
@@ -416,8 +434,23 @@ ORACLES: dict[str, str] = {
     )
     + "SELECT owner, other, kind, arg_max(n, pos) AS n FROM walk GROUP BY ALL HAVING arg_max(n, pos) > 0",
     "friend_lists": _with(EDGES)
-    + "SELECT owner, CAST(0 AS INTEGER) AS part, "
+    + "SELECT owner, CAST((place - 1) // 100000 AS INTEGER) AS part, "
     "coalesce(string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) FILTER (kind = 'confirmed'), '') AS conf, "
     "coalesce(string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) FILTER (kind = 'pending'), '') AS pend "
-    "FROM edges GROUP BY owner",
+    "FROM (SELECT *, row_number() OVER (PARTITION BY owner, kind ORDER BY other) AS place FROM edges) GROUP BY owner, part",
+    "list_friends_with_thumbnail": _with(USERS, REQUESTS, EDGES)
+    + "SELECT q.requester, q.owner, u.userid, u.address, reverse(u.username) AS tpic FROM requests q "
+    "JOIN edges e ON e.owner = q.owner AND e.kind = 'confirmed' JOIN users u ON u.userid = e.other",
+    "view_profile_with_picture": _with(USERS, REQUESTS, EDGES)
+    + "SELECT q.requester, u.userid, reverse(u.username) AS pic, "
+    "(SELECT count(*) FROM edges e WHERE e.owner = q.owner AND e.kind = 'confirmed') AS friendcount "
+    "FROM requests q JOIN users u ON u.userid = q.owner",
+    "refused_requests": _with(USERS, REQUESTS, EDGES)
+    + "SELECT q.requester - 40 AS requester, q.owner, count(u.userid) AS n, 'SUCCESS' AS status FROM requests q "
+    "JOIN edges e ON e.owner = q.owner AND e.kind = 'confirmed' JOIN users u ON u.userid = e.other "
+    "WHERE q.requester >= 40 GROUP BY ALL "
+    "UNION ALL SELECT requester - 40, owner, NULL, 'ERROR' FROM requests WHERE requester < 40",
+    "refused_friendship_ops": _with(ALL_OPS)
+    + "SELECT *, CASE WHEN op = 'view' THEN 'UNKNOWN' ELSE 'SELF' END AS status FROM all_ops WHERE op = 'view' OR inviter = invitee",
+    "load_users_with_image": "SELECT CAST(c_custkey AS INTEGER) AS userid, c_name AS pic FROM customer",
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stalemark.functions.columns import starting_value
@@ -16,6 +16,7 @@ from stalemark.operators import matching, states
 from stalemark.operators.slices import TimeSlices, measure_slices
 from stalemark.schemas import INITIAL, ITEM
 from stalemark.session import write_through
+from stalemark.sources import logs
 
 INTERVAL = (*ITEM, "start_ns", "end_ns")
 SEMANTICS = ("possible_set", "running_value")
@@ -34,17 +35,32 @@ def filter_attribute(updates: DataFrame, attribute: str) -> DataFrame:
     return updates.where(F.col("attribute").contains(attribute))
 
 
-def project_intervals(logs: DataFrame, payload: str) -> DataFrame:
+def project_intervals(rows: DataFrame, payload: str) -> DataFrame:
     """Only what validation needs: item, interval, and ``op`` or ``value``."""
-    return logs.select(*INTERVAL, payload)
+    return rows.select(*INTERVAL, payload)
 
 
-def split_intervals(logs: DataFrame, closed: bool) -> tuple[DataFrame, DataFrame]:
+def split_intervals(rows: DataFrame, closed: bool) -> tuple[DataFrame, DataFrame]:
     """Logs whose interval the convention allows, and the rejected rest with a reason."""
+    missing = F.lit(False)
+    for name in INTERVAL:
+        missing = missing | F.col(name).isNull()
     backwards = F.col("start_ns") > F.col("end_ns")
     empty = F.lit(not closed) & (F.col("start_ns") == F.col("end_ns"))
-    reason = F.when(backwards, "start_after_end").when(empty, "empty_interval")
-    return logs.where(reason.isNull()), logs.withColumn("reason", reason).where(reason.isNotNull())
+    reason = F.when(missing, "missing_field").when(backwards, "start_after_end").when(empty, "empty_interval")
+    return rows.where(reason.isNull()), rows.withColumn("reason", reason).where(reason.isNotNull())
+
+
+def split_reads(
+    reads: DataFrame, semantics: str, initial: Mapping[str, int] = INITIAL
+) -> tuple[DataFrame, DataFrame]:
+    """Reads that get a verdict, and the refused rest with a reason: the interval, no value, or an unknown attribute."""
+    ok, refused = split_intervals(reads, closed=True)
+    reason = F.when(F.col("value").isNull(), "no_value")
+    if not _closed(semantics):
+        reason = reason.when(~F.col("attribute").isin(*initial), "unknown_attribute")
+    marked = ok.withColumn("reason", reason)
+    return ok.where(reason.isNull()), refused.unionByName(marked.where(reason.isNotNull()))
 
 
 def _closed(semantics: str) -> bool:
@@ -121,10 +137,9 @@ def judge_spans(
     """
     reads, updates, slices = _inputs(reads, updates, semantics, initial, slices)
     closed = _closed(semantics)
+    reads = reads.where(F.col("value").isNotNull())
     distinct = reads.groupBy(*INTERVAL, F.col("value").cast("bigint").alias("value")).agg(F.count("*").alias("n_reads"))
-    # Used twice below: worth keeping where a state is more than one window away, or the data is large.
-    states_of = kept_states if slices or not closed else update_states
-    after = states_of(updates, semantics, slices, initial)
+    after = kept_states(updates, semantics, slices, initial)  # used twice below
     if closed:
         cells = states.value_cells(after)
         placed = matching.anchor_running(distinct, after, slices).withColumn("top_level", F.lit(0))
@@ -241,17 +256,17 @@ def validate_reads(
 ) -> DataFrame:
     """Reads with ``valid``, and on request the ``possible_values`` it was judged by.
 
-    Reads the semantics does not know (backwards interval, attribute without a starting value) have no verdict and are
-    left out; ``split_intervals`` and ``filter_validatable`` show them.
+    Reads without a verdict (interval missing or backwards, no value, an attribute without a starting value) are left out
+    in either form; ``split_reads`` gives them with a reason.
     """
+    reads, _ = split_reads(reads, semantics, initial)
     reads, updates, slices = _inputs(reads, updates, semantics, initial, slices)
     if with_values:
         values = possible_values(reads, updates, semantics, initial, slices)
         judged = reads.join(values, list(INTERVAL))
         return judged.withColumn("valid", F.array_contains("possible_values", F.col("value").cast("bigint")))
-    verdicts = judge_spans(reads, updates, semantics, initial, slices)
-    verdicts = verdicts.withColumn("value", F.col("value").cast("int")).drop("n_reads")
-    return reads.join(verdicts, [*INTERVAL, "value"])
+    verdicts = judge_spans(reads, updates, semantics, initial, slices).drop("n_reads").withColumnRenamed("value", "_value")
+    return reads.withColumn("_value", F.col("value").cast("bigint")).join(verdicts, [*INTERVAL, "_value"]).drop("_value")
 
 
 def valid_only(verdicts: DataFrame) -> DataFrame:
@@ -309,8 +324,13 @@ def staleness_report(verdicts: DataFrame, counts: DataFrame) -> DataFrame:
 def report_lines(report: DataFrame) -> DataFrame:
     """The report as lines of text, one per figure, ready for a text sink."""
     figures = [(i, name) for i, name in enumerate(report.columns, 1)]
+    kinds = dict(report.dtypes)
     lines = [
-        F.struct(F.lit(i).alias("line"), F.lit(name).alias("figure"), F.col(name).cast("string").alias("amount"))
+        F.struct(
+            F.lit(i).alias("line"),
+            F.lit(name).alias("figure"),
+            (F.format_string("%.6f", name) if kinds[name] == "double" else F.col(name).cast("string")).alias("amount"),
+        )
         for i, name in figures
     ]
     return report.select(F.explode(F.array(*lines)).alias("l")).select("l.*")
@@ -322,6 +342,18 @@ def write_report(report: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
+def report_of(reads: DataFrame, updates: DataFrame, semantics: str, initial: Mapping[str, int] = INITIAL) -> DataFrame:
+    """Verdicts and counts of reads and updates as one report."""
+    return staleness_report(judge_spans(reads, updates, semantics, initial), update_counts(reads, updates))
+
+
+def report_directory(spark: SparkSession, path: str, semantics: str, initial: Mapping[str, int] = INITIAL) -> DataFrame:
+    """The report of a directory of read and update logs: scan, parse, validate. ``logs.parse_logs`` gives the rejects."""
+    reads, _ = logs.parse_logs(logs.scan_logs(spark, path, "read"))
+    updates, _ = logs.parse_logs(logs.scan_logs(spark, path, "update"))
+    return report_of(reads, updates, semantics, initial)
+
+
 # ---------------------------------------------------------------------- by item
 
 

@@ -10,6 +10,7 @@ INITIAL = {"ACCEPTFRND": 10, "PENDFRND": 0}
 # A data item is one counter of one key.
 ITEM = ("key", "attribute")
 
+# Fields of a log line, as the typed row they become.
 LOG = T.StructType(
     [
         T.StructField("log_type", T.StringType()),
@@ -25,6 +26,7 @@ LOG = T.StructType(
     ]
 )
 
+# Fields of the three kinds of entities.
 USERS = T.StructType(
     [
         T.StructField("userid", T.IntegerType()),

@@ -190,17 +190,26 @@ def test_friendship_sequences(spark, ops, want):
 
 
 def test_refused_operations(spark):
-    df = frame(spark, [(1, "accept", -1, 2), (2, "invite", -1, 2), (3, "thaw", 1, -2)], OPS)
+    df = frame(spark, [(1, "accept", -1, 2), (2, "invite", -1, 2), (3, "thaw", 1, -2), (4, "poke", 1, 2), (5, None, 1, 2), (6, "invite", 3, 3)], OPS)
     ok, refused = friendship.accepted_ops(df)
     assert [r.op_seq for r in ok.collect()] == [2]
-    assert sorted(r.op_seq for r in refused.collect()) == [1, 3]
+    want = [(1, "ERROR"), (3, "ERROR"), (4, "UNKNOWN"), (5, "UNKNOWN"), (6, "SELF")]
+    assert sorted((r.op_seq, r.status) for r in refused.collect()) == want
+
+
+def test_refused_requests(spark):
+    asked = frame(spark, [(-1, 2), (1, 2), (1, -2)], "requester bigint, owner bigint")
+    assert sorted((r.requester, r.owner, r.status) for r in social.refused("list_friends", asked).collect()) == [(-1, 2, "ERROR"), (1, -2, "ERROR")]
+    assert social.refused("view_friend_requests", asked).count() == 1
 
 
 def test_friend_lists_in_parts(spark):
     edges = frame(spark, [(1, n, "confirmed") for n in range(50)] + [(1, 3, "pending"), (2, 9, "confirmed")], EDGES)
-    rows = friendship.friend_lists(edges, longest=10).collect()
-    hot = [r for r in rows if r.owner == 1]
-    assert len(hot) > 1 and sorted(sum((r.ConfFriends for r in hot), [])) == list(range(50))
+    slices = measure_slices([edges], time="other", keys=["owner", "kind"], rows_per_slice=7)
+    rows = friendship.friend_lists(edges, longest=10, slices=slices).collect()
+    assert sorted(rows) == sorted(friendship.friend_lists(edges, longest=10).collect())
+    hot = sorted((r for r in rows if r.owner == 1), key=lambda r: r.part)
+    assert [(r.part, r.ConfFriends) for r in hot] == [(p, list(range(10 * p, 10 * p + 10))) for p in range(5)]
     assert sum((r.PendFriends for r in hot), []) == [3]
     assert [(r.part, r.ConfFriends, r.PendFriends) for r in rows if r.owner == 2] == [(0, [9], [])]
     whole = friendship.friend_lists(edges).collect()

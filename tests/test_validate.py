@@ -18,7 +18,7 @@ def random_logs(seed, n_items=25, odd=True):
         for attribute in names:
             span = rng.choice([6, 20, 200])
             up = rng.choice([0.2, 0.5, 0.8])
-            origin = rng.choice([-5, 1, 50])
+            origin = rng.choice([-5, 0, 1, 50])
             for i in range(rng.choice([0, 2, 15, 60])):
                 start = origin + rng.randrange(span)
                 end = start + rng.randrange(0 if odd else 1, rng.choice([2, 4, span + 2]) + 1)
@@ -65,6 +65,10 @@ def test_random_logs(spark, semantics, seed, rows_per_slice):
     got = {(r.key, r.attribute, r.start_ns, r.end_ns): r.possible_values for r in values}
     assert got == {r[:4]: sorted(v) for r, v in want.items()}
 
+    columns = ["key", "attribute", "start_ns", "end_ns", "value", "valid"]
+    forms = [validate.validate_reads(read_df, update_df, semantics, slices=slices, with_values=w).select(*columns) for w in (False, True)]
+    assert sorted(forms[0].collect()) == sorted(forms[1].collect()) and forms[0].count() == len(reads)
+
 
 @pytest.mark.parametrize("semantics", validate.SEMANTICS)
 def test_state_before(spark, semantics):
@@ -110,6 +114,7 @@ CASES = [
     ("empty update counts, closed", ["running_value"], [(A, 10, 10, "I")], (A, 10, 40), [10, 11]),
     ("backwards update is refused", BOTH, [(A, 20, 10, "I")], (A, 30, 40), [10]),
     ("ends up to 1 are out of reach", ["possible_set"], [(A, 0, 1, "I")], (A, 30, 40), [10]),
+    ("an early end is out of reach before, but overlaps", ["possible_set"], [(A, 0, 1, "I"), (A, 0, 1, "D")], (A, 0, 5), [9, 10, 11]),
     ("attribute by substring", ["possible_set"], [("X" + A, 10, 20, "I")], (A, 30, 40), [11]),
     ("attribute by equality", ["running_value"], [("X" + A, 10, 20, "I")], (A, 30, 40), [10]),
     ("other attributes start at 0", ["running_value"], [("POSTCOMMENT", 10, 20, "I")], ("POSTCOMMENT", 12, 14), [0, 1]),
@@ -204,3 +209,24 @@ def test_filters_and_rejects(spark):
         ok, rejects = validate.split_intervals(logs, closed)
         assert ok.count() == kept
         assert rejects.where(F.col("key") == 3).collect()[0].reason == "start_after_end"
+
+
+@pytest.mark.parametrize("semantics", validate.SEMANTICS)
+@pytest.mark.parametrize("kind", ["int", "bigint"])
+def test_reads_without_a_verdict(spark, semantics, kind):
+    """Both forms leave out the same reads, split_reads gives them, and the report adds up without them."""
+    update_df = spark.createDataFrame([(1, A, 10, 20, "I", 1)], f"{LOGS}, op string, seq_id bigint")
+    large = 2**40 if kind == "bigint" else 99
+    reads = [(1, A, 12, 15, 11), (1, A, 12, 15, None), (1, A, 12, 15, large), (1, A, 9, 5, 11), (1, A, None, 5, 1), (None, A, 1, 2, 10)]
+    read_df = spark.createDataFrame(reads + [(1, "POSTCOMMENT", 1, 2, 0)], f"{LOGS}, value {kind}")
+    forms = [validate.validate_reads(read_df, update_df, semantics, with_values=w) for w in (False, True)]
+    want = [(11, True), (large, False)] + ([(0, True)] if semantics == "running_value" else [])
+    for form in forms:
+        assert sorted((r.value, r.valid) for r in form.collect()) == sorted(want)
+        assert dict(form.dtypes)["value"] == kind
+    ok, refused = validate.split_reads(read_df, semantics)
+    assert ok.count() == len(want)
+    unknown = ["unknown_attribute"] if semantics == "possible_set" else []
+    assert sorted(r.reason for r in refused.collect()) == sorted(["no_value", "start_after_end", "missing_field", "missing_field", *unknown])
+    report = validate.report_of(read_df, update_df, semantics).first()
+    assert report.total_reads == len(want) == report.correct_reads + report.stale_reads
