@@ -20,7 +20,7 @@ INTERVAL = (*ITEM, "start_ns", "end_ns")
 
 
 # Two intervals meet, besides the key, on a time bucket about as wide as one of them. An interval is rounded up to a
-# power of 4 and falls into at most two buckets of that width; a point looks into one bucket per width that occurs (a
+# power of 16 and falls into at most two buckets of that width; a point looks into one bucket per width that occurs (a
 # few). So rows are compared only with rows near them, whatever mix of lengths there is and however many rows an item
 # has, and a hot item spreads over its buckets.
 #
@@ -29,16 +29,16 @@ INTERVAL = (*ITEM, "start_ns", "end_ns")
 # where an interval covers whole slices does that make more than two copies, and then it pairs with all that is in them.
 
 
-MAX_LEVEL = 62  # widths must fit a BIGINT; longer intervals take a few buckets more
+MAX_LEVEL = 60  # widths must fit a BIGINT; longer intervals take a few buckets more
 
 
 def _level(start: str, end: str) -> Column:
     length = F.try_add(F.try_subtract(F.col(end), F.col(start)), F.lit(1)).cast("double")
-    return F.coalesce(F.least(F.ceil(F.log2(length) / 2) * 2, F.lit(MAX_LEVEL)), F.lit(MAX_LEVEL)).cast("int")
+    return F.coalesce(F.least(F.ceil(F.log2(length) / 4) * 4, F.lit(MAX_LEVEL)), F.lit(MAX_LEVEL)).cast("int")
 
 
 def _levels(intervals: DataFrame, start: str, end: str) -> Column:
-    """The levels that occur, an array of at most 32 numbers, as a scalar subquery."""
+    """The levels that occur, an array of at most 16 numbers, as a scalar subquery."""
     return intervals.agg(F.collect_set(_level(start, end))).scalar()
 
 
@@ -65,10 +65,12 @@ def _placed(
     slices: TimeSlices,
     keys: Sequence[str],
     levels: Column | None = None,
+    outer: bool = False,
 ) -> DataFrame:
     """One row per place, with the columns of ``PLACE``; points look into the given ``levels``.
 
-    In ``interval_role`` the row stands for its whole span, otherwise for the span's start.
+    In ``interval_role`` the row stands for its whole span, otherwise for the span's start. With ``outer`` a row without a
+    span stays, in no place.
     """
     ready = df if levels is None else df.withColumn("_levels", levels)
     slice_of = F.lit(0)
@@ -76,8 +78,8 @@ def _placed(
         ready = slices.assign(ready, F.col(span[0]), keys).withColumnRenamed("slice", "_first").drop("hot")
         ready = slices.assign(ready, F.col(span[1]), keys).withColumnRenamed("slice", "_last").drop("hot")
         last = F.when(F.col("_place.role") == interval_role, F.col("_last")).otherwise(F.col("_first"))
-        slice_of = F.explode(F.sequence("_first", last))
-    return ready.withColumn("_place", F.explode(places)).select(
+        slice_of = (F.explode_outer if outer else F.explode)(F.sequence("_first", last))
+    return ready.withColumn("_place", (F.explode_outer if outer else F.explode)(places)).select(
         *df.columns,
         F.col("_place.role").alias("_role"),
         F.col("_place.level").alias("_level"),
@@ -96,16 +98,20 @@ def overlap_join(
     keys: Sequence[str] = ITEM,
     prefix: str = "update_",
     slices: TimeSlices = NO_SLICES,
+    span: tuple[str, str] = ("start_ns", "end_ns"),
+    keep_left: bool = False,
 ) -> DataFrame:
     """Pairs of left and right rows of the same key whose intervals overlap, each pair once.
 
-    Right columns other than the keys get the prefix. Two intervals overlap exactly if the right one starts inside the
-    left one ("in_left") or the left one starts strictly inside the right one ("in_right"); never both.
+    Right columns other than the keys get the prefix; ``span`` names the left interval. Two intervals overlap exactly if
+    the right one starts inside the left one ("in_left") or the left one starts strictly inside the right one ("in_right");
+    never both. With ``keep_left`` every left row appears at least once more without a partner, in one or several copies.
     """
     right = right.select(*keys, *[F.col(c).alias(prefix + c) for c in right.columns if c not in keys])
-    l_start, l_end, r_start, r_end = "start_ns", "end_ns", f"{prefix}start_ns", f"{prefix}end_ns"
+    (l_start, l_end), r_start, r_end = span, f"{prefix}start_ns", f"{prefix}end_ns"
     if not closed:  # an empty half-open interval overlaps nothing
-        left = left.where(F.col(l_start) < F.col(l_end))
+        if not keep_left:
+            left = left.where(F.col(l_start) < F.col(l_end))
         right = right.where(F.col(r_start) < F.col(r_end))
     in_left = F.col(r_start) >= F.col(l_start)
     in_left &= F.col(r_start) <= F.col(l_end) if closed else F.col(r_start) < F.col(l_end)
@@ -114,14 +120,17 @@ def overlap_join(
 
     as_left = F.concat(_as_interval("in_left", l_start, l_end), _as_point("in_right", l_start))
     as_right = F.concat(_as_point("in_left", r_start), _as_interval("in_right", r_start, r_end))
-    pairs = _placed(
-        left, as_left, (l_start, l_end), "in_left", slices, keys, _levels(right, r_start, r_end)
-    ).join(
-        _placed(right, as_right, (r_start, r_end), "in_right", slices, keys, _levels(left, l_start, l_end)),
-        [*keys, *PLACE],
-    )
+    lefts = _placed(left, as_left, span, "in_left", slices, keys, _levels(right, r_start, r_end), outer=keep_left)
+    rights = _placed(right, as_right, (r_start, r_end), "in_right", slices, keys, _levels(left, l_start, l_end))
     met = ((F.col("_role") == "in_left") & in_left) | ((F.col("_role") == "in_right") & in_right)
-    return pairs.where(met).drop(*PLACE)
+    if not keep_left:
+        return lefts.join(rights, [*keys, *PLACE]).where(met).drop(*PLACE)
+    if not closed:
+        met = met & (F.col(l_start) < F.col(l_end))
+    theirs = {name: f"_their_{name}" for name in (*keys, *PLACE)}
+    for name, other in theirs.items():
+        met = (F.col(name) == F.col(other)) & met
+    return lefts.join(rights.withColumnsRenamed(theirs), met, "left").drop(*PLACE, *theirs.values())
 
 
 def contains_point(
@@ -327,11 +336,18 @@ def values_at(spans: DataFrame, cells: DataFrame, slices: TimeSlices, closed: bo
     """
     spans = spans.select(*INTERVAL).distinct()
     pairs = overlap_join(spans, merge_runs(cells, slices), closed, slices=slices)
-    held = pairs.groupBy(*INTERVAL).agg(
-        F.collect_set(F.struct(F.col("update_level").alias("level"), F.col("update_cell").alias("cell"))).alias("held")
-    )
-    values = F.flatten(F.transform("held", lambda c: cell_values(c["level"], c["cell"])))
-    return held.select(*INTERVAL, F.array_sort(F.array_distinct(values)).alias("possible"))
+    held = pairs.groupBy(*INTERVAL).agg(found_cells().alias("held"))
+    return held.select(*INTERVAL, F.array_sort(F.array_distinct(values_in("held"))).alias("possible"))
+
+
+def found_cells() -> Column:
+    """The set of cells that an overlap join found for a group."""
+    cell = F.struct(F.col("update_level").alias("level"), F.col("update_cell").alias("cell"))
+    return F.collect_set(F.when(F.col("update_cell").isNotNull(), cell))
+
+
+def values_in(cells: str) -> Column:
+    return F.flatten(F.transform(cells, lambda c: cell_values(c["level"], c["cell"])))
 
 
 def merge_runs(cells: DataFrame, slices: TimeSlices) -> DataFrame:

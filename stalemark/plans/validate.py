@@ -222,28 +222,14 @@ def _values_of(
     asked = placed.select(*INTERVAL, sees_start.alias("sees_start"), F.explode(spans).alias("span")).select(
         *INTERVAL, "sees_start", F.col("span.from").alias("from"), F.col("span.to").alias("to")
     )
-    asked = write_through(asked, "spans")
-    # Many reads share the span before them; its values are looked up once.
-    wanted = asked.where("from is not null").select(
-        *ITEM, F.col("from").alias("start_ns"), F.col("to").alias("end_ns")
-    ).distinct()
-    found = matching.values_at(wanted, cells, slices, closed).select(
-        *ITEM, F.col("start_ns").alias("from"), F.col("end_ns").alias("to"), "possible"
-    )
+    # A read's row lists its values, so meeting its spans with merged runs costs no more than the result.
+    runs = matching.merge_runs(cells, slices)
+    found = matching.overlap_join(asked, runs, closed, slices=slices, span=("from", "to"), keep_left=True)
     start = F.when(F.bool_or("sees_start"), F.array(_start(semantics, initial)))
-    return (
-        asked.join(found, [*ITEM, "from", "to"], "left")
-        .groupBy(*INTERVAL)
-        .agg(
-            F.array_sort(
-                F.array_distinct(
-                    F.concat(
-                        F.flatten(F.collect_set("possible")), F.coalesce(start, F.array().cast("array<bigint>"))
-                    )
-                )
-            ).alias("possible_values")
-        )
-    )
+    none = F.array().cast("array<bigint>")
+    held = found.groupBy(*INTERVAL).agg(matching.found_cells().alias("held"), F.coalesce(start, none).alias("start"))
+    values = F.concat(matching.values_in("held"), F.col("start"))
+    return held.select(*INTERVAL, F.array_sort(F.array_distinct(values)).alias("possible_values"))
 
 
 def validate_reads(
