@@ -20,6 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = around.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("least"))
+    least = write_through(least, "least")  # so that the join has a shuffle of its own, which can split a node with many edges
     joined = around.join(least, F.col("a") == F.col("node"))
     if large:
         made = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))

@@ -4,7 +4,7 @@
    packed low bits of its minima. Documents of one set are one class from here on, so exact copies cost nothing more.
 2. Classes that share a band with the smallest class of that band are candidates of one another: the connected
    components of that graph hold all pairs that share any band. A pair at the threshold shares none of the bands with
-   probability (1 - 0.85**6)**32 < 3e-7.
+   probability (1 - 0.8**5)**38 < 3e-7.
 3. A cluster of candidates is cut into blocks, and each pair of blocks meets in one task. Bit counts of the packed
    signatures estimate each pair, corrected for low bits that agree by chance; pairs within reach of the threshold are
    settled on their full sets. A task returns a spanning forest of its links, never all of them.
@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stalemark.llm.frames import partitions, write_through
+from stalemark.llm.frames import marked_by, partitions, write_through
 from stalemark.llm.graph import connected_components
-from stalemark.llm.texts import LOWER, Slice, constants, expand, mix, run_hashes, slices, word_hashes
+from stalemark.llm.texts import LOWER, Slice, constants, mix, run_hashes, slices, word_hashes
 
 SHINGLE = 5
-BANDS, ROWS_PER_BAND = 32, 6
+BANDS, ROWS_PER_BAND = 38, 5
 LOW_BITS = 2
-PERCENT = 85
+PERCENT = 80
 BLOCK = 128
 SURE = 6.0  # standard deviations below the threshold at which an estimate rules a pair out
 
@@ -152,7 +152,7 @@ def linked(sets: list[np.ndarray], marks: np.ndarray, sides: list[int], ids: lis
     return forest
 
 
-def confirmed_links(docs: DataFrame, members: DataFrame, length: int = SHINGLE) -> DataFrame:
+def confirmed_links(docs: DataFrame, members: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between members (doc_id, cluster, high, low, signature) of a cluster, enough to connect what is linked.
 
     Every block of a cluster meets every other and itself once. ``docs`` gives the texts, for the full sets.
@@ -160,7 +160,8 @@ def confirmed_links(docs: DataFrame, members: DataFrame, length: int = SHINGLE)
     sized = members.groupBy("cluster").agg(F.count("doc_id").alias("n")).where("n > 1")
     placed = members.join(sized, "cluster").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").join(placed, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
+    texts = marked_by(texts, members, ["doc_id"], "_maybe").where("_maybe").join(placed, "doc_id")
     schema = pa.schema([("doc_id", pa.int64()), ("cluster", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32()), ("signature", pa.binary()), ("shingles", pa.binary())])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +190,7 @@ def confirmed_links(docs: DataFrame, members: DataFrame, length: int = SHINGLE)
             if len(held) > 1 and (now[1] == now[2] or len({r[0] for r in held}) == 2):
                 sets = [np.frombuffer(r[3], np.uint64) for r in held]
                 marks = np.stack([np.frombuffer(r[2], np.uint64) for r in held])
-                found = linked(sets, marks, [r[0] for r in held], [r[1] for r in held])
+                found = linked(sets, marks, [r[0] for r in held], [r[1] for r in held], percent)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -206,8 +207,10 @@ def confirmed_links(docs: DataFrame, members: DataFrame, length: int = SHINGLE)
     return met.mapInArrow(settle, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of documents (doc_id, text)."""
+def near_duplicates(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of documents (doc_id, text); links are sets of which
+    100 * intersection >= ``percent`` * union. Below ``PERCENT`` the bands find less than all links.
+    """
     signed = write_through(signatures(docs, length), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # A table of its own, so that the joins below can split a class that holds many of the rows.
@@ -216,7 +219,7 @@ def near_duplicates(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
     firsts = write_through(firsts.select("doc_id", "high", "low", "bands", "signature"), "classes")
     clusters = candidate_clusters(firsts)
     members = write_through(firsts.select("doc_id", "high", "low", "signature").join(clusters, "doc_id"), "members")
-    components = connected_components(confirmed_links(docs, members, length)).withColumnRenamed("node", "least")
+    components = connected_components(confirmed_links(docs, members, length, percent)).withColumnRenamed("node", "least")
     named = signed.select("doc_id", "n_shingles", "high", "low").join(classes, ["high", "low"], "left").join(components, "least", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "least", "doc_id"))
     found = named.select("doc_id", "n_shingles", component.alias("component_id"))

@@ -38,7 +38,7 @@ def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_b_bit_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearness.near_duplicates(documents(spark, sf_dir))
+    return nearness.near_duplicates(documents(spark, sf_dir), percent=85)
 
 
 @query

@@ -159,7 +159,8 @@ def test_full_chunks_are_packed_on(spark):
 # --------------------------------------------------------------- near duplicates
 
 
-def test_near_duplicates(spark, docs):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates(spark, docs, percent):
     rng = random.Random(8)
     words = rng_text(rng, 120).split()
     hot = []  # one text with ever more edits, on both sides of the threshold
@@ -169,8 +170,8 @@ def test_near_duplicates(spark, docs):
             mine[rng.randrange(120)] = f"e{rng.randrange(40)}"
         hot.append((1000 + i, " ".join(mine), None, None, 0))
     rows = docs + hot + [(900, "A B c", None, None, 0), (901, "a b C", None, None, 0), (902, "a b", None, None, 0)]
-    got = nearness.near_duplicates(frame(spark, rows, ["kept", "cluster", "high"])).collect()
-    want = brute.near_groups([r[:2] for r in rows])
+    got = nearness.near_duplicates(frame(spark, rows, ["kept", "cluster", "high"]), percent=percent).collect()
+    want = brute.near_groups([r[:2] for r in rows], percent)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == want and len(got) == len(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
@@ -184,8 +185,8 @@ def test_near_duplicates_odd_rows(spark, docs):
 
 def test_estimates():
     sets = [np.unique(texts.mix(np.arange(a, a + 1000, dtype=np.uint64))) for a in (0, 0, 100, 5000)]
-    marks = nearness.packed(nearness.minima(sets, 192))
-    near = nearness.estimate(marks[0], marks, 192)
+    marks = nearness.packed(nearness.minima(sets, 190))
+    near = nearness.estimate(marks[0], marks, 190)
     assert near[0] == near[1] == 1 and abs(near[2] - 900 / 1100) < 0.15 and abs(near[3]) < 0.2
 
 
@@ -243,6 +244,17 @@ def test_repeats(spark, docs, passage, gram, vocabulary):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_long_passages_in_parts(monkeypatch):
+    monkeypatch.setattr(repeats, "PART_WORDS", 7)
+    monkeypatch.setattr(repeats, "AUTOMATON_BYTES", 60)
+    words = [f"w{k}" for k in range(40)]
+    docs = [words, words[5:30], ["x", *words[:9]], ["y"] * 3]
+    places = [[(3, 30)], [(0, 21)], [], []]
+    assert len(list(repeats.pattern_batches(docs, places, 5))) > 2
+    gone = [np.flatnonzero(g).tolist() for g in repeats.locate(docs, places, 5)]
+    assert gone[:2] == [list(range(3, 37)), list(range(25))] and gone[3] == []
+
+
 # ------------------------------------------------------------- quality, language
 
 
