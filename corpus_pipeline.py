@@ -13,10 +13,17 @@ from stalemark.llm import bytelang, mixing, nearness, packing, repeats
 from stalemark.llm.frames import documents, unwrapped, wrapped, write_through
 
 
+def _text_and_rest(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and every other column in one struct ``_row``, whatever its name."""
+    row = F.col("_row")
+    rest = F.struct(*(row[c].alias(c) for c in docs.columns if c != "text"))
+    return wrapped(docs).select(rest.alias("_row"), row["doc_id"].alias("doc_id"), row["text"].alias("text"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents in no language: without a text, without a letter in it, or if no language could be learned."""
-    row = wrapped(docs).select("_row", "_row.text")
-    return unwrapped(bytelang.label_documents(row, bytelang.learn_languages(docs)).where(F.col("lang_pred") != bytelang.NONE), {})
+    named = bytelang.label_documents(_text_and_rest(docs).drop("doc_id"), bytelang.learn_languages(docs))
+    return unwrapped(named.where(F.col("lang_pred") != bytelang.NONE), {"text": F.col("text")}).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand elsewhere too are cut out; a document goes if nothing is left of it. Others keep their text."""
-    row = F.col("_row")
-    plain = wrapped(docs).select(F.struct(*(row[c].alias(c) for c in docs.columns if c != "text")).alias("_row"), row["doc_id"].alias("doc_id"), row["text"].alias("text"))
-    removed = repeats.remove_repeats(plain).where("n_removed = 0 OR n_removed < n_words")
+    removed = repeats.remove_repeats(_text_and_rest(docs)).where("n_removed = 0 OR n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     made = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
     return unwrapped(removed, made).select(docs.columns)

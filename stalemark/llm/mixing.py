@@ -22,7 +22,7 @@ from stalemark.llm.ranks import add_running, bits_for
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
-BLOCK_WORDS = 64
+BLOCK_WORDS = 16
 SHARDS = 8
 SEED = 20
 

@@ -6,7 +6,7 @@
 2. Runs that occur twice recur as a whole. Where runs of one anchor differ, the windows of one example of each are
    counted. No group is collected: counts are aggregated before the shuffle, and joined back.
 3. Documents meet the places found in them. A task takes them slice by slice, compiles the recurring passages of the
-   slice into one Aho-Corasick automaton and streams its documents through; what the automaton finds is removed. So every
+   slice into Aho-Corasick automata of bounded size and streams its documents through; what the automaton finds is removed. So every
    removed word was matched as text, not as a hash.
 
 Edge cases: a null text has no words; documents shorter than a window lose nothing; rows that repeat, with one doc_id or
@@ -28,6 +28,7 @@ from stalemark.llm.texts import Slice, constants, expand, mix, run_hashes, slice
 
 PASSAGE, GRAM = 35, 12
 AUTOMATON_BYTES = 1 << 20
+PART_WORDS = 2_000
 RUNS = "id long, crc int, anchor long, seg long, first int, n int, again boolean"
 
 
@@ -175,17 +176,34 @@ def covered(places: list[tuple[int, int]], passage: int) -> list[tuple[int, int]
     return [(a, b + passage - 1) for a, b in out]
 
 
+def pattern_batches(docs: list[list[str]], places: list[list[tuple[int, int]]], passage: int) -> Iterator[list[str]]:
+    """The distinct passages of the documents' ``places`` as text, in batches of about ``AUTOMATON_BYTES``.
+
+    A long passage goes in parts that share ``passage`` - 1 words, so every window stays whole in one of them.
+    """
+    batch, size = {}, 0
+    for words, own in zip(docs, places, strict=True):
+        for a, b in covered(own, passage):
+            for first in range(a, max(b - passage + 1, a + 1), PART_WORDS):
+                text = f" {' '.join(words[first : min(b, first + PART_WORDS + passage - 1)])} "
+                if text not in batch:
+                    batch[text], size = None, size + len(text)
+                if size >= AUTOMATON_BYTES:
+                    yield list(batch)
+                    batch, size = {}, 0
+    if batch:
+        yield list(batch)
+
+
 def locate(docs: list[list[str]], places: list[list[tuple[int, int]]], passage: int) -> list[np.ndarray]:
     """Which words of each document stand in a passage of any of the documents' ``places``."""
     import ahocorasick
 
-    automaton = ahocorasick.Automaton()
-    for words, own in zip(docs, places, strict=True):
-        for a, b in covered(own, passage):
-            text = f" {' '.join(words[a:b])} "
-            automaton.add_word(text, len(text))
     hits = [np.zeros(len(words) + 1, np.int64) for words in docs]
-    if len(automaton):
+    for batch in pattern_batches(docs, places, passage):
+        automaton = ahocorasick.Automaton()
+        for text in batch:
+            automaton.add_word(text, len(text))
         automaton.make_automaton()
         for words, hit in zip(docs, hits, strict=True):
             if len(words) < passage:
