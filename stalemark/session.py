@@ -28,6 +28,13 @@ def build_session(app: str, master: str | None = None, **extra: str) -> SparkSes
     return builder.getOrCreate()
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Give a session that the caller brings the settings the operators expect."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 @cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="stalemark-")

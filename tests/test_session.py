@@ -38,3 +38,9 @@ def test_remove_written(spark, tmp_path, monkeypatch):
     assert kept.count() == 3 and session.written_tables() == [str(tmp_path / "one")]
     session.remove_written(spark)
     assert not (tmp_path / "one").exists() and session.written_tables() == []
+
+
+def test_configure(spark):
+    spark.conf.unset("spark.sql.adaptive.forceOptimizeSkewedJoin")
+    assert session.configure(spark) is spark
+    assert all(spark.conf.get(name) == value for name, value in session.SETTINGS.items())
