@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from stalemark.llm.frames import write_through
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    key = F.xxhash64("a", "b").cast("decimal(20,0)")
-    return tuple(edges.agg(F.count("a"), F.sum(key)).first())
+def _settled(edges: DataFrame) -> bool:
+    """Does every node hang on one node at most, which hangs on none? Then each hangs on its component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    most, both = nodes.agg(F.max("out"), F.max(F.least("out", "into"))).first()
+    return most is None or (most <= 1 and both == 0)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,7 +24,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = around.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("least"))
-    least = write_through(least, "least")  # so that the join has a shuffle of its own, which can split a node with many edges
+    if large:  # a node may have very many larger neighbours; this join has a shuffle of its own, which can split it
+        least = write_through(least, "least")
     joined = around.join(least, F.col("a") == F.col("node"))
     if large:
         made = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -32,15 +37,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge (a, b) to another; the component is its smallest node.
 
-    A large star and a small star in turn, until nothing changes: then every node hangs on its component directly. The
-    rounds grow as a logarithm of the graph. Each is a table in the shared folder, so plans stay short.
+    A large star and a small star in turn, until every node hangs on its component directly. The rounds grow as a
+    logarithm of the graph. Each is a table in the shared folder, so plans stay short.
     """
-    now = write_through(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    seen = _fingerprint(now)
-    while seen[0]:
+    ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = write_through(ordered.distinct(), "edges")
+    while not _settled(now):
         now = write_through(_star(_star(now, large=True), large=False), "edges")
-        last, seen = seen, _fingerprint(now)
-        if seen == last:
-            break
     members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
