@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stalemark.llm.frames import map_batches
 from stalemark.llm.texts import LOWER, Slice, expand, slices, word_hashes
 
 HIDDEN = 12
@@ -219,7 +220,7 @@ def training_words(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, per_d
                 found.append([words[i][:PIECE] for i in chosen])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.list_(pa.binary()))], names=["lang", "words"])
 
-    rows = sample.select("text", "lang").mapInArrow(some, "lang string, words array<binary>").collect()
+    rows = map_batches(sample.select("text", "lang"), some, "lang string, words array<binary>").collect()
     languages = sorted({r["lang"] for r in rows if r["words"]})
     pairs = sorted((languages.index(r["lang"]), bytes(w)) for r in rows for w in r["words"])
     return [w for _, w in pairs], np.array([k for k, _ in pairs], np.int64), languages
@@ -243,7 +244,7 @@ def label_documents(docs: DataFrame, net: Network | None) -> DataFrame:
                 own = batch.slice(part.first, part.n)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found, pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(label, schema)
+    return map_batches(docs.select(*(F.col(f"`{c}`") for c in columns)), label, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

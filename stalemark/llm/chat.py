@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stalemark.llm.frames import partitions
+from stalemark.llm.frames import map_batches, partitions
 
 WINDOW, CONTEXT = 512, 8
 ROWS_PER_BATCH = 500
@@ -133,7 +133,7 @@ def turn_spans(conversations: DataFrame, template=None, loss_role: str = "assist
         if made:
             yield batch_of(made)
 
-    return turns.mapInArrow(spans, SPANS)
+    return map_batches(turns, spans, SPANS)
 
 
 def read_back(spans: DataFrame, template=None, loss_role: str = "assistant") -> DataFrame:
@@ -168,4 +168,4 @@ def read_back(spans: DataFrame, template=None, loss_role: str = "assistant") ->
         if conv:
             yield batch_of([row()])
 
-    return spans.mapInArrow(digest, DIGESTS)
+    return map_batches(spans, digest, DIGESTS)

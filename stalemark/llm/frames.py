@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stalemark import session
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "8m"
 FILTER_BITS = 23
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,6 +41,12 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def map_batches(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_BYTES``, set for the session, so that long texts stay few in memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def write_through(df: DataFrame, purpose: str) -> DataFrame:
     """The same rows, read back from a table in the shared folder; the shuffle files that made it go at once."""
     conf = df.sparkSession.conf

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stalemark.llm.frames import marked_by, partitions, write_through
+from stalemark.llm.frames import map_batches, marked_by, partitions, write_through
 from stalemark.llm.graph import connected_components
 from stalemark.llm.texts import LOWER, Slice, constants, mix, run_hashes, slices, word_hashes
 
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, length: int = SHINGLE) -> DataFrame:
                 ids = batch.column(0).slice(part.first, part.n)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNATURES)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), sign, SIGNATURES)
 
 
 def candidate_clusters(classes: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def confirmed_links(docs: DataFrame, members: DataFrame, length: int = SHINGLE,
                 columns = [*own.columns[1:6], pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(keep)
 
-    made = texts.select("text", "doc_id", "cluster", "blocks", "block", "signature", "high").mapInArrow(sets_of, "doc_id long, cluster long, blocks int, block int, signature binary, shingles binary")
+    made = map_batches(texts.select("text", "doc_id", "cluster", "blocks", "block", "signature", "high"), sets_of, "doc_id long, cluster long, blocks int, block int, signature binary, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = made.withColumn("other", other).select(
         "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "signature", "shingles"
@@ -204,7 +204,7 @@ def confirmed_links(docs: DataFrame, members: DataFrame, length: int = SHINGLE,
         if held:
             yield links()
 
-    return met.mapInArrow(settle, "a long, b long")
+    return map_batches(met, settle, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stalemark.llm.frames import partitions, text_of
+from stalemark.llm.frames import map_batches, partitions, text_of
 from stalemark.llm.texts import constants, mix
 
 HASHES = 128
@@ -168,4 +168,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         columns = [doc_id, n, sha, [x.tobytes().hex() for x in one], [x.tobytes().hex() for x in two], [likeness(a, b) for a, b in zip(one, two, strict=True)], near]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return dealt.select("bucket", "guest", "doc_id", "text").mapInArrow(compare, FINGERPRINTS)
+    return map_batches(dealt.select("bucket", "guest", "doc_id", "text"), compare, FINGERPRINTS)

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stalemark.llm.frames import map_batches
 from stalemark.llm.texts import LOWER, Slice, slices, word_hashes
 
 BUCKETS = 1 << 15
@@ -172,7 +173,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] =
                     [label, pa.array(made[0], pa.list_(pa.int32())), pa.array(made[1], pa.list_(pa.float32())), pa.array(list(f.dense), pa.list_(pa.float64()))], names=["label", "buckets", "shares", "dense"]
                 )
 
-    table = found.mapInArrow(rows, "label int, buckets array<int>, shares array<float>, dense array<double>").toArrow()
+    table = map_batches(found, rows, "label int, buckets array<int>, shares array<float>, dense array<double>").toArrow()
     columns = [table.column(0).to_pylist(), *([x.values.to_numpy(zero_copy_only=False) for x in table.column(k)] for k in (1, 2, 3))]
     out = [(y, b.astype(np.int64), v, d) for y, b, v, d in zip(*columns, strict=True)]
     return sorted(out, key=lambda r: (r[0], r[3].tolist(), r[1].tolist()))
@@ -204,6 +205,6 @@ def score_documents(docs: DataFrame, model: Machine | float, metadata: Sequence[
                 own = batch.slice(part.first, part.n)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(score, schema)
+    return map_batches(docs.select(*(F.col(f"`{c}`") for c in columns)), score, schema)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stalemark.llm.frames import marked_by, text_of, wrapped, write_through
+from stalemark.llm.frames import map_batches, marked_by, text_of, wrapped, write_through
 from stalemark.llm.texts import Slice, constants, expand, mix, run_hashes, slices, word_hashes
 
 PASSAGE, GRAM = 35, 12
@@ -104,7 +104,7 @@ def find_runs(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> Dat
                     made += [pa.array(found[k].astype(np.int32)) for k in ("first", "n")]
                     yield pa.RecordBatch.from_arrays([*made, pa.array(found["again"])], schema=schema)
 
-    return texts.mapInArrow(runs, RUNS)
+    return map_batches(texts, runs, RUNS)
 
 
 def window_rows(examples: DataFrame, passage: int = PASSAGE) -> DataFrame:
@@ -126,7 +126,7 @@ def window_rows(examples: DataFrame, passage: int = PASSAGE) -> DataFrame:
                 made = [np.repeat(anchor, n), np.repeat(seg, n), place.astype(np.int32), window, np.repeat(weight, n)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], schema=schema)
 
-    return examples.select("text", "runs").mapInArrow(rows, "anchor long, seg long, place int, window long, weight int")
+    return map_batches(examples.select("text", "runs"), rows, "anchor long, seg long, place int, window long, weight int")
 
 
 def recurring_places(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
@@ -240,6 +240,6 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) ->
                 columns = [own.column(0), own.column(1), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["_rest", "text", "n_words", "n_removed", "kept_text"])
 
-    removed = joined.mapInArrow(remove, schema)
+    removed = map_batches(joined, remove, schema)
     new = ("n_words", "n_removed", "kept_text")
     return removed.select(*(F.col("_rest")[c].alias(c) for c in docs.columns if c != "text" and c not in new), "text", *new)
