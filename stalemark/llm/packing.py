@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stalemark.llm.frames import map_batches
+
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
@@ -43,18 +45,32 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+class KnownWords(dict):
+    """Ids of words that came back; a word is encoded when it first comes, and waits in ``rare`` until it comes again."""
+
+    def __init__(self, encode):
+        self.encode, self.rare = encode, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if (ids := self.rare.pop(word, None)) is None:
+            ids = self.rare[word] = self.encode(word)
+        else:
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Token ids of texts, as little-endian bytes, by way of a bounded cache of words.
 
     Right for this tokenizer, which drops white space before it looks at words and ignores case: what stands between two
-    spaces is encoded alike wherever it stands. A word is cached for good when it comes back; words seen once wait in
-    ``rare``. Latin words need no normalising, so they go straight to the tokenizer's model.
+    spaces is encoded alike wherever it stands. Latin words need no normalising, so they go straight to the tokenizer's
+    model.
     """
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known, self.rare = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, KnownWords(self._ids)
         self.model = self.tokenizer.model
 
     def _ids(self, word: bytes) -> bytes:
@@ -70,19 +86,11 @@ class WordEncoder:
         data = text.encode()
         if b"<|" in data:  # special tokens are told apart by case
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known, rare = data.lower().split(), self.known, self.rare
-        here = {}
-        for word in set(words).difference(known):
-            if (ids := rare.pop(word, None)) is not None:
-                known[word] = ids
-            else:
-                here[word] = self._ids(word)
-        out = b"".join([known[w] if w in known else here[w] for w in words]) if here else b"".join(map(known.__getitem__, words))
-        rare.update(here)
-        if len(rare) > self.most:
-            rare.clear()
-        if len(known) > self.most:
-            known.clear()
+        known = self.known
+        out = b"".join(map(known.__getitem__, data.lower().split()))
+        for words in (known, known.rare):
+            if len(words) > self.most:
+                words.clear()
         return out
 
 
@@ -105,7 +113,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), cut, PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +185,7 @@ def pack(pieces: DataFrame, rows: int, capacity: int = CAPACITY, chunk: int = IT
         if held:
             yield from flush()
 
-    return dealt.mapInArrow(place, schema)
+    return map_batches(dealt, place, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
