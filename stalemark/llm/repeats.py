@@ -80,11 +80,14 @@ def window_runs(part: Slice, passage: int, gram: int) -> dict[str, np.ndarray]:
     same = chosen[1:][grams[chosen[1:]] == grams[chosen[:-1]]]
     again = np.zeros(len(begin), bool)
     if len(same):
-        holder = np.clip(np.searchsorted(first, same, "right") - 1, 0, None)
-        for back in range(3):  # a gram may belong to a run that began a few runs earlier
-            of = np.clip(holder - back, 0, None)
+        # A gram is the anchor of one run only. Of the runs that hold the gram at most ``width`` begin, each with a window of
+        # its own, from the last one begun before it backwards.
+        of = np.searchsorted(first, same, "right") - 1
+        for _ in range(width):
             hit = (anchor[begin[of]] == grams[same]) & (same < first[of] + n[of] + width - 1)
             again[of[hit]] = True
+            left = ~hit & (of > 0)
+            of, same = of[left] - 1, same[left]
     return {
         "row": row[begin], "anchor": anchor[begin], "seg": span_hashes(words, first, first + n + passage - 1),
         "first": first - bounds[:-1][row[begin]], "n": n, "again": again,

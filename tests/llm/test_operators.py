@@ -244,6 +244,20 @@ def test_repeats(spark, docs, passage, gram, vocabulary):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_short_periods(spark):
+    """Stretches that repeat themselves every few words, each in one document alone."""
+    rng = random.Random(24)
+    rows = []
+    for i in range(3000):
+        period = rng.randrange(1, 24)
+        cycle = [f"p{i}x{k}" for k in range(period)]
+        stretch = [cycle[k % period] for k in range(35 + period + rng.randrange(5))]
+        around = [[f"a{i}x{side}x{k}" for k in range(rng.randrange(60))] for side in range(2)]
+        rows.append((i, " ".join([*around[0], *stretch, *around[1]]), None, None, 0))
+    found = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in repeats.remove_repeats(frame(spark, rows)).collect())
+    assert found == Counter(brute.without_repeats([r[:2] for r in rows]))
+
+
 def test_long_passages_in_parts(monkeypatch):
     monkeypatch.setattr(repeats, "PART_WORDS", 7)
     monkeypatch.setattr(repeats, "AUTOMATON_BYTES", 60)
