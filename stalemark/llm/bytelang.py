@@ -5,6 +5,11 @@ reads each word byte by byte in both directions and labels every byte; a documen
 its bytes. Words are read whole (in pieces of ``PIECE`` bytes if longer) and don't depend on their neighbours, so a word
 that comes back in a slice of documents is read once and counted as often as it stands there.
 
+Every language with a label is learned. The sample holds about ``DOCS_PER_LANGUAGE`` documents of each, up to 64 languages;
+with more it stays at about ``DOCS`` documents in all, but never below ``LEAST_DOCS`` of a language, so from 1,600
+languages on it grows with their number, as do the network, the steps (each of ``BATCH`` words; languages take turns if
+they are more) and the memory of a step and of scoring.
+
 Edge cases: ``und`` and score 0 for a null text, a text without a letter, or if nothing was learned; a null lang teaches
 nothing; a null doc_id is not held out and teaches nothing; rows that repeat get equal answers; ties go to the language
 first by code point. Output columns replace input columns of the same name.
@@ -20,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stalemark.llm.frames import map_batches
+from stalemark.llm.frames import WORD, map_batches, write_through
 from stalemark.llm.texts import LOWER, Slice, expand, slices, word_hashes
 
 HIDDEN = 12
 PIECE = 24
 DOCS_PER_LANGUAGE = 500  # expected; the sample is drawn by hash
+DOCS, LEAST_DOCS = 32_000, 20
 WORDS_PER_DOC = 60
-MOST_LANGUAGES = 200
 STEPS, BATCH = 300, 512
 NONE = "und"
 SLICE_BYTES = 2 << 20
@@ -140,12 +145,20 @@ def as_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(words: list[bytes], labels: np.ndarray, languages: list[str], steps: int = STEPS, batch: int = BATCH, seed: int = 7) -> Network:
-    """A network fitted to words of known language, each language as often as any other, by Adam."""
+    """A network fitted to words of known language, each language as often as any other, by Adam. A step takes words of
+    ``batch`` languages at most; ``steps`` is how often each has its turn.
+    """
     net, rng = Network.fresh(languages, seed=seed), np.random.default_rng(seed)
     by_label = [np.flatnonzero(labels == k) for k in range(len(languages))]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
+    turns = -(-len(by_label) // batch)
+    steps *= turns
+    order = np.arange(len(by_label))
     for step in range(1, steps + 1):
-        chosen = np.concatenate([rng.choice(own, -(-batch // len(by_label))) for own in by_label])
+        if turns > 1 and step % turns == 1:
+            order = rng.permutation(len(by_label))
+        some = order[(step - 1) % turns :: turns]
+        chosen = np.concatenate([rng.choice(by_label[k], -(-batch // len(some))) for k in some])
         codes, lengths = as_codes([words[i] for i in chosen])
         _, grads = net.gradients(codes, lengths, labels[chosen])
         rate = 0.02 * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -175,8 +188,9 @@ def document_probabilities(net: Network, part: Slice) -> np.ndarray:
     lengths = (ends - starts)[first]
     order = np.argsort(lengths, kind="stable")
     each = np.empty((len(first), len(net.languages)), np.float32)
-    for at in range(0, len(order), 4096):
-        some = order[at : at + 4096]
+    block = max(64, min(4096, (1 << 20) // len(net.languages)))
+    for at in range(0, len(order), block):
+        some = order[at : at + block]
         n = lengths[some]
         place = starts[first[some]][:, None] + np.arange(int(n.max()))[None, :]
         codes = data[np.minimum(place, len(data) - 1)]
@@ -200,14 +214,19 @@ def has_letter(part: Slice) -> np.ndarray:
 
 
 def training_words(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, per_doc: int = WORDS_PER_DOC) -> tuple[list[bytes], np.ndarray, list[str]]:
-    """Words, their labels and the languages, from about ``per_language`` documents (doc_id, text, lang) of each."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    """Words, their labels and the languages, from about ``per_language`` documents (doc_id, text, lang) of each, or fewer
+    of each of many languages.
+
+    The shares are a table of one row per language, as many as the network has labels, so it may be broadcast.
+    """
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.col("text").rlike(WORD))
+    counts = write_through(known.groupBy("lang").count(), "languages")
+    if not (n := counts.count()):
         return [], np.zeros(0, np.int64), []
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))))
+    each = min(per_language, max(LEAST_DOCS, DOCS // n))
+    shares = counts.select("lang", (each / F.col("count")).alias("share"))
     drawn = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(drawn < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    sample = known.join(F.broadcast(shares), "lang").where(drawn < F.col("share"))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +241,8 @@ def training_words(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, per_d
 
     rows = map_batches(sample.select("text", "lang"), some, "lang string, words array<binary>").collect()
     languages = sorted({r["lang"] for r in rows if r["words"]})
-    pairs = sorted((languages.index(r["lang"]), bytes(w)) for r in rows for w in r["words"])
+    place = {lang: k for k, lang in enumerate(languages)}
+    pairs = sorted((place[r["lang"]], bytes(w)) for r in rows for w in r["words"])
     return [w for _, w in pairs], np.array([k for k, _ in pairs], np.int64), languages
 
 
@@ -231,10 +251,11 @@ def label_documents(docs: DataFrame, net: Network | None) -> DataFrame:
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*(F.col(f"`{c}`") for c in columns), F.lit("").alias("lang_pred"), F.lit(0.5).alias("score")).schema
     text_at = columns.index("text")
+    size = SLICE_BYTES * 16 // max(16, len(net.languages) if net else 0)  # the more languages, the fewer words at once
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(text_at), SLICE_BYTES):
+            for part in slices(batch.column(text_at), size):
                 found, score = [NONE] * part.n, np.zeros(part.n)
                 if net is not None:
                     p = document_probabilities(net, part)

@@ -333,6 +333,27 @@ def test_language(spark):
     assert {(r.lang_pred, r.score) for r in bytelang.label_documents(df, None).collect()} == {("und", 0.0)}
 
 
+def test_many_languages(spark):
+    """Every language is learned, the rarest too, and the words of each are bounded."""
+    rows = [(i, f"a{i % 301} b{i % 301} {'c' * (i % 5)}", f"l{i % 301:03}", None, 0) for i in range(1806)] + [(5000, "only one", "rare", None, 0), (5001, " ", "blank", None, 0)]
+    words, labels, languages = bytelang.training_words(frame(spark, rows), per_language=2)
+    assert "rare" in languages and "blank" not in languages and len(languages) > 250
+    assert Counter(labels.tolist())[languages.index("rare")] == 2 and len(words) < 4 * 302 * 3
+    words, labels, languages = bytelang.training_words(frame(spark, rows))
+    assert len(languages) == 302 and max(Counter(labels.tolist()).values()) <= 18
+    net = bytelang.train(words, labels, languages, steps=2, batch=100)
+    assert net.languages == languages and all(np.isfinite(p).all() for p in net.parameters())
+    got = bytelang.label_documents(frame(spark, rows[:50]), net).collect()
+    assert len(got) == 50 and all(r.lang_pred in languages for r in got)
+
+
+def test_languages_take_turns():
+    words = [bytes([97 + k // 4, 97 + k % 4]) for k in range(12)]
+    net = bytelang.train(words, np.arange(12), [f"l{k:02}" for k in range(12)], steps=200, batch=5)
+    p = net.labels(*bytelang.as_codes(words))
+    assert (p.mean(axis=0).argmax(axis=1) == np.arange(12)).all()
+
+
 def test_gradients():
     """Backpropagation through time against differences."""
     net = bytelang.Network.fresh(["a", "b"], hidden=3)
