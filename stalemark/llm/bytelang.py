@@ -2,7 +2,8 @@
 
 The network is trained in numpy, by backpropagation through time, on words of a bounded sample of labelled documents. It
 reads each word byte by byte in both directions and labels every byte; a document's probabilities are the mean over all
-its bytes. Words are read whole (in pieces of ``PIECE`` bytes if longer) and don't depend on their neighbours, so a word
+its bytes. Words are read whole (if longer, in pieces of about ``PIECE`` bytes that end with a character; training draws
+from all pieces) and don't depend on their neighbours, so a word
 that comes back in a slice of documents is read once and counted as often as it stands there.
 
 Every language with a label is learned. The sample holds about ``DOCS_PER_LANGUAGE`` documents of each, up to 64 languages;
@@ -170,11 +171,17 @@ def train(words: list[bytes], labels: np.ndarray, languages: list[str], steps: i
 
 
 def pieces_of(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a slice cut into pieces: starts, ends, and where each document's pieces begin."""
+    """Words of a slice cut into pieces, between characters: starts, ends, and where each document's pieces begin."""
     starts, ends, bounds = part.words()
     counts = -(-(ends - starts) // PIECE)
-    begin = np.repeat(starts, counts) + PIECE * expand(np.zeros(len(starts), np.int64), counts)
-    return begin, np.minimum(begin + PIECE, np.repeat(ends, counts)), np.concatenate([[0], np.cumsum(counts)])[bounds]
+    place = expand(np.zeros(len(starts), np.int64), counts)
+    begin = np.repeat(starts, counts) + PIECE * place
+    for _ in range(3):  # back to the first byte of a character
+        begin -= ((part.data[begin] & 0xC0) == 0x80) & (place > 0)
+    bound = np.concatenate([[0], np.cumsum(counts)])
+    end = np.append(begin[1:], 0)[: len(begin)]
+    end[bound[1:] - 1] = ends
+    return begin, end, bound[bounds]
 
 
 def document_probabilities(net: Network, part: Slice) -> np.ndarray:
@@ -230,14 +237,14 @@ def training_words(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, per_d
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, found = [], []
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = text.as_py().encode().lower().split()
-                rng = np.random.default_rng(len(words))
-                chosen = rng.choice(len(words), min(per_doc, len(words)), replace=False) if words else []
-                langs.append(lang)
-                found.append([words[i][:PIECE] for i in chosen])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.list_(pa.binary()))], names=["lang", "words"])
+            found = []
+            for part in slices(batch.column(0), SLICE_BYTES):
+                data = LOWER[part.data]
+                starts, ends, bounds = pieces_of(part)
+                for first, n in zip(bounds[:-1].tolist(), np.diff(bounds).tolist(), strict=True):
+                    chosen = first + np.random.default_rng(n).choice(n, min(per_doc, n), replace=False) if n else []
+                    found.append([data[starts[k] : ends[k]].tobytes() for k in chosen])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.binary()))], names=["lang", "words"])
 
     rows = map_batches(sample.select("text", "lang"), some, "lang string, words array<binary>").collect()
     languages = sorted({r["lang"] for r in rows if r["words"]})

@@ -347,6 +347,19 @@ def test_many_languages(spark):
     assert len(got) == 50 and all(r.lang_pred in languages for r in got)
 
 
+def test_pieces_of_long_words(spark):
+    """Training draws from all pieces of a text without spaces; no cut goes through a character."""
+    text = "".join(chr(0x4E00 + k) for k in range(400)) + "a\U0001f600" * 50
+    part = next(texts.slices(pa.array([f"x {text} y", None, text])))
+    starts, ends, bounds = bytelang.pieces_of(part)
+    cut = [[part.data[a:b].tobytes().decode() for a, b in zip(starts[x:y], ends[x:y])] for x, y in zip(bounds[:-1], bounds[1:])]
+    assert cut[0] == ["x", *cut[2], "y"] and "".join(cut[2]) == text and not cut[1]
+    assert all(len(p.encode()) <= bytelang.PIECE + 3 for p in cut[2])
+    words, _, _ = bytelang.training_words(frame(spark, [(1, text, "zh", None, 0)]))
+    assert {w.decode() for w in words} <= set(cut[2])
+    assert len(words) == min(bytelang.WORDS_PER_DOC, len(cut[2])) > 50
+
+
 def test_languages_take_turns():
     words = [bytes([97 + k // 4, 97 + k % 4]) for k in range(12)]
     net = bytelang.train(words, np.arange(12), [f"l{k:02}" for k in range(12)], steps=200, batch=5)
