@@ -4,8 +4,10 @@ The prefixes of a conversation are rendered one after another. Each output has t
 template rewrites history; what is new is the turn's span. Rendering the turn with two other texts in its place shows where
 the text stands inside the span: what both have in common before and behind it isn't text. Assistant texts are the loss mask.
 
-A conversation is streamed in the order of its turns, with the last ``WINDOW`` turns in memory at most: beyond them
-rendering starts anew from ``CONTEXT`` turns of context, after making sure that the latest turn is rendered alike from there.
+A conversation is streamed in the order of its turns. After each ``WINDOW`` turns rendering starts anew from ``CONTEXT``
+turns of context, after making sure that the latest turn is rendered alike from there. At 2, 4, 8, ... ``WINDOW`` turns and
+at its end the whole conversation is rendered and compared with a hash of all spans, so work stays near linear; for this
+one task holds the turns of a conversation, and at these lengths its output.
 
 Edge cases: a null text or role is an empty one; null turns come last, equal turns in the order of role and text; a null
 conv_id is a conversation of its own; a text may hold any control string, escaped and read back unchanged; conversations
@@ -77,6 +79,9 @@ class Renderer:
         self.turns: list[Turn] = []
         self.output = template.render([])
         self.length = len(self.output)
+        self.told: list[Turn] = []
+        self.digest = hashlib.sha256(self.output.encode())
+        self.compared = window  # turns up to here were rendered together
 
     def _new(self, before: list[Turn], output: str, turn: Turn) -> str:
         after = self.template.render([*before, turn])
@@ -93,6 +98,10 @@ class Renderer:
         begin, self.length = self.length, self.length + len(span)
         self.turns.append((role, text))
         self.output += span
+        self.told.append((role, text))
+        self.digest.update(span.encode())
+        if len(self.told) >= 2 * self.compared:
+            self.finish()
         if len(self.turns) >= self.window:
             kept = self.turns[-self.context :]
             short = self.template.render(kept[:-1])
@@ -101,6 +110,14 @@ class Renderer:
             self.turns, self.output = kept, self.template.render(kept)
         return span, begin, head, len(span) - tail
 
+    def finish(self) -> None:
+        """Make sure that the spans so far, one after another, are what the template makes of all turns together."""
+        if len(self.told) > self.compared:
+            whole = self.template.render(self.told)
+            if len(whole) != self.length or hashlib.sha256(whole.encode()).digest() != self.digest.digest():
+                raise RewritesHistory(f"the first {len(self.told)} turns together are not their spans")
+            self.compared = len(self.told)
+
 
 def turn_spans(conversations: DataFrame, template=None, loss_role: str = "assistant") -> DataFrame:
     """A row per turn of conversations (conv_id, turn, role, text), in order within partitions: the ``span`` it adds to the
@@ -123,6 +140,8 @@ def turn_spans(conversations: DataFrame, template=None, loss_role: str = "assist
         for batch in batches:
             for conv_id, role, text in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
                 if conv != (conv_id,):
+                    if renderer:
+                        renderer.finish()
                     conv, renderer, position = (conv_id,), Renderer(template), 0
                 span, begin, a, b = renderer.add(role, text)
                 made.append((conv_id, position, role, span, begin, a, b, role == loss_role))
@@ -130,6 +149,8 @@ def turn_spans(conversations: DataFrame, template=None, loss_role: str = "assist
                 if len(made) >= ROWS_PER_BATCH:
                     yield batch_of(made)
                     made = []
+        if renderer:
+            renderer.finish()
         if made:
             yield batch_of(made)
 

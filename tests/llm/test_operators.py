@@ -479,6 +479,30 @@ def test_windows_of_turns():
             renderer.add(*t)
 
 
+class Forgetting(chat.MarkedTurns):
+    """Drops early turns of a conversation of more than ``most``."""
+
+    def __init__(self, most):
+        self.most = most
+
+    def render(self, turns):
+        return super().render(turns[1:] if len(turns) > self.most else turns)
+
+
+def test_late_rewriting(spark):
+    for most, n in ((5, 6), (10, 11), (20, 21), (20, 28)):
+        renderer = chat.Renderer(Forgetting(most), window=7, context=2)
+        with pytest.raises(chat.RewritesHistory):
+            for k in range(n):
+                renderer.add("user", str(k))
+            renderer.finish()
+    rows = [(c, k, "user", str(k)) for c in (1, 2) for k in range(620 if c == 1 else 3)]
+    df = spark.createDataFrame(rows, TURNS)
+    assert chat.turn_spans(df, Forgetting(620)).count() == 623
+    with pytest.raises(Exception, match="RewritesHistory"):
+        chat.turn_spans(df, Forgetting(600)).collect()
+
+
 # ------------------------------------------------------------------------ mixing
 
 
