@@ -6,7 +6,7 @@ first shard is searched alone; its k-th score of each query is where every other
 
 Edge cases: vectors that are null or hold null or non-finite components take no part; vectors meet only those of their
 own length, and empty vectors score 0 with each other; a null id takes no part; ties go to the smaller id; many equal
-vectors form one leaf of which the k + 1 smallest ids are looked at; a score beyond 64 bits is set to the end of the range.
+vectors form one leaf of which the k smallest ids but the query's own are looked at; a score beyond 64 bits is set to the end of the range.
 """
 
 from __future__ import annotations
@@ -89,7 +89,9 @@ class BallTree:
                     if most[child] >= least:
                         heapq.heappush(queue, (-most[child], child))
                 continue
-            rows = self.rows[node][: k + 1] if self.same[node] else self.rows[node]
+            rows = self.rows[node]
+            if self.same[node]:
+                rows = rows[ids[rows] != own][:k]
             if exact:
                 scores = self.vectors[rows] @ query
                 keep = np.flatnonzero(scores >= least)

@@ -100,6 +100,15 @@ def test_top_k(spark, monkeypatch, n):
     assert got == clamped
 
 
+def test_equal_vectors_with_repeated_ids():
+    """Rows of the query's own id, however many, hide no other id with the same vector."""
+    ids = np.array([50] * 9 + [60, 60, 70])
+    tree = balltree.BallTree(np.ones((12, 3)))
+    for exact in (True, False):
+        assert sorted(tree.search(np.ones(3), ids, 50, 5, float("-inf"), exact)) == [(3, 60), (3, 60), (3, 70)]
+        assert sorted(tree.search(np.ones(3), ids, 60, 2, float("-inf"), exact)) == [(3, 50), (3, 50)]
+
+
 # ------------------------------------------------------------------------ packing
 
 
