@@ -12,7 +12,7 @@ languages on it grows with their number, as do the network, the steps (each of `
 they are more) and the memory of a step and of scoring.
 
 Edge cases: ``und`` and score 0 for a null text, a text without a letter, or if nothing was learned; a null lang teaches
-nothing; a null doc_id is not held out and teaches nothing; rows that repeat get equal answers; ties go to the language
+nothing; a null doc_id is not held out and teaches nothing; rows that repeat teach once and get equal answers; ties go to the language
 first by code point. Output columns replace input columns of the same name.
 """
 
@@ -224,15 +224,16 @@ def training_words(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, per_d
     """Words, their labels and the languages, from about ``per_language`` documents (doc_id, text, lang) of each, or fewer
     of each of many languages.
 
-    The shares are a table of one row per language, as many as the network has labels, so it may be broadcast.
+    Rows equal in doc_id, text and lang count once. The shares are a table of one row per language, as many as the network has labels, so it may be broadcast.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.col("text").rlike(WORD))
-    counts = write_through(known.groupBy("lang").count(), "languages")
+    known = known.select("lang", "text", F.xxhash64(F.lit(7), "doc_id", "text").alias("key"))
+    counts = write_through(known.groupBy("lang").agg(F.approx_count_distinct("key").alias("count")), "languages")
     if not (n := counts.count()):
         return [], np.zeros(0, np.int64), []
     each = min(per_language, max(LEAST_DOCS, DOCS // n))
     shares = counts.select("lang", (each / F.col("count")).alias("share"))
-    drawn = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = F.pmod("key", F.lit(1 << 30)) / float(1 << 30)
     sample = known.join(F.broadcast(shares), "lang").where(drawn < F.col("share"))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,9 +245,10 @@ def training_words(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, per_d
                 for first, n in zip(bounds[:-1].tolist(), np.diff(bounds).tolist(), strict=True):
                     chosen = first + np.random.default_rng(n).choice(n, min(per_doc, n), replace=False) if n else []
                     found.append([data[starts[k] : ends[k]].tobytes() for k in chosen])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.binary()))], names=["lang", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.binary()))], names=["lang", "key", "words"])
 
-    rows = map_batches(sample.select("text", "lang"), some, "lang string, words array<binary>").collect()
+    rows = map_batches(sample.select("text", "lang", "key"), some, "lang string, key long, words array<binary>")
+    rows = rows.groupBy("lang", "key").agg(F.first("words").alias("words")).collect()
     languages = sorted({r["lang"] for r in rows if r["words"]})
     place = {lang: k for k, lang in enumerate(languages)}
     pairs = sorted((place[r["lang"]], bytes(w)) for r in rows for w in r["words"])

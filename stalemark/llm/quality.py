@@ -5,7 +5,7 @@ half of (sum of v x)² - sum of (v x)², so a score costs one pass over its word
 sample of labelled rows; scoring covers every word of every document.
 
 Edge cases: a null text is an empty one and gets a score from its statistics; null or missing metadata counts as 0; labels
-that are null or not 0 or 1 teach nothing, a document labelled twice teaches twice; with no label at all, or of one kind
+that are null or not 0 or 1 teach nothing, a document labelled twice teaches twice, equal rows of one id teach once; with no label at all, or of one kind
 only, every score is the share of ones learned (0.5 if none). Output columns replace input columns of the same name.
 """
 
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stalemark.llm.frames import map_batches
+from stalemark.llm.frames import map_batches, write_through
 from stalemark.llm.texts import LOWER, Slice, slices, word_hashes
 
 BUCKETS = 1 << 15
@@ -157,9 +157,16 @@ def _metadata(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = (), most: int = TRAINING_ROWS) -> list:
-    """Features of the first ``most`` of ``labels`` (doc_id, label) in the order of a hash, out of documents (doc_id, text)."""
+    """Features of documents (doc_id, text) that are among the first ``most`` of ``labels`` (doc_id, label) in the order of
+    a hash. Of documents that share an id, equal ones count once, and the first ``most`` by a hash of the whole are taken.
+    """
     few = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").orderBy(F.xxhash64(F.lit(6), "doc_id"), "doc_id", "label").limit(most)
-    found = docs.join(F.broadcast(few), "doc_id").select("text", F.col("label").cast("int").alias("label"), *metadata)
+    few = few.select("doc_id", F.col("label").cast("int").alias("label"), F.monotonically_increasing_id().alias("_label"))
+    place = F.xxhash64(F.lit(6), "doc_id", "text", *metadata).alias("_place")
+    found = docs.join(F.broadcast(few), "doc_id").select("text", "label", *metadata, "_label", place)
+    found = write_through(found.dropDuplicates(["_place", "_label"]), "labelled")
+    first = found.select("_place", "_label").orderBy("_place", "_label").limit(most)
+    found = found.join(F.broadcast(first), ["_place", "_label"]).select("text", "label", *metadata)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

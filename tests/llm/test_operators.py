@@ -306,6 +306,19 @@ def test_quality(spark):
     assert quality.score_documents(frame(spark, []), model, ["n_chars"]).count() == 0
 
 
+def test_samples_are_bounded_by_rows(spark):
+    """Rows that share a drawn doc_id don't add to the sample of either model."""
+    rows = [(1, f"word{i} again", "en", None, 0) for i in range(1000)] + [(2, "copy of a row", "en", None, 0)] * 1000 + [(3, "other", "en", None, 0)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1)], "doc_id long, label int")
+    df = frame(spark, rows)
+    assert len(quality.training_rows(df, labels, ["n_chars"], most=40)) == 40
+    assert sorted(r[0] for r in quality.training_rows(df.where("doc_id > 1"), labels, ["n_chars"])) == [0, 0, 1]
+    words, _, _ = bytelang.training_words(df, per_language=100)
+    assert 100 < len(words) < 400
+    words, _, _ = bytelang.training_words(df.where("doc_id > 1"))
+    assert Counter(words) == Counter([b"copy", b"of", b"a", b"row", b"other"])
+
+
 def test_machine_counts_pairs():
     """The sum-of-squares identity against the sum over all pairs."""
     rng = np.random.default_rng(2)
