@@ -5,9 +5,11 @@
    about every 12 words: (anchor, hash of all words of the run).
 2. Runs that occur twice recur as a whole. Where runs of one anchor differ, the windows of one example of each are
    counted. No group is collected: counts are aggregated before the shuffle, and joined back.
-3. Documents meet the places found in them. A task takes them slice by slice, compiles the recurring passages of the
-   slice into Aho-Corasick automata of bounded size and streams its documents through; what the automaton finds is removed. So every
-   removed word was matched as text, not as a hash.
+3. Documents meet the places found in them. A task takes them slice by slice, compiles the passages at these places into
+   Aho-Corasick automata of bounded size and streams the documents of the slice through; what is found is removed.
+
+Steps 1 and 2, joins by 64-bit hashes, decide which passages recur. The automata only find those passages again in the slice
+that they were cut from: they don't confirm that a passage stands elsewhere as text, and see no document of another slice.
 
 Edge cases: a null text has no words; documents shorter than a window lose nothing; rows that repeat, with one doc_id or
 several, repeat each other's windows and lose them; a document may lose all words and stays as an empty one; null ids take
