@@ -21,7 +21,10 @@ def _text_and_rest(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out documents in no language: without a text, without a letter in it, or if no language could be learned."""
+    """Leave out documents in no language: without a text, without a letter in it, or if no language could be learned.
+
+    Nothing else is rejected: the network's labels and scores decide about no row, and are not carried on.
+    """
     named = bytelang.label_documents(_text_and_rest(docs).drop("doc_id"), bytelang.learn_languages(docs))
     return unwrapped(named.where(F.col("lang_pred") != bytelang.NONE), {"text": F.col("text")}).select(docs.columns)
 
