@@ -78,3 +78,79 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length(regexp_replace(role, '[\\#<:]', 'xx', 'g')) + length(regexp_replace(text, '[\\#<]', 'xx', 'g')) + length('### : </turn>') + 1) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _round(n: int) -> str:
+    """Assignments ``a<n>`` to the centroids ``c<n>``, and the centroids ``c<n + 1>`` that they give."""
+    return f"""
+a{n} AS (
+    SELECT r, vec_id, any_value(v.q) AS q,
+           min({{'d': list_sum(list_transform(list_zip(v.q, m.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': m.c}}) AS best
+    FROM kept AS v, c{n} AS m GROUP BY r, vec_id
+), s{n} AS (
+    SELECT c, p, sum(x) AS s, count(*) AS n
+    FROM (SELECT best.c AS c, unnest(q) AS x, unnest(range(1, 65)) AS p FROM a{n}) GROUP BY c, p
+), c{n + 1} AS (
+    SELECT c{n}.c, coalesce(new.q, c{n}.q) AS q
+    FROM c{n} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS q FROM s{n} GROUP BY c) AS new USING (c)
+)"""
+
+
+CLUSTERS = f"""
+WITH kept AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND {FINITE}
+), c0 AS (
+    SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS INTEGER) AS c, q
+    FROM kept ORDER BY sha256('1:' || vec_id), q LIMIT 16
+), {",".join(_round(n) for n in range(4))}
+SELECT vec_id, best.c AS cluster, CAST(best.d AS BIGINT) AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.q, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c3.c = best.c
+"""
+
+AUDIT = f"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {WORDS.format("coalesce(text, '')")} AS w FROM documents
+), fails AS (
+    SELECT doc_id, part, [
+        len(w) < 100,
+        100 * len(list_distinct(w)) < 80 * len(w),
+        100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+        regexp_matches(t, '[#$%&*|]'),
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)
+    ] AS f
+    FROM split
+), marked AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), doc AS (
+    SELECT part, f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+    FROM fails LEFT JOIN marked USING (doc_id) GROUP BY ALL
+), orders AS (
+    SELECT '' AS o
+    UNION ALL
+    SELECT o || l FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE NOT contains(o, l)
+), steps AS (
+    SELECT o, s, ord(o[s]) - 64 AS i, list_transform(range(1, s), lambda p: ord(o[p]) - 64) AS earlier
+    FROM orders, (SELECT unnest(range(1, 6)) AS s) WHERE length(o) = 5
+), seen AS (
+    SELECT part, o, s, i, f, n, good, toxic, f[i] AS bad, len(list_filter(earlier, lambda e: f[e])) = 0 AS there FROM doc, steps
+), told AS (
+    SELECT part, o, s, i,
+           coalesce(sum(n) FILTER (there AND NOT bad), 0) AS kept,
+           coalesce(sum(n) FILTER (there AND bad), 0) AS removed,
+           coalesce(sum(n) FILTER (NOT there AND bad), 0) AS redundant,
+           coalesce(sum(n) FILTER (bad AND len(list_filter(f, lambda x: x)) = 1), 0) AS unique_fails,
+           coalesce(sum(n) FILTER (there AND bad AND good), 0) AS good_lost,
+           coalesce(sum(n) FILTER (there AND bad AND toxic), 0) AS toxic_lost
+    FROM seen GROUP BY part, o, s, i
+)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley
+FROM told
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stalemark.llm import balltree, bytelang, chat, mixing, nearness, oracles, packing, phrases, quality, repeats, sharding
+from stalemark.llm import audit, balltree, bisector, bytelang, chat, mixing, nearness, oracles, packing, phrases, quality, repeats, sharding
 from stalemark.llm.frames import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,8 @@ ORACLES: dict[str, str] = {
     "op3_b_bit_minhash_dedup": oracles.NEAR,
     "op5_repeated_phrase_automata": oracles.REPEATS,
     "op9_incremental_rendering": oracles.CHAT,
+    "op12_bisector_tournament": oracles.CLUSTERS,
+    "op13_filter_interaction_audit": oracles.AUDIT,
 }
 
 
@@ -87,3 +89,13 @@ def op9_incremental_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op12_bisector_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisector.cluster_vectors(bisector.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+@query
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
