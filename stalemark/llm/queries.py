@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stalemark.llm import audit, balltree, bisector, bytelang, chat, mixing, nearness, oracles, packing, phrases, quality, repeats, sharding
+from stalemark.llm import audit, balltree, bisector, bytelang, chat, mixing, nearness, oracles, packing, phrases, quality, repeats, sharding, treeweight
 from stalemark.llm.frames import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +92,15 @@ def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op11_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out"))
+    scored = treeweight.score_documents(docs, ~F.col("held_out"))
+    bits = -F.col("score") / F.lit(math.log10(2)) / F.col("stream_bytes")
+    return scored.withColumn("bits_per_byte", bits)
+
+
 @query
 def op12_bisector_tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bisector.cluster_vectors(bisector.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
