@@ -62,7 +62,9 @@ def write_through(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
 
 
 def written_tables() -> list[str]:
@@ -70,8 +72,21 @@ def written_tables() -> list[str]:
     return list(_written)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``write_through`` that nothing needs any more, not even the repeat of a lost task."""
+    for table in tables:
+        path = table.written_path
+        if path in _written:
+            _written.remove(path)
+            _remove(table.sparkSession, path)
+
+
 def remove_written(spark: SparkSession) -> None:
     """Remove those tables. Results that were read from them can't be computed again afterwards."""
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(spark, _written.pop())
+
+
+def _remove(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
