@@ -10,7 +10,10 @@ from pyspark.sql.types import StructType
 
 from stalemark import session
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.parquet.compression.codec": "zstd",
+}
 BATCH_BYTES = "8m"
 FILTER_BITS = 23
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,12 +53,14 @@ def map_batches(df: DataFrame, function: Callable, schema: StructType | str) ->
 def write_through(df: DataFrame, purpose: str) -> DataFrame:
     """The same rows, read back from a table in the shared folder; the shuffle files that made it go at once."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
+    before = {name: conf.get(name, None) for name in WRITING}
+    for name, value in WRITING.items():
+        conf.set(name, value)
     try:
         return session.write_through(df, purpose)
     finally:
-        conf.set(CLEANUP, before)
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
 
 
 def marked_by(df: DataFrame, keys: DataFrame, columns: list[str], name: str) -> DataFrame:

@@ -9,12 +9,11 @@ that training never saw has no estimate, and the mixture ends at the one before
 
 How it runs. Documents become streams in compressed chunks, dealt into blocks of bounded size, and written once. A pass over
 them counts the distinct (context, byte) pairs and words of every block. Sums over blocks are the counts of the corpus: all
-of them, nothing pruned. The trees are built level by level as joins and groupings of contexts, deepest first for the
-weights, shortest first for the mixtures. Each block then asks for the values of its own distinct pairs and words, and a
-task adds them up over the block's documents. So what is moved is a block's distinct entries, not its positions, and no
-task ever holds the model.
+of them, nothing pruned. The trees are built from the longest contexts to the shortest for the weights, and back for the
+mixtures. Each block then asks for the values of its own distinct pairs and words, and a task adds them up over the block's
+documents. So what is moved is a block's distinct entries, not its positions, and no task ever holds the model.
 
-Words are counted by two 64-bit hashes of their bytes; pairs up to a depth of 6 are numbers themselves.
+Words are counted by 96 bits of hashes of their bytes; pairs up to a depth of 6 are numbers themselves.
 
 Edge cases: a null text is an empty one, whose only token is the end; texts of any length are read whole, one in the memory
 of a task at a time; equal texts have equal scores; ids are not looked at, repeated rows count each; without
@@ -37,6 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from stalemark.llm.frames import map_batches, unwrapped, write_through
 from stalemark.llm.spans import Spans
 from stalemark.llm.texts import LOWER, SPACE, Slice, slices
+from stalemark.session import discard
 
 DEPTH = 5
 BLOCK_BYTES = 32 << 20
@@ -81,12 +81,13 @@ def pairs_of(stream: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
 
 
 def words_of(stream: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of each token, the end included, and where each text's tokens begin."""
+    """Two hashes of each token, of 64 and 32 bits, the end included, and where each text's tokens begin."""
     stops = np.flatnonzero((stream == GAP) | (stream == END))
     starts = np.concatenate([[0], stops[:-1] + 1]).astype(np.int64)[: len(stops)]
     ends = np.where(stream[stops] == END, stops + 1, stops)  # the end mark is a token of its own
     spans = Spans(stream, starts, ends)
-    return spans.hashes(11).view(np.int64), spans.hashes(12).view(np.int64), np.searchsorted(stops, bounds)
+    second = spans.hashes(12).view(np.int64).astype(np.int32).astype(np.int64)
+    return spans.hashes(11).view(np.int64), second, np.searchsorted(stops, bounds)
 
 
 # -------------------------------------------------------------------- chunks
@@ -184,11 +185,9 @@ def _entries(depth: int):
                 for at in range(0, len(keys), 1 << 16):
                     some = slice(at, at + (1 << 16))
                     n = len(counts[some])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, block)), pa.array(np.full(n, kind, np.int32)),
-                         pa.array(keys[some, 0]), pa.array(keys[some, 1]), pa.array(counts[some])],
-                        ["block", "kind", "a", "b", "n"],
-                    )
+                    second = pa.array(keys[some, 1].astype(np.int32)) if kind == WORD else pa.nulls(n, pa.int32())
+                    columns = [pa.array(np.full(n, block)), pa.array(keys[some, 0]), second, pa.array(counts[some])]
+                    yield pa.RecordBatch.from_arrays(columns, ["block", "a", "b", "n"])
 
         for batch in batches:
             for chunk in batch.to_pylist():
@@ -212,85 +211,218 @@ def _entries(depth: int):
 
 
 # --------------------------------------------------------------------- trees
+#
+# A node is a context and the bits of a byte decided so far; its children have a longer context and the same bits. Contexts
+# longer than ``HOME`` bytes stay with the home that their last bytes name: at most 256**(depth - HOME) contexts, however
+# large the corpus. Homes are spread over the tasks, and the nodes below them are arrays there. The nodes of up to ``HOME``
+# bytes are rows of tables.
 
+HOME = 3
+HOMES_TOGETHER = 1 << 18  # pairs of whole homes that a task takes at a time, at least
+LOG_HALF = -math.log(2)
 
-def _log_gamma(x: Column) -> Column:
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln of the gamma function, from 1/2 on, to about 12 digits: Stirling's series six steps up."""
-    z = x + 6
-    steps = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5)
-    series = 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3))) + 1 / (1260 * F.pow(z, F.lit(5))) - 1 / (1680 * F.pow(z, F.lit(7)))
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(steps)
+    z, steps = x + 6.0, x.copy()
+    for i in range(1, 6):
+        steps = steps * (x + i)
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - np.log(steps)
 
 
-def _log_estimate(zeros: Column, ones: Column) -> Column:
+def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of a sequence with so many zeros and ones."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def _suffix(context: Column, length: int) -> Column:
-    return context.bitwiseAND(F.lit((1 << (8 * length)) - 1).cast("long"))
+def reversed_context(pairs: np.ndarray, depth: int) -> np.ndarray:
+    """Contexts with the byte next to the decision first, so that those with a common suffix are neighbours when sorted."""
+    out = np.zeros_like(pairs)
+    for back in range(1, depth + 1):
+        out = out << 8 | (pairs >> (8 * back) & 255)
+    return out
+
+
+class Level:
+    """Nodes with contexts of one length, and which of them is the parent of each node of the next longer one."""
+
+    def __init__(self, starts: np.ndarray, zeros: np.ndarray, ones: np.ndarray, longer: np.ndarray | None):
+        self.starts, self.zeros, self.ones, self.longer = starts, zeros, ones, longer
+        self.seen = zeros + ones
+        self.one = (ones + 0.5) / (self.seen + 1.0)
+        own = log_estimate(zeros, ones)
+        self.weighted = own if longer is None else np.logaddexp(own, longer) + LOG_HALF
+        # How much of the weighted probability is the own estimate's.
+        self.share = np.ones(len(own)) if longer is None else np.exp(own + LOG_HALF - self.weighted)
+
+
+class Decision:
+    """The trees of the ``i``-th bit of a byte, below the homes of the pairs (a, n)."""
+
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray, contexts: np.ndarray, i: int, depth: int, home: int):
+        byte = pairs & 255
+        prefix, bit = (byte + 256) >> (8 - i), byte >> (7 - i) & 1
+        self.order = np.lexsort((contexts, prefix))
+        prefix, self.bit, contexts = prefix[self.order], bit[self.order], contexts[self.order]
+        counts = counts[self.order].astype(np.float64)
+        zeros, ones, longer, self.levels = np.where(self.bit == 0, counts, 0.0), np.where(self.bit == 1, counts, 0.0), None, []
+        at = np.arange(len(pairs))
+        for length in range(depth, home - 1, -1):
+            # The nodes one level down, or the pairs themselves, fall into runs of one context of this length.
+            key, kind = contexts[at] >> (8 * (depth - length)), prefix[at]
+            fresh = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])]))
+            zeros, ones = np.add.reduceat(zeros, fresh), np.add.reduceat(ones, fresh)
+            if longer is not None:
+                longer = np.add.reduceat(longer, fresh)
+            at = at[fresh]
+            self.levels.append(Level(at, zeros, ones, longer))
+            longer = self.levels[-1].weighted
+        self.top, self.prefix, self.home = self.levels[-1], prefix[at], contexts[at] >> (8 * (depth - home))
+
+    def chances(self, left: np.ndarray, got: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """ln of the mixed probability of each pair's bit, in the order of the pairs, from the state at the top nodes: what
+        the mixture has given out, the part of a one in it, and the chance of a one if the path ends there.
+        """
+        above = self.top
+        for level in self.levels[-2::-1]:
+            up = np.searchsorted(above.starts, level.starts, "right") - 1
+            share, left, got, before = level.share, left[up], got[up], one[up]
+            one = np.where(level.seen > 0, got + left * level.one, before)
+            left, got, above = left * (1 - share), got + left * share * level.one, level
+        mine = np.searchsorted(above.starts, np.arange(len(self.order)), "right") - 1
+        chance = np.where(self.bit == 1, one[mine], 1 - one[mine])
+        out = np.empty(len(chance))
+        out[self.order] = np.log(chance)
+        return out
+
+
+def _decisions(pairs: np.ndarray, counts: np.ndarray, depth: int, home: int) -> list[Decision]:
+    contexts = reversed_context(pairs, depth)
+    return [Decision(pairs, counts, contexts, i, depth, home) for i in range(8)]
+
+
+def _whole_homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``home``, in tables that no home is divided between."""
+    held, size, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        homes = batch["home"].to_numpy()
+        if size >= HOMES_TOGETHER:
+            more = int(np.searchsorted(homes, last, "right"))
+            held.append(batch.slice(0, more))
+            if more < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size, batch = [], 0, batch.slice(more)
+            else:
+                continue
+        held.append(batch)
+        size, last = size + batch.num_rows, homes[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _home_tops(depth: int, home: int):
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_homes(batches):
+            pairs, counts = table["a"].to_numpy(), table["n"].to_numpy()
+            for d in _decisions(pairs, counts, depth, home):
+                longer = pa.nulls(len(d.home), pa.float64()) if d.top.longer is None else pa.array(d.top.longer)
+                columns = [pa.array(d.home), pa.array(d.prefix.astype(np.int32)), pa.array(d.top.zeros), pa.array(d.top.ones), longer]
+                yield pa.RecordBatch.from_arrays(columns, ["context", "prefix", "zeros", "ones", "longer"])
+
+    return tops
+
+
+def _home_values(depth: int, home: int):
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_homes(batches):
+            is_top = pc.is_valid(table["prefix"])
+            top, table = table.filter(is_top), table.filter(pc.invert(is_top))
+            pairs, counts = table["a"].to_numpy(), table["n"].to_numpy()
+            state = [top[c].to_numpy() for c in ("left", "got", "one")]
+            keys = top["home"].to_numpy() << 9 | top["prefix"].to_numpy()
+            order = np.argsort(keys)
+            total = np.zeros(len(pairs))
+            for d in _decisions(pairs, counts, depth, home):
+                at = order[np.searchsorted(keys, d.home << 9 | d.prefix, sorter=order)]
+                total += d.chances(*(s[at] for s in state))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(total)], ["a", "value"])
+
+    return values
+
+
+def _home_of(depth: int, home: int) -> Column:
+    """The last ``home`` bytes of a pair's context, the nearest one first."""
+    out = F.lit(0).cast("long")
+    for back in range(1, home + 1):
+        byte = F.shiftright("a", 8 * back).bitwiseAND(F.lit(255).cast("long"))
+        out = out + F.shiftleft(byte, 8 * (home - back))
+    return out
 
 
-def _decisions(pairs: DataFrame) -> DataFrame:
-    """Each pair eight times: the bits of the byte before the decision (behind a 1), and the bit decided."""
-    byte = F.col("a").bitwiseAND(F.lit(255).cast("long")).cast("int")
-    eight = F.transform(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda i: F.struct(
-            F.call_function("shiftright", byte + 256, 8 - i).alias("prefix"),
-            F.call_function("shiftright", byte, 7 - i).bitwiseAND(F.lit(1)).alias("bit"),
-        ),
-    )
-    return pairs.select("*", F.shiftright("a", 8).alias("context"), F.inline(eight))
+def _log_gamma(x: Column) -> Column:
+    """The same as ``log_gamma``, over columns."""
+    z, steps = x + 6, x
+    for i in range(1, 6):
+        steps = steps * (x + i)
+    series = 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3))) + 1 / (1260 * F.pow(z, F.lit(5))) - 1 / (1680 * F.pow(z, F.lit(7)))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(steps)
 
 
-def mixtures(pairs: DataFrame, depth: int) -> DataFrame:
-    """(a, value): ln of the mixed probability of each pair's byte after its context. ``pairs`` has a and its count n."""
-    n = F.col("n").cast("double")
-    level = _decisions(pairs).groupBy("context", "prefix").agg(
-        F.sum(F.when(F.col("bit") == 0, n).otherwise(0.0)).alias("zeros"),
-        F.sum(F.when(F.col("bit") == 1, n).otherwise(0.0)).alias("ones"),
-        F.lit(None).cast("double").alias("longer"),
-    )
-    levels = []
-    for length in range(depth, -1, -1):
-        own = _log_estimate(F.col("zeros"), F.col("ones"))
-        # ln(1/2 e^own + 1/2 e^longer), and the share of e^own in it
-        most, least = F.greatest(F.col("own"), F.col("longer")), F.least(F.col("own"), F.col("longer"))
-        both = most + F.log1p(F.exp(least - most)) - math.log(2)
+def _log_estimate(zeros: Column, ones: Column) -> Column:
+    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+
+
+def _short_levels(tops: DataFrame, home: int) -> list[DataFrame]:
+    """Nodes with contexts of ``home`` bytes, one byte less, ..., none. Contexts are numbers, the nearest byte first."""
+    levels, level = [], tops
+    for length in range(home, -1, -1):
+        most, least = F.greatest("own", "longer"), F.least("own", "longer")
+        both = most + F.log1p(F.exp(least - most)) + LOG_HALF
         leaf = F.col("longer").isNull()
-        level = level.withColumn("own", own).select(
-            "context", "prefix", "zeros", "ones",
-            F.when(leaf, F.col("own")).otherwise(both).alias("weighted"),
-            F.when(leaf, 1.0).otherwise(1 / (1 + F.exp(F.col("longer") - F.col("own")))).alias("share"),
-        )
-        level = write_through(level, "contexts")
-        levels.append(level)
-        if length:
-            level = level.groupBy(_suffix(F.col("context"), length - 1).alias("context"), "prefix").agg(
-                F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("longer")
-            )
-    seen = F.col("zeros") + F.col("ones")
-    one = (F.col("ones") + 0.5) / (seen + 1.0)
-    mixed = levels.pop().select(
-        "context", "prefix",
-        (F.lit(1.0) - F.col("share")).alias("left"), (F.col("share") * one).alias("got"), one.alias("one"),
-    )
-    for length in range(1, depth + 1):
-        up = mixed.select(F.col("context").alias("_up"), F.col("prefix").alias("_prefix"), F.col("left").alias("_left"), F.col("got").alias("_got"), F.col("one").alias("_one"))
-        down = levels.pop()
-        met = down.join(up, (_suffix(F.col("context"), length - 1) == F.col("_up")) & (F.col("prefix") == F.col("_prefix")))
+        level = level.withColumn("own", _log_estimate(F.col("zeros"), F.col("ones"))).withColumn("weighted", F.when(leaf, F.col("own")).otherwise(both))
+        share = F.when(leaf, 1.0).otherwise(F.exp(F.col("own") + LOG_HALF - F.col("weighted")))
+        seen = F.col("zeros") + F.col("ones")
+        estimate = (F.col("ones") + 0.5) / (seen + 1.0)
+        kept = level.select("context", "prefix", "zeros", "ones", "weighted", share.alias("share"), (seen > 0).alias("seen"), estimate.alias("estimate"))
+        levels.append(write_through(kept, "contexts"))
+        level = levels[-1].groupBy(F.shiftright("context", 8).alias("context"), "prefix").agg(
+            F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("longer")
+        )
+    return levels
+
+
+def _mixed(levels: list[DataFrame]) -> DataFrame:
+    """The longest contexts of ``levels`` with the state of the mixture there: see ``Decision.chances``."""
+    share, estimate = F.col("share"), F.col("estimate")
+    state = [(1 - share).alias("left"), (share * estimate).alias("got"), estimate.alias("one")]
+    mixed = levels[-1].select("context", "prefix", *state)
+    for level in levels[-2::-1]:
+        up = mixed.select(*(F.col(c).alias(f"_{c}") for c in mixed.columns))
+        met = level.join(up, (F.shiftright("context", 8) == F.col("_context")) & (F.col("prefix") == F.col("_prefix")))
         mixed = met.select(
             "context", "prefix",
-            (F.col("_left") * (1 - F.col("share"))).alias("left"),
-            (F.col("_got") + F.col("_left") * F.col("share") * one).alias("got"),
-            F.when(seen > 0, F.col("_got") + F.col("_left") * one).otherwise(F.col("_one")).alias("one"),
+            (F.col("_left") * (1 - share)).alias("left"),
+            (F.col("_got") + F.col("_left") * share * estimate).alias("got"),
+            F.when(F.col("seen"), F.col("_got") + F.col("_left") * estimate).otherwise(F.col("_one")).alias("one"),
         )
-    found = mixed.select(F.col("context").alias("_context"), F.col("prefix").alias("_prefix"), "one")
-    asked = _decisions(pairs.select("a"))
-    met = asked.join(found, (F.col("context") == F.col("_context")) & (F.col("prefix") == F.col("_prefix")))
-    chance = F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one"))
-    return met.groupBy("a").agg(F.sum(F.log(chance)).alias("value"))
+    return mixed
+
+
+def mixtures(pairs: DataFrame, depth: int) -> DataFrame:
+    """(a, value), written: ln of the mixed probability of each pair's byte after its context. ``pairs`` has a and its count n."""
+    home = min(HOME, depth)
+    placed = pairs.select(_home_of(depth, home).alias("home"), "a", "n")
+    ordered = placed.repartition("home").sortWithinPartitions("home")
+    tops = map_batches(ordered, _home_tops(depth, home), "context long, prefix int, zeros double, ones double, longer double")
+    levels = _short_levels(tops, home)
+    state = _mixed(levels).withColumnRenamed("context", "home")
+    both = placed.unionByName(state, allowMissingColumns=True).repartition("home").sortWithinPartitions("home")
+    values = write_through(map_batches(both, _home_values(depth, home), "a long, value double"), "values")
+    discard(*levels)
+    return values
 
 
 # -------------------------------------------------------------------- scoring
@@ -300,8 +432,9 @@ def _scored(depth: int, total: int, distinct: int, schema: pa.Schema):
     low, scale = math.log10(0.1), total + 0.1 * (distinct + 1)
 
     def sorted_values(entries: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        some = entries.filter(pc.equal(entries["kind"], kind))
-        a, b, value = (some[c].to_numpy() for c in ("a", "b", "value"))
+        some = entries.filter(pc.is_valid(entries["b"]) if kind == WORD else pc.is_null(entries["b"]))
+        a, value = some["a"].to_numpy(), some["value"].to_numpy()
+        b = some["b"].to_numpy().astype(np.int64) if kind == WORD else np.zeros(len(a), np.int64)
         order = np.lexsort((b, a)) if kind == WORD else np.argsort(a)
         return a[order], b[order], value[order]
 
@@ -357,20 +490,21 @@ def score_documents(docs: DataFrame, train: Column, depth: int = DEPTH, block_by
         raise ValueError("a context and its byte must fit 64 bits: a depth of 0 to 6")
     chunks = chunks_of(docs, train, block_bytes)
     rows = chunks.schema["rows"].dataType.elementType
-    entries = map_batches(chunks.select("block", "train", "sizes", "data"), _entries(depth), "block long, kind int, a long, b long, n long")
+    entries = map_batches(chunks.select("block", "train", "sizes", "data"), _entries(depth), "block long, a long, b int, n long")
     entries = write_through(entries, "entries")
-    counts = write_through(entries.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")), "counts")
-    known = counts.where(F.col("kind") == WORD)
-    total, distinct = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    trees = mixtures(counts.where(F.col("kind") == PAIR).select("a", "n"), depth)
-    values = trees.select(F.lit(PAIR).alias("kind"), "a", F.lit(0).cast("long").alias("b"), "value").union(
-        known.select("kind", "a", "b", F.col("n").cast("double"))
-    )
-    values = write_through(values, "values")
-    asked = entries.select("block", "kind", "a", "b").join(values, ["kind", "a", "b"]).select("block", "kind", "a", "b", "value")
+    is_word = F.col("b").isNotNull()
+    words = write_through(entries.where(is_word).groupBy("a", "b").agg(F.sum("n").alias("n")), "words")
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    pairs = write_through(entries.where(~is_word).groupBy("a").agg(F.sum("n").alias("n")), "pairs")
+    values = mixtures(pairs, depth)
+    known = words.select("a", "b", F.col("n").cast("double").alias("value"))
+    answers = entries.where(~is_word).select("block", "a").join(values, "a").select("block", "a", F.lit(None).cast("int").alias("b"), "value")
+    answers = answers.union(entries.where(is_word).select("block", "a", "b").join(known, ["a", "b"]).select("block", "a", "b", "value"))
+    answers = write_through(answers, "answers")
+    discard(entries, words, pairs, values)
     schema = f"_row {rows.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double, stream_bytes long"
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
-    scored = chunks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_scored(depth, total, distinct, arrow), schema)
+    scored = chunks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(depth, total, distinct, arrow), schema)
     found = unwrapped(scored, {name: F.col(name) for name in RESULTS})
     return found if len(docs.columns) > 1 else found.drop("_none")
 

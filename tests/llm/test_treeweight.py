@@ -153,7 +153,7 @@ def test_words_that_share_a_hash_are_told_apart():
     treeweight.words_of = colliding
     try:
         pairs, (a, b, _) = treeweight.pairs_of(data, bounds, 1), colliding(data, bounds)
-        entries = pa.table({"kind": [0] * len(pairs) + [1] * len(a), "a": [*pairs, *a], "b": [0] * len(pairs) + [*b], "value": [-1.0] * len(pairs) + [5.0, 7.0, 5.0, 1.0]})
+        entries = pa.table({"a": [*pairs, *a], "b": pa.array([None] * len(pairs) + b.tolist(), pa.int32()), "value": [-1.0] * len(pairs) + [5.0, 7.0, 5.0, 1.0]})
         chunk = pa.table({"rows": pa.array([[{"i": 1}]], pa.list_(schema.field("_row").type)), "sizes": [[len(data)]], "data": [pa.Codec("zstd").compress(data.tobytes(), asbytes=True)]})
         got = treeweight._scored(1, 18, 3, schema)(chunk, entries).to_pylist()[0]
     finally:
