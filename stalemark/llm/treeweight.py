@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from stalemark.llm.frames import map_batches, unwrapped, write_through
 from stalemark.llm.spans import Spans
-from stalemark.llm.texts import LOWER, SPACE, Slice, slices
+from stalemark.llm.texts import LOWER, SPACE, Slice, mix, slices
 from stalemark.session import discard
 
 DEPTH = 5
@@ -428,39 +428,59 @@ def mixtures(pairs: DataFrame, depth: int) -> DataFrame:
 # -------------------------------------------------------------------- scoring
 
 
-def _scored(depth: int, total: int, distinct: int, schema: pa.Schema):
-    low, scale = math.log10(0.1), total + 0.1 * (distinct + 1)
+class Values:
+    """Values of a block's entries by their numbers, in an open-addressing table at most half full."""
+
+    def __init__(self, a: np.ndarray, values: np.ndarray, b: np.ndarray | None = None):
+        self.a, self.b, self.values = a, b, values
+        self.last = (1 << max(4, (2 * len(a)).bit_length())) - 1
+        self.table = np.full(self.last + 1, -1, np.int32)
+        slot, rest = self._slots(a), np.arange(len(a), dtype=np.int32)
+        while len(rest):
+            free = rest[self.table[slot[rest]] < 0]
+            self.table[slot[free]] = free
+            rest = rest[self.table[slot[rest]] != rest]
+            slot[rest] = (slot[rest] + 1) & self.last
 
-    def sorted_values(entries: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        some = entries.filter(pc.is_valid(entries["b"]) if kind == WORD else pc.is_null(entries["b"]))
-        a, value = some["a"].to_numpy(), some["value"].to_numpy()
-        b = some["b"].to_numpy().astype(np.int64) if kind == WORD else np.zeros(len(a), np.int64)
-        order = np.lexsort((b, a)) if kind == WORD else np.argsort(a)
-        return a[order], b[order], value[order]
-
-    def look_up(table: tuple[np.ndarray, np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The values of entries; those with the same ``a`` stand in a row, rising by ``b``."""
-        keys, seconds, values = table
-        at = np.searchsorted(keys, a)
-        off = np.arange(len(a))
+    def _slots(self, a: np.ndarray) -> np.ndarray:
+        return (mix(a.view(np.uint64)) & np.uint64(self.last)).astype(np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+        slot = self._slots(a)
+        found = self.table[slot]
+        off = np.flatnonzero(self._differ(found, a, b))
         while len(off):
-            if (at[off] >= len(keys)).any() or (keys[at[off]] != a[off]).any():
+            if (found[off] < 0).any():
                 raise RuntimeError("a block asks for an entry that it did not count")
-            off = off[seconds[at[off]] != b[off]]
-            at[off] += 1
-        return values[at]
+            slot[off] = (slot[off] + 1) & self.last
+            found[off] = self.table[slot[off]]
+            off = off[self._differ(found[off], a[off], None if b is None else b[off])]
+        return self.values[found]
+
+    def _differ(self, found: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> np.ndarray:
+        if not len(self.a):
+            return np.ones(len(found), bool)
+        differ = (self.a[found] != a) | (found < 0)
+        return differ if b is None else differ | (self.b[found] != b)
+
+
+def _scored(depth: int, total: int, distinct: int, schema: pa.Schema):
+    low, scale = math.log10(0.1), total + 0.1 * (distinct + 1)
 
     def add_up(chunks: pa.Table, entries: pa.Table) -> pa.Table:
-        pairs, tokens = sorted_values(entries, PAIR), sorted_values(entries, WORD)
+        is_word = pc.is_valid(entries["b"])
+        words = entries.filter(is_word)
+        tokens = Values(words["a"].to_numpy(), words["value"].to_numpy(), words["b"].to_numpy().astype(np.int64))
+        others = entries.filter(pc.invert(is_word))
+        pairs = Values(others["a"].to_numpy(), others["value"].to_numpy())
         out = []
         for batch in chunks.to_batches(max_chunksize=1):
             if not batch.num_rows:
                 continue
             stream, bounds = _streams(batch.select(["sizes", "data"]).to_pylist()[0])
-            wanted = pairs_of(stream, bounds, depth)
-            logs = look_up(pairs, wanted, np.zeros_like(wanted))
+            logs = pairs.of(pairs_of(stream, bounds, depth))
             a, b, first = words_of(stream, bounds)
-            counts = look_up(tokens, a, b)
+            counts = tokens.of(a, b)
             base = np.where(counts > 0, np.log10(counts + 0.1), low) - math.log10(scale)
             out.append(
                 pa.table(
