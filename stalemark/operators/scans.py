@@ -35,7 +35,7 @@ def scan(
     key (for item keys only). Each is ``name -> (sum | max | min, column)``. The slice must not fall along ``order``.
     """
     running, before, whole = dict(running or {}), dict(before or {}), dict(whole or {})
-    group = [*keys, "slice"]
+    group = [*keys, "slice"] if slices else list(keys)  # a constant among the keys would cost an exchange of its own
     by_order = Window.partitionBy(*group).orderBy(*order)
     upto = by_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = by_order.rowsBetween(Window.unboundedPreceding, -1)
@@ -57,7 +57,7 @@ def scan(
         earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         carry = totals.select(
             *group, *[_BUILD[how](F.col(name)).over(earlier).alias(f"carry_{name}") for name, (how, _) in carried.items()]
-        ).where("slice > 0")
+        )
         local = local.join(carry, group, "left")  # one row per hot key and slice; Spark picks the join by its size
         local = local.withColumns(
             {name: _JOIN[how](F.col(name), F.col(f"carry_{name}")) for name, (how, _) in carried.items()}

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from stalemark.functions.columns import floor_div, power_of_two, starting_value
 from stalemark.operators.scans import scan
 from stalemark.operators.slices import TimeSlices
-from stalemark.operators.walks import carry_tops, walk_tops
 from stalemark.schemas import INITIAL, ITEM
 
 INTERVAL = (*ITEM, "start_ns", "end_ns")
@@ -86,84 +85,78 @@ def possible_set_states(
     start = starting_value(F.col("attribute"), initial)
 
     # The lowest value walks down whenever it can, and stops at 0. A walk with a floor is the free walk minus the
-    # deepest point the free walk reached below 0.
-    low_step = F.when(F.col("dec"), -1).otherwise(1)
+    # deepest point the free walk reached below 0. The highest values walk up whenever they can; ``level`` is that walk
+    # without a floor, ``turn`` counts its steps.
+    low_step, high_step = F.when(F.col("dec"), -1).otherwise(1), F.when(F.col("inc"), 1).otherwise(-1)
+    order = ["start_ns", "end_ns"]
+    one = F.lit(1).cast("bigint")
     rows = scan(
         rows,
         slices,
-        order=["start_ns", "end_ns"],
-        before={"moved": ("sum", low_step)},
-        whole={"mixed_item": ("max", F.col("inc") & F.col("dec"))},
+        order=order,
+        running={"fell": ("sum", low_step.cast("bigint")), "rose": ("sum", high_step.cast("bigint")), "turn": ("sum", one)},
     )
-    free = start + F.coalesce("moved", F.lit(0)) + low_step
+    rows = rows.withColumns({"free": start + F.col("fell"), "level": start + F.col("rose")})
     rows = scan(
-        rows.withColumn("free", free), slices, order=["start_ns", "end_ns"], before={"dip": ("min", F.col("free"))}
+        rows, slices, order=order, before={"dip": ("min", F.col("free"))}, running={"deepest": ("min", F.col("level"))}
     )
     lowest_before = F.col("free") - low_step - F.least(F.lit(0), F.col("dip"))
     rows = rows.select(
-        *INTERVAL, "slice", "hot", "inc", "dec", "mixed_item",
+        *INTERVAL, "slice", "hot", "turn", "level", "deepest",
         F.greatest(lowest_before + low_step, F.lit(0)).alias("lowest"),
         (F.col("dec") & (lowest_before == 0)).alias("stick"),
     )
-
-    even = F.col("lowest") % 2 == 0
-    single = rows.where(~F.col("mixed_item")).select(
-        *INTERVAL, "lowest", F.when(even, F.col("lowest")).alias("top_even"), F.when(~even, F.col("lowest")).alias("top_odd")
-    )
-    return single.unionByName(_mixed_states(rows.where("mixed_item"), slices, initial))
+    return _with_tops(rows, slices)
 
 
-def _mixed_states(rows: DataFrame, slices: TimeSlices, initial: Mapping[str, int]) -> DataFrame:
-    """The highest even and odd value for items that have an interval with both an insert and a delete.
+def _with_tops(rows: DataFrame, slices: TimeSlices) -> DataFrame:
+    """The highest even and odd value of each row.
 
-    A step moves a top by +1 or -1 and so to the other parity; at 0 a delete also leaves a value in place (``stick``),
-    which may bring a parity to life again, and a top that would go below 0 is gone. No window aggregate has this shape,
-    so the walk itself is a loop, over sorted rows and with two numbers of state.
+    A step moves every value by +1 or -1, and so to the other parity; but where 0 may be decremented it also stays
+    (``stick``). From each such birth a value follows ``level`` in parallel, at a distance that never changes, until the
+    walk falls below the level of its birth; then it is gone. Levels of births tell the two parities apart for good. Of the
+    values alive at once with one parity, the highest is the one born first, for a birth at a lower level outlives it.
 
-    The loop starts each slice with no tops. What the tops from before the slice become is plain arithmetic, added after:
-    they shift with the steps and are gone once they would have dipped below 0.
+    So: the death of a birth is the next visit of the walk to the level below it, a minimum over the rows of that level.
+    A birth counts if the births of its parity before it are all dead, a running maximum; the last one that counts gives
+    the top while it lives. The starting value is a birth at level 0.
     """
-    schema = (
-        "key bigint, attribute string, slice int, hot boolean, start_ns bigint, end_ns bigint, lowest bigint, "
-        "new_even bigint, new_odd bigint, flipped boolean, shift bigint, deepest bigint"
+    order, level, turn = ["start_ns", "end_ns"], F.col("level"), F.col("turn")
+    visit = F.struct(level.alias("place"), F.lit(False).alias("asks"))
+    ask = F.struct((level - 1).alias("place"), F.lit(True).alias("asks"))
+    events = rows.withColumn("_e", F.explode(F.when(F.col("stick"), F.array(visit, ask)).otherwise(F.array(visit))))
+    events = events.select(*rows.columns, "_e.place", "_e.asks").withColumns({"slice": -F.col("slice"), "_late": -turn})
+    events = scan(  # from the end backwards
+        events,
+        slices,
+        order=["_late"],
+        before={"_next": ("min", F.when(~F.col("asks"), turn))},
+        keys=[*ITEM, "place"],
     )
-    walked = (
-        rows.repartition(*ITEM, "slice")
-        .sortWithinPartitions(*ITEM, "slice", "start_ns", "end_ns")
-        .mapInPandas(walk_tops, schema)
+    never = F.lit((1 << 63) - 1)
+    death = F.when(F.col("asks"), F.coalesce("_next", never))
+    births = events.where(F.col("asks") | ~F.col("stick")).select(
+        *(c for c in rows.columns if c != "slice"), (-F.col("slice")).alias("slice"), death.alias("death")
     )
-    start = starting_value(F.col("attribute"), initial)
-    even_start, odd_start = F.when(start % 2 == 0, start), F.when(start % 2 != 0, start)
-    if slices:
-        # At most one row per hot item and slice.
-        ends = (
-            walked.where("hot")
-            .groupBy(*ITEM, "slice")
-            .agg(
-                F.max_by(
-                    F.struct("new_even", "new_odd", "flipped", "shift", "deepest"), F.struct("start_ns", "end_ns")
-                ).alias("last")
-            )
-            .select(*ITEM, "slice", "last.*", even_start.alias("from_even"), odd_start.alias("from_odd"))
-        )
-        carry = (
-            ends.repartition(*ITEM)
-            .sortWithinPartitions(*ITEM, "slice")
-            .mapInPandas(carry_tops, "key bigint, attribute string, slice int, from_even bigint, from_odd bigint")
-        )
-        walked = walked.join(carry, [*ITEM, "slice"], "left")
-        cold = ~F.col("hot")
-        from_even = F.when(cold, even_start).otherwise(F.col("from_even"))
-        from_odd = F.when(cold, odd_start).otherwise(F.col("from_odd"))
-    else:
-        from_even, from_odd = even_start, odd_start
-    moved_even = F.when(from_even + F.col("deepest") >= 0, from_even + F.col("shift"))
-    moved_odd = F.when(from_odd + F.col("deepest") >= 0, from_odd + F.col("shift"))
-    return walked.select(
+    even = level % 2 == 0
+    kinds = {"even": even, "odd": ~even}
+    births = scan(
+        births, slices, order=order, before={f"_until_{k}": ("max", F.when(own, F.col("death"))) for k, own in kinds.items()}
+    )
+
+    def counts(kind: str) -> Column:
+        until = F.col(f"_until_{kind}")
+        return F.col("stick") & kinds[kind] & (until.isNull() | (until <= turn))
+
+    born = F.struct("turn", "level", "death")
+    found = scan(births, slices, order=order, running={f"_{k}": ("max", F.when(counts(k), born)) for k in kinds})
+    tops = {k: F.when(F.col(f"_{k}.death") > turn, level - F.col(f"_{k}.level")) for k in kinds}
+    tops["even"] = F.when(F.col("deepest") >= 0, level).otherwise(tops["even"])
+    return found.select(
         *INTERVAL,
         "lowest",
-        F.greatest("new_even", F.when(F.col("flipped"), moved_odd).otherwise(moved_even)).alias("top_even"),
-        F.greatest("new_odd", F.when(F.col("flipped"), moved_even).otherwise(moved_odd)).alias("top_odd"),
+        F.when(even, tops["even"]).otherwise(tops["odd"]).alias("top_even"),
+        F.when(even, tops["odd"]).otherwise(tops["even"]).alias("top_odd"),
     )
 
 
@@ -183,6 +176,17 @@ def state_values() -> Column:
 # ------------------------------------------------------------------------ cells
 
 
+def cells_of(closed: bool) -> Column:
+    """The cells of a state as an array of structs: one for ``running_value``, those of both runs for ``possible_set``."""
+    if closed:
+        return F.array(F.struct(F.lit(0).alias("level"), F.col("value").alias("cell")))
+    single = "coalesce(top_even, -1L) + coalesce(top_odd, -1L) = lowest - 1"
+    return F.expr(
+        f"CASE WHEN {single} THEN array(struct(0 AS level, lowest AS cell)) "
+        f"ELSE concat({_run_cells(0, 'top_even')}, {_run_cells(1, 'top_odd')}) END"
+    )
+
+
 def value_cells(states: DataFrame) -> DataFrame:
     """States of ``running_value`` as cells: one each."""
     return states.withColumns({"level": F.lit(0), "cell": F.col("value")})
@@ -190,12 +194,7 @@ def value_cells(states: DataFrame) -> DataFrame:
 
 def set_cells(states: DataFrame) -> DataFrame:
     """States of ``possible_set_states`` as cells, one row per cell."""
-    single = "coalesce(top_even, -1L) + coalesce(top_odd, -1L) = lowest - 1"
-    cells = F.expr(
-        f"CASE WHEN {single} THEN array(struct(0 AS level, lowest AS cell)) "
-        f"ELSE concat({_run_cells(0, 'top_even')}, {_run_cells(1, 'top_odd')}) END"
-    )
-    return states.withColumn("c", F.explode(cells)).select("*", "c.level", "c.cell").drop("c")
+    return states.withColumn("c", F.explode(cells_of(closed=False))).select("*", "c.level", "c.cell").drop("c")
 
 
 def spread_level() -> Column:

@@ -45,6 +45,25 @@ def test_possible_sets_and_cells(spark):
     assert found.where(cell_of(F.col("v"), F.col("level")) != F.col("cell")).count() == 0
 
 
+def test_possible_sets_of_long_walks_near_zero(spark):
+    """One contradictory item of many slices, and many short ones: values are born at 0, die there, and are born again."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = []
+        for key, n in [(0, 500)] + [(k, rng.randrange(2, 25)) for k in range(1, 150)]:
+            mixed = rng.choice([0.1, 0.4])
+            for turn in range(n):
+                ops = "ID" if rng.random() < mixed else rng.choice(["D", "D", "I"] if rng.random() < 0.5 else ["D", "I", "I"])
+                rows += [(key, rng.choice(["PENDFRND"] * 9 + ["ACCEPTFRND"]) if key else "PENDFRND", 2 * turn, 2 * turn + 1, op, len(rows)) for op in ops]
+        df = spark.createDataFrame(rows, SCHEMA)
+        want = {(*item, *i): sorted(v) for item, s in brute.possible_states(rows).items() for i, v in s.items()}
+        slices = measure_slices([df], rows_per_slice=20)
+        assert slices
+        for cut in (NO_SLICES, slices):
+            after = states.possible_set_states(df, cut)
+            assert {tuple(r[c] for c in INTERVAL): r.v for r in after.select("*", state_values().alias("v")).collect()} == want
+
+
 def test_running_value_may_go_below_zero_and_keeps_the_last(spark):
     rows = [
         (1, "PENDFRND", 1, 5, "D", 1),
