@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stalemark.functions.columns import floor_div, holds_point, overlaps, power_of_two
 from stalemark.operators.scans import scan
-from stalemark.operators.slices import NO_SLICES, TimeSlices
+from stalemark.operators.slices import NO_SLICES, TimeSlices, length_level
 from stalemark.operators.states import cell_values
 from stalemark.schemas import ITEM
 
@@ -29,23 +29,28 @@ INTERVAL = (*ITEM, "start_ns", "end_ns")
 # where an interval covers whole slices does that make more than two copies, and then it pairs with all that is in them.
 
 
-MAX_LEVEL = 60  # widths must fit a BIGINT; longer intervals take a few buckets more
+def _levels(intervals: DataFrame, start: str, end: str, slices: TimeSlices) -> Column:
+    """The levels to look into, an array of at most 16 numbers: those measured with the slices, or a scalar subquery."""
+    if slices.levels:
+        return F.array(*map(F.lit, slices.levels))
+    return intervals.agg(F.collect_set(length_level(F.col(start), F.col(end)))).scalar()
 
 
-def _level(start: str, end: str) -> Column:
-    length = F.try_add(F.try_subtract(F.col(end), F.col(start)), F.lit(1)).cast("double")
-    return F.coalesce(F.least(F.ceil(F.log2(length) / 4) * 4, F.lit(MAX_LEVEL)), F.lit(MAX_LEVEL)).cast("int")
+def _level_of(start: str, end: str, slices: TimeSlices) -> Column:
+    """The level of an interval: of the measured ones the least that is wide enough, or else the widest."""
+    own = length_level(F.col(start), F.col(end))
+    if not slices.levels:
+        return own
+    chosen = F.lit(slices.levels[-1])
+    for level in slices.levels[-2::-1]:
+        chosen = F.when(own <= level, level).otherwise(chosen)
+    return chosen
 
 
-def _levels(intervals: DataFrame, start: str, end: str) -> Column:
-    """The levels that occur, an array of at most 16 numbers, as a scalar subquery."""
-    return intervals.agg(F.collect_set(_level(start, end))).scalar()
-
-
-def _as_interval(role: str, start: str, end: str) -> Column:
-    width = power_of_two(_level(start, end))
+def _as_interval(role: str, start: str, end: str, slices: TimeSlices) -> Column:
+    level = _level_of(start, end, slices)
+    width = power_of_two(level)
     buckets = F.sequence(floor_div(F.col(start), width), floor_div(F.col(end), width))
-    level = _level(start, end)
     return F.transform(buckets, lambda b: F.struct(F.lit(role).alias("role"), level.alias("level"), b.alias("bucket")))
 
 
@@ -118,10 +123,10 @@ def overlap_join(
     in_right = F.col(l_start) > F.col(r_start)
     in_right &= F.col(l_start) <= F.col(r_end) if closed else F.col(l_start) < F.col(r_end)
 
-    as_left = F.concat(_as_interval("in_left", l_start, l_end), _as_point("in_right", l_start))
-    as_right = F.concat(_as_point("in_left", r_start), _as_interval("in_right", r_start, r_end))
-    lefts = _placed(left, as_left, span, "in_left", slices, keys, _levels(right, r_start, r_end), outer=keep_left)
-    rights = _placed(right, as_right, (r_start, r_end), "in_right", slices, keys, _levels(left, l_start, l_end))
+    as_left = F.concat(_as_interval("in_left", l_start, l_end, slices), _as_point("in_right", l_start))
+    as_right = F.concat(_as_point("in_left", r_start), _as_interval("in_right", r_start, r_end, slices))
+    lefts = _placed(left, as_left, span, "in_left", slices, keys, _levels(right, r_start, r_end, slices), outer=keep_left)
+    rights = _placed(right, as_right, (r_start, r_end), "in_right", slices, keys, _levels(left, l_start, l_end, slices))
     met = ((F.col("_role") == "in_left") & in_left) | ((F.col("_role") == "in_right") & in_right)
     if not keep_left:
         return lefts.join(rights, [*keys, *PLACE]).where(met).drop(*PLACE)
@@ -138,8 +143,8 @@ def contains_point(
 ) -> DataFrame:
     """Pairs of a point and a closed interval (``start_ns``, ``end_ns``) of the same key that holds it."""
     span = ("start_ns", "end_ns")
-    asked = _placed(points, _as_point("at", point), (point, point), None, slices, keys, _levels(intervals, *span))
-    stored = _placed(intervals, _as_interval("at", *span), span, "at", slices, keys)
+    asked = _placed(points, _as_point("at", point), (point, point), None, slices, keys, _levels(intervals, *span, slices))
+    stored = _placed(intervals, _as_interval("at", *span, slices), span, "at", slices, keys)
     held = holds_point(F.col("start_ns"), F.col("end_ns"), F.col(point))
     return asked.join(stored, [*keys, *PLACE]).where(held).drop(*PLACE)
 
@@ -163,23 +168,45 @@ def mark_overlapped(
     ``witness`` that interval is returned too, as ``found_start`` and ``found_end`` (null without a hit).
     """
     start, end = span
-    event = {"_time": F.col("start_ns"), "_reach": F.col("end_ns"), "_probe": F.lit(False)}
-    if witness:  # where ends are equal, the later start
-        event["_reach"] = F.struct(F.col("end_ns").alias("end"), F.col("start_ns").alias("start"))
-    marks = intervals.where(F.col("start_ns") < F.col("end_ns")) if not closed else intervals
-    marks = marks.select(*keys, *[c.alias(name) for name, c in event.items()])
-    asks = probes.withColumns({"_time": F.col(end), "_probe": F.lit(True)})
-    timeline = slices.assign(asks.unionByName(marks, allowMissingColumns=True), F.col("_time"))
+    marks = intervals if closed else intervals.where(F.col("start_ns") < F.col("end_ns"))
+    marks = marks.select(*keys, F.col("start_ns").alias(start), F.col("end_ns").alias(end))
+    asks = probes.withColumn("_asks", F.lit(True))
+    both = asks.unionByName(marks.withColumn("_asks", F.lit(False)), allowMissingColumns=True)
+    swept = sweep_overlaps(both, slices, closed, keys, span, "_asks", witness)
+    found = ["found_start", "found_end"] if witness else []
+    return swept.select(*probes.columns, "hit", *found)
+
+
+def sweep_overlaps(
+    rows: DataFrame,
+    slices: TimeSlices,
+    closed: bool,
+    keys: Sequence[str],
+    span: tuple[str, str],
+    asks: str,
+    witness: bool = False,
+) -> DataFrame:
+    """The rows whose column ``asks`` is true, with ``hit``: does the span of any other row of the same key overlap theirs?
+
+    See ``mark_overlapped``. Rows of both kinds have their interval in ``span``; those that don't ask hold no empty ones if
+    intervals are half-open.
+    """
+    start, end = F.col(span[0]), F.col(span[1])
+    # Of equal ends, the later start is the witness.
+    reach = F.struct(end.alias("end"), start.alias("start")) if witness else end
+    timeline = rows.withColumns(
+        {"_time": F.when(F.col(asks), end).otherwise(start), "_reach": F.when(~F.col(asks), reach)}
+    )
     # At equal times a closed probe comes after the starts, a half-open one ahead of them.
-    tie = "_probe" if closed else "_asks_first"
-    timeline = timeline.withColumn("_asks_first", ~F.col("_probe"))
+    timeline = timeline.withColumn("_tie", F.col(asks) if closed else ~F.col(asks))
+    timeline = slices.assign(timeline, F.col("_time"))
     swept = scan(
-        timeline, slices, order=["_time", tie], running={"_far": ("max", F.col("_reach"))}, keys=keys
-    ).where("_probe")
+        timeline, slices, order=["_time", "_tie"], running={"_far": ("max", F.col("_reach"))}, keys=keys
+    ).where(F.col(asks))
     far = F.col("_far.end") if witness else F.col("_far")
-    reached = far >= F.col(start) if closed else (far > F.col(start)) & (F.col(start) < F.col(end))
+    reached = far >= start if closed else (far > start) & (start < end)
     found = [F.when(F.col("hit"), F.col(f"_far.{c}")).alias(f"found_{c}") for c in ("start", "end")] if witness else []
-    return swept.withColumn("hit", F.coalesce(reached, F.lit(False))).select(*probes.columns, "hit", *found)
+    return swept.withColumn("hit", F.coalesce(reached, F.lit(False))).select(*rows.columns, "hit", *found)
 
 
 def any_overlap(reads: DataFrame, intervals: DataFrame, closed: bool, slices: TimeSlices = NO_SLICES) -> DataFrame:
@@ -254,16 +281,17 @@ def sort_intervals(states: DataFrame, slices: TimeSlices = NO_SLICES) -> DataFra
 # ----------------------------------------------------------------- before a read
 
 
-def anchor_running(reads: DataFrame, states: DataFrame, slices: TimeSlices) -> DataFrame:
+def anchor_running(reads: DataFrame, states: DataFrame, slices: TimeSlices, carry: Sequence[str] = ()) -> DataFrame:
     """For ``running_value``: reads with the interval the state before them is taken from.
 
     That is the last update, in (start, end) order, of the longest run of updates that had all ended by the read's start.
     The greatest end so far never falls, so it serves as the time of an update, and the run's last update is the
     greatest (start, end) at or before the read. Adds ``anchor_*`` (null if no such update), and the item's
-    ``lowest_start`` and ``highest_*`` interval.
+    ``lowest_start`` and ``highest_*`` interval. With ``carry``, the states stay among the rows, with these columns of
+    theirs; ``is_read`` tells them apart.
     """
     marks = states.select(
-        *ITEM, F.col("max_end").alias("_time"), F.lit(0).alias("_tie"), F.struct("start_ns", "end_ns").alias("_mark")
+        *ITEM, F.col("max_end").alias("_time"), F.lit(0).alias("_tie"), F.struct("start_ns", "end_ns").alias("_mark"), *carry
     )
     swept = _sweep(
         reads,
@@ -274,10 +302,11 @@ def anchor_running(reads: DataFrame, states: DataFrame, slices: TimeSlices) -> D
             "lowest_start": ("min", F.col("_mark.start_ns")),
             "_highest": ("max", F.struct("_mark.end_ns", "_mark.start_ns")),
         },
+        stay=bool(carry),
     )
     known = F.col("lowest_start").isNotNull()
     return swept.select(
-        *reads.columns,
+        *_own(reads, carry),
         F.col("_last.start_ns").alias("anchor_start"),
         F.col("_last.end_ns").alias("anchor_end"),
         "lowest_start",
@@ -287,13 +316,14 @@ def anchor_running(reads: DataFrame, states: DataFrame, slices: TimeSlices) -> D
 
 
 def anchor_possible(
-    reads: DataFrame, states: DataFrame, slices: TimeSlices, whole: dict | None = None, extra: Sequence[str] = ()
+    reads: DataFrame, states: DataFrame, slices: TimeSlices, whole: dict | None = None, carry: Sequence[str] = ()
 ) -> DataFrame:
     """For ``possible_set``: reads with the span the state before them is taken from.
 
     The latest end strictly before the read counts, with all updates that share it. They all overlap what the longest of
     them overlaps, so the span from the earliest of their starts to that end stands for all. Ends up to 1 do not count:
-    the search for earlier updates begins at time 1. Such updates have no mark, but ``whole`` covers them.
+    the search for earlier updates begins at time 1. Such updates have no mark, but ``whole`` covers them. ``carry`` as in
+    ``anchor_running``.
     """
     mark = F.struct("end_ns", (-F.col("start_ns")).alias("minus_start"))
     marks = states.select(
@@ -301,28 +331,33 @@ def anchor_possible(
         F.col("end_ns").alias("_time"),
         F.lit(1).alias("_tie"),
         F.when(F.col("end_ns") > 1, mark).alias("_mark"),
-        *extra,
+        *carry,
     )
-    swept = _sweep(reads, marks, slices, probe_tie=0, whole=whole or {})
+    swept = _sweep(reads, marks, slices, probe_tie=0, whole=whole or {}, stay=bool(carry))
     return swept.select(
-        *reads.columns,
+        *_own(reads, carry),
         (-F.col("_last.minus_start")).alias("anchor_start"),
         F.col("_last.end_ns").alias("anchor_end"),
         *(whole or {}),
     )
 
 
-def _sweep(reads: DataFrame, marks: DataFrame, slices: TimeSlices, probe_tie: int, whole: dict) -> DataFrame:
-    """Reads with ``_last``, the greatest mark of their item at or before their start (ties as given)."""
-    asks = reads.withColumns({"_time": F.col("start_ns"), "_tie": F.lit(probe_tie), "_probe": F.lit(True)})
-    timeline = asks.unionByName(marks.withColumn("_probe", F.lit(False)), allowMissingColumns=True)
-    return scan(
+def _own(reads: DataFrame, carry: Sequence[str]) -> list[str]:
+    return [*reads.columns, *(c for c in carry if c not in reads.columns), *(["is_read"] if carry else [])]
+
+
+def _sweep(reads: DataFrame, marks: DataFrame, slices: TimeSlices, probe_tie: int, whole: dict, stay: bool) -> DataFrame:
+    """Reads with ``_last``, the greatest mark of their item at or before their start (ties as given); marks may stay."""
+    asks = reads.withColumns({"_time": F.col("start_ns"), "_tie": F.lit(probe_tie), "is_read": F.lit(True)})
+    timeline = asks.unionByName(marks.withColumn("is_read", F.lit(False)), allowMissingColumns=True)
+    swept = scan(
         slices.assign(timeline, F.col("_time")),
         slices,
         order=["_time", "_tie"],
         running={"_last": ("max", F.col("_mark"))},
         whole=whole,
-    ).where("_probe")
+    )
+    return swept if stay else swept.where("is_read")
 
 
 # ----------------------------------------------------------------- values at a span
@@ -354,13 +389,14 @@ def merge_runs(cells: DataFrame, slices: TimeSlices) -> DataFrame:
     """Intervals of one item and cell that overlap or touch, merged. A run does not cross a time slice."""
     group = [*ITEM, "level", "cell"]
     rows = slices.assign(cells.select(*INTERVAL, "level", "cell"), F.col("start_ns")).drop("hot")
-    order = Window.partitionBy(*group, "slice").orderBy("start_ns", "end_ns")
+    apart = [*group, "slice"] if slices else group
+    order = Window.partitionBy(*apart).orderBy("start_ns", "end_ns")
     reach = F.max("end_ns").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce(F.col("start_ns") > F.col("_reach"), F.lit(True)).cast("int")
     return (
         rows.withColumn("_reach", reach)
         .withColumn("_run", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .groupBy(*group, "slice", "_run")
+        .groupBy(*apart, "_run")
         .agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"))
         .drop("slice", "_run")
     )

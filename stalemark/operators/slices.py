@@ -32,11 +32,13 @@ CUTS_PER_BLOCK = 32
 class TimeSlices:
     """Cuts of hot items: ``coarse`` per item, ``fine`` per item and coarse slice; None where there is nothing to cut.
 
-    Both hold rising cuts in blocks of ``CUTS_PER_BLOCK``, and the first cut of each block.
+    Both hold rising cuts in blocks of ``CUTS_PER_BLOCK``, and the first cut of each block. ``levels`` are the classes of
+    interval lengths that were measured along with the rows, rising (see ``length_level``); none if unknown.
     """
 
     coarse: DataFrame | None = None
     fine: DataFrame | None = None
+    levels: tuple[int, ...] = ()
 
     def __bool__(self) -> bool:
         return self.coarse is not None
@@ -54,6 +56,13 @@ class TimeSlices:
 
 
 NO_SLICES = TimeSlices()
+MAX_LEVEL = 60  # widths must fit a BIGINT; longer intervals take a few buckets more
+
+
+def length_level(start: Column, end: Column) -> Column:
+    """The length of an interval as an exponent of 2, rounded up to a multiple of 4 and at most ``MAX_LEVEL``."""
+    length = F.try_add(F.try_subtract(end, start), F.lit(1)).cast("double")
+    return F.coalesce(F.least(F.ceil(F.log2(length) / 4) * 4, F.lit(MAX_LEVEL)), F.lit(MAX_LEVEL)).cast("int")
 
 
 def _placed(df: DataFrame, cuts: DataFrame, time: Column, keys: Sequence[str]) -> DataFrame:
@@ -92,20 +101,30 @@ def measure_slices(
 ) -> TimeSlices:
     """Find the hot items of the frames and cut points that split their rows about evenly.
 
-    One counting job over the key columns; others only if there are hot items, over their rows alone.
+    One counting job over the key columns and intervals; others only if there are hot items, over their rows alone.
     """
-    times = frames[0].select(*keys, F.col(time).alias("t"))
+    bit = F.call_function("shiftleft", F.lit(1), F.call_function("div", length_level(F.col(time), F.col("end_ns")), F.lit(4)).cast("int"))
+
+    def narrow(frame: DataFrame) -> DataFrame:
+        # An end before its start has no length; such rows take no part in what the levels are for.
+        level = F.when(F.col("end_ns") >= F.col(time), bit) if "end_ns" in frame.columns else F.lit(None)
+        return frame.select(*keys, F.col(time).alias("t"), level.cast("int").alias("bit"))
+
+    times = narrow(frames[0])
     for frame in frames[1:]:
-        times = times.unionByName(frame.select(*keys, F.col(time).alias("t")))
-    counted = times.groupBy(*keys).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > rows_per_slice)
-    most = counted.agg(F.max("n_rows")).first()[0]
-    if most is None:
-        return NO_SLICES
+        times = times.unionByName(narrow(frame))
+    counted = times.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.bit_or("bit").alias("bits"))
+    most, bits = counted.agg(F.max("n_rows"), F.bit_or("bits")).first()
+    levels = tuple(4 * i for i in range(MAX_LEVEL // 4 + 1) if (bits or 0) >> i & 1)
+    if most is None or most <= rows_per_slice:
+        return TimeSlices(levels=levels)
+    times, counted = times.drop("bit"), counted.drop("bits").where(F.col("n_rows") > rows_per_slice)
     hot = write_through(counted, "hot-items")
     coarse = write_through(_cut(times.join(hot, list(keys)), keys, rows_per_slice), "cuts")
     if most <= FAN * rows_per_slice:
-        return TimeSlices(coarse)
+        return TimeSlices(coarse, levels=levels)
     placed = _placed(times.join(hot.select(*keys), list(keys)), coarse, F.col("t"), keys).withColumnRenamed("_place", "slice")
     inner = [*keys, "slice"]
     full = placed.groupBy(*inner).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > rows_per_slice)
-    return TimeSlices(coarse, write_through(_cut(placed.join(write_through(full, "full-slices"), inner), inner, rows_per_slice), "cuts"))
+    fine = write_through(_cut(placed.join(write_through(full, "full-slices"), inner), inner, rows_per_slice), "cuts")
+    return TimeSlices(coarse, fine, levels)

@@ -15,7 +15,6 @@ from stalemark.functions.columns import starting_value
 from stalemark.operators import matching, states
 from stalemark.operators.slices import TimeSlices, measure_slices
 from stalemark.schemas import INITIAL, ITEM
-from stalemark.session import write_through
 from stalemark.sources import logs
 
 INTERVAL = (*ITEM, "start_ns", "end_ns")
@@ -40,15 +39,21 @@ def project_intervals(rows: DataFrame, payload: str) -> DataFrame:
     return rows.select(*INTERVAL, payload)
 
 
+def usable(closed: bool) -> Column:
+    """Does the convention allow the interval? Never null."""
+    there = F.col("key").isNotNull() & F.col("attribute").isNotNull()
+    order = F.col("start_ns") <= F.col("end_ns") if closed else F.col("start_ns") < F.col("end_ns")
+    return there & F.coalesce(order, F.lit(False))
+
+
 def split_intervals(rows: DataFrame, closed: bool) -> tuple[DataFrame, DataFrame]:
     """Logs whose interval the convention allows, and the rejected rest with a reason."""
     missing = F.lit(False)
     for name in INTERVAL:
         missing = missing | F.col(name).isNull()
     backwards = F.col("start_ns") > F.col("end_ns")
-    empty = F.lit(not closed) & (F.col("start_ns") == F.col("end_ns"))
-    reason = F.when(missing, "missing_field").when(backwards, "start_after_end").when(empty, "empty_interval")
-    return rows.where(reason.isNull()), rows.withColumn("reason", reason).where(reason.isNotNull())
+    reason = F.when(missing, "missing_field").when(backwards, "start_after_end").otherwise("empty_interval")
+    return rows.where(usable(closed)), rows.where(~usable(closed)).withColumn("reason", reason)
 
 
 def split_reads(
@@ -56,11 +61,20 @@ def split_reads(
 ) -> tuple[DataFrame, DataFrame]:
     """Reads that get a verdict, and the refused rest with a reason: the interval, no value, or an unknown attribute."""
     ok, refused = split_intervals(reads, closed=True)
+    return ok.where(_judged(semantics, initial)), refused.unionByName(_without_verdict(ok, semantics, initial))
+
+
+def _judged(semantics: str, initial: Mapping[str, int]) -> Column:
+    """Does a read with a usable interval get a verdict?"""
+    has_value = F.col("value").isNotNull()
+    return has_value if _closed(semantics) else has_value & F.col("attribute").isin(*initial)
+
+
+def _without_verdict(ok: DataFrame, semantics: str, initial: Mapping[str, int]) -> DataFrame:
     reason = F.when(F.col("value").isNull(), "no_value")
     if not _closed(semantics):
         reason = reason.when(~F.col("attribute").isin(*initial), "unknown_attribute")
-    marked = ok.withColumn("reason", reason)
-    return ok.where(reason.isNull()), refused.unionByName(marked.where(reason.isNotNull()))
+    return ok.withColumn("reason", reason).where(reason.isNotNull())
 
 
 def _closed(semantics: str) -> bool:
@@ -74,8 +88,7 @@ def _inputs(
 ) -> tuple[DataFrame, DataFrame, TimeSlices]:
     """Usable reads and updates. ``possible_set`` knows only attributes with a starting value; reads may be empty."""
     closed = _closed(semantics)
-    reads, _ = split_intervals(reads, closed=True)
-    updates, _ = split_intervals(updates, closed)
+    reads, updates = reads.where(usable(closed=True)), updates.where(usable(closed))
     if not closed:
         reads = reads.where(F.col("attribute").isin(*initial))
         updates = filter_validatable(updates, initial)
@@ -94,14 +107,6 @@ def update_states(updates: DataFrame, semantics: str, slices: TimeSlices, initia
     return make(updates, slices, initial)
 
 
-def kept_states(updates: DataFrame, semantics: str, slices: TimeSlices, initial: Mapping[str, int]) -> DataFrame:
-    """The same, written to the shared folder and read back: for plans that use the states several times.
-
-    It spares repeated scans, and a lost executor's successor the long lineage.
-    """
-    return write_through(update_states(updates, semantics, slices, initial), "states")
-
-
 def _probes(semantics: str) -> Column:
     """The spans whose updates a read may see, as structs: its own, the one before it, and past the end the highest one."""
     own = F.struct(F.col("start_ns").alias("from"), F.col("end_ns").alias("to"))
@@ -139,42 +144,62 @@ def judge_spans(
     closed = _closed(semantics)
     reads = reads.where(F.col("value").isNotNull())
     distinct = reads.groupBy(*INTERVAL, F.col("value").cast("bigint").alias("value")).agg(F.count("*").alias("n_reads"))
-    after = kept_states(updates, semantics, slices, initial)  # used twice below
+    after = update_states(updates, semantics, slices, initial).withColumn("cells", states.cells_of(closed))
+    # One timeline of reads and states per item, dealt by item once; every step below keeps the rows where they are.
+    distinct = distinct.repartition(*ITEM)
+    carry = ["start_ns", "end_ns", "cells"]
     if closed:
-        cells = states.value_cells(after)
-        placed = matching.anchor_running(distinct, after, slices).withColumn("top_level", F.lit(0))
+        timeline = matching.anchor_running(distinct, after, slices, carry).withColumn("top_level", F.lit(0))
         has_updates = F.col("lowest_start").isNotNull()
     else:
-        cells = states.set_cells(after)
-        placed = matching.anchor_possible(
+        timeline = matching.anchor_possible(
             distinct,
             after.withColumn("spread", states.spread_level()),
             slices,
-            whole={"top_level": ("max", F.col("spread")), "known": ("max", ~F.col("_probe"))},
-            extra=["spread"],
+            whole={"top_level": ("max", F.col("spread")), "known": ("max", ~F.col("is_read"))},
+            carry=[*carry, "spread"],
         )
         has_updates = F.col("known")
     from_start = _sees_start(semantics) & (F.col("value") == _start(semantics, initial))
-    levels = F.sequence(F.lit(0), F.coalesce(F.col("top_level"), F.lit(0)))
-    probes = (
-        placed.withColumns({"from_start": from_start, "has_updates": has_updates, "span": F.explode(_probes(semantics))})
-        .withColumn("level", F.explode(levels))
-        .select(
-            *INTERVAL, "value", "n_reads", "from_start", "has_updates", "level",
-            states.cell_of(F.col("value"), F.col("level")).alias("cell"),
-            F.col("span.from").alias("from"), F.col("span.to").alias("to"),
-        )
-    )
-    marked = matching.mark_overlapped(
-        probes, cells.select(*INTERVAL, "level", "cell"), slices, closed, (*ITEM, "level", "cell"), ("from", "to")
-    )
-    return marked.groupBy(*INTERVAL, "value").agg(
+    rows = timeline.select(
+        *INTERVAL, "value", "n_reads", "is_read", from_start.alias("from_start"), has_updates.alias("has_updates"),
+        F.explode(F.when(F.col("is_read"), _asked_cells(semantics)).otherwise(_held_cells(closed))).alias("e"),
+    ).select("*", "e.*")
+    swept = matching.sweep_overlaps(rows, slices, closed, (*ITEM, "level", "cell"), ("from", "to"), "is_read")
+    return swept.groupBy(*INTERVAL, "value").agg(
         F.bool_or(F.col("hit") | F.col("from_start")).alias("valid"),
         F.max("n_reads").alias("n_reads"),
         F.bool_or("has_updates").alias("has_updates"),
     )
 
 
+def _asked_cells(semantics: str) -> Column:
+    """Per span that a read may see and per level, the cell its value lies in, as (from, to, level, cell)."""
+    levels = F.sequence(F.lit(0), F.coalesce(F.col("top_level"), F.lit(0)))
+
+    def asked(span: Column) -> Column:
+        return F.transform(
+            levels,
+            lambda n: F.struct(
+                span["from"].alias("from"), span["to"].alias("to"), n.alias("level"),
+                states.cell_of(F.col("value"), n).alias("cell"),
+            ),
+        )
+
+    return F.flatten(F.transform(_probes(semantics), asked))
+
+
+def _held_cells(closed: bool) -> Column:
+    """The cells of a state with its interval, in the same shape; an empty half-open interval is seen by nothing."""
+    held = F.transform(
+        "cells",
+        lambda c: F.struct(
+            F.col("start_ns").alias("from"), F.col("end_ns").alias("to"), c["level"].alias("level"), c["cell"].alias("cell")
+        ),
+    )
+    return held if closed else F.filter(held, lambda c: c["from"] < c["to"])
+
+
 def possible_values(
     reads: DataFrame,
     updates: DataFrame,
@@ -209,9 +234,9 @@ def _values_of(
     distinct: DataFrame, updates: DataFrame, semantics: str, initial: Mapping[str, int], slices: TimeSlices, own: bool
 ) -> DataFrame:
     closed = _closed(semantics)
-    after = kept_states(updates, semantics, slices, initial)
+    after = update_states(updates, semantics, slices, initial)
     cells = states.value_cells(after) if closed else states.set_cells(after)
-    placed = anchored(distinct, after, semantics, slices)
+    placed = anchored(distinct.repartition(*ITEM), after, semantics, slices)
     if own:
         spans, sees_start = _probes(semantics), _sees_start(semantics)
     else:
@@ -245,8 +270,7 @@ def validate_reads(
     Reads without a verdict (interval missing or backwards, no value, an attribute without a starting value) are left out
     in either form; ``split_reads`` gives them with a reason.
     """
-    reads, _ = split_reads(reads, semantics, initial)
-    reads, updates, slices = _inputs(reads, updates, semantics, initial, slices)
+    reads = reads.where(usable(closed=True) & _judged(semantics, initial))
     if with_values:
         values = possible_values(reads, updates, semantics, initial, slices)
         judged = reads.join(values, list(INTERVAL))
@@ -268,9 +292,11 @@ def stale_only(verdicts: DataFrame) -> DataFrame:
 
 def update_counts(reads: DataFrame, updates: DataFrame) -> DataFrame:
     """One row: all updates, and the updates of items that were read."""
-    per_item = updates.groupBy(*ITEM).agg(F.count("*").alias("n"))
-    read_items = reads.select(*ITEM).distinct().withColumn("was_read", F.lit(True))
-    counted = per_item.join(read_items, list(ITEM), "left")
+    both = updates.select(*ITEM, F.lit(1).alias("n"), F.lit(False).alias("was_read")).unionByName(
+        reads.select(*ITEM, F.lit(0).alias("n"), F.lit(True).alias("was_read"))
+    )
+    known = F.col("key").isNotNull() & F.col("attribute").isNotNull()  # no name, no item
+    counted = both.groupBy(*ITEM).agg(F.sum("n").alias("n"), F.bool_or(F.col("was_read") & known).alias("was_read"))
     return counted.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_updates"),
         F.coalesce(F.sum(F.when(F.col("was_read"), F.col("n"))), F.lit(0)).alias("processed_updates"),

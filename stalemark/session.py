@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Small shuffles keep several tasks; large ones are far above this size anyway.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     # Joins of many rows with at most one row per key (profiles, verdicts) rely on this for hot keys.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
