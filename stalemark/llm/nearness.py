@@ -209,8 +209,10 @@ def confirmed_links(docs: DataFrame, members: DataFrame, length: int = SHINGLE,
 
 def near_duplicates(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of documents (doc_id, text); links are sets of which
-    100 * intersection >= ``percent`` * union. Below ``PERCENT`` the bands find less than all links.
+    100 * intersection >= ``percent`` * union. Below ``PERCENT`` the bands would not find all links, so that is refused.
     """
+    if percent < PERCENT:
+        raise ValueError(f"the bands find the links from a similarity of {PERCENT} percent on, not from {percent}")
     signed = write_through(signatures(docs, length), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # A table of its own, so that the joins below can split a class that holds many of the rows.
