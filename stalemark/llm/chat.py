@@ -172,15 +172,16 @@ def read_back(spans: DataFrame, template=None, loss_role: str = "assistant") ->
             return conv[0], n, all_turns.hexdigest(), chars, loss.hexdigest(), size
 
         for batch in batches:
-            for conv_id, span, a, b, in_loss in zip(*(batch.column(c).to_pylist() for c in (0, 3, 5, 6, 7)), strict=True):
+            for conv_id, span, a, b in zip(*(batch.column(c).to_pylist() for c in (0, 3, 5, 6)), strict=True):
                 if conv != (conv_id,):
                     if conv:
                         made.append(row())
                     conv, n, all_turns, chars, loss, size = (conv_id,), 0, hashlib.sha256(), 0, hashlib.sha256(), 0
                 text = template.unescape(span[a:b])
-                all_turns.update(f"{template.role_of(span)}\n{text}\n".encode())
+                role = template.role_of(span)
+                all_turns.update(f"{role}\n{text}\n".encode())
                 n, size = n + 1, size + len(span)
-                if in_loss:
+                if role == loss_role:
                     loss.update(text.encode())
                     chars += len(text)
             if made:
