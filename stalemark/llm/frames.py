@@ -10,10 +10,8 @@ from pyspark.sql.types import StructType
 
 from stalemark import session
 
-WRITING = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.parquet.compression.codec": "zstd",
-}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+CODEC = "spark.sql.parquet.compression.codec"
 BATCH_BYTES = "8m"
 FILTER_BITS = 23
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,11 +48,12 @@ def map_batches(df: DataFrame, function: Callable, schema: StructType | str) ->
     return df.mapInArrow(function, schema)
 
 
-def write_through(df: DataFrame, purpose: str) -> DataFrame:
+def write_through(df: DataFrame, purpose: str, codec: str | None = None) -> DataFrame:
     """The same rows, read back from a table in the shared folder; the shuffle files that made it go at once."""
     conf = df.sparkSession.conf
-    before = {name: conf.get(name, None) for name in WRITING}
-    for name, value in WRITING.items():
+    wanted = {CLEANUP: "true"} | ({CODEC: codec} if codec else {})
+    before = {name: conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
         conf.set(name, value)
     try:
         return session.write_through(df, purpose)

@@ -12,8 +12,9 @@ Steps 1 and 2, joins by 64-bit hashes, decide which passages recur. The automata
 that they were cut from: they don't confirm that a passage stands elsewhere as text, and see no document of another slice.
 
 Edge cases: a null text has no words; documents shorter than a window lose nothing; rows that repeat, with one doc_id or
-several, repeat each other's windows and lose them; a document may lose all words and stays as an empty one; null ids take
-part. Output columns replace input columns of the same name.
+several, repeat each other's windows and lose them; a document may lose all words and stays as an empty one; rows with null
+or equal ids are told apart by 128 bits of their text's hash; texts of any length are read whole by one task; an empty table
+gives no rows. Other columns are carried along; output columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from stalemark.llm.texts import Slice, constants, expand, mix, run_hashes, slice
 PASSAGE, GRAM = 35, 12
 AUTOMATON_BYTES = 1 << 20
 PART_WORDS = 2_000
-RUNS = "id long, crc int, anchor long, seg long, first int, n int, again boolean"
+KEY = ["id", "h1", "h2"]  # a document: its id, and 128 bits of a hash of its text, since ids may repeat or be null
+RUNS = "id long, h1 long, h2 long, anchor long, seg long, first int, n int, again boolean"
 
 
 def sliding(values: np.ndarray, width: int, better: np.ufunc) -> np.ndarray:
@@ -97,15 +99,15 @@ def window_runs(part: Slice, passage: int, gram: int) -> dict[str, np.ndarray]:
 
 
 def find_runs(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
-    """Runs of windows of each of ``texts`` (id, crc, text)."""
-    schema = pa.schema([("id", pa.int64()), ("crc", pa.int32()), ("anchor", pa.int64()), ("seg", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
+    """Runs of windows of each of ``texts`` (id, h1, h2, text)."""
+    schema = pa.schema([*((k, pa.int64()) for k in KEY), ("anchor", pa.int64()), ("seg", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("again", pa.bool_())])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(2)):
+            for part in slices(batch.column(3)):
                 if found := window_runs(part, passage, gram):
                     rows = pa.array(found["row"] + part.first)
-                    made = [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(found[k].view(np.int64)) for k in ("anchor", "seg"))]
+                    made = [*(batch.column(k).take(rows) for k in range(3)), *(pa.array(found[k].view(np.int64)) for k in ("anchor", "seg"))]
                     made += [pa.array(found[k].astype(np.int32)) for k in ("first", "n")]
                     yield pa.RecordBatch.from_arrays([*made, pa.array(found["again"])], schema=schema)
 
@@ -135,7 +137,7 @@ def window_rows(examples: DataFrame, passage: int = PASSAGE) -> DataFrame:
 
 
 def recurring_places(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
-    """(id, crc, places): the runs (first window, windows, at) of each of ``texts`` (id, crc, text) that occur elsewhere
+    """(id, h1, h2, places): the runs (first window, windows, at) of each of ``texts`` (id, h1, h2, text) that occur elsewhere
     too; as a whole, or where ``at`` isn't null, in the windows it lists.
 
     Tables that are joined back to what they were counted from are written first: such a join has its own shuffle, which
@@ -145,15 +147,15 @@ def recurring_places(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
     twice = runs.groupBy("anchor").agg(F.count("n").alias("times"), F.max("again").alias("again")).where("times > 1 OR again")
     live = write_through(runs.join(write_through(twice.select("anchor"), "anchors"), "anchor"), "live-runs")
     segs = live.groupBy("anchor", "seg").agg(
-        F.count("n").alias("times"), F.max("again").alias("again"), F.min(F.struct("id", "crc", "first", "n")).alias("example")
+        F.count("n").alias("times"), F.max("again").alias("again"), F.min(F.struct(*KEY, "first", "n")).alias("example")
     )
     segs = write_through(segs, "segs")
     kinds = write_through(segs.groupBy("anchor").agg(F.count("seg").alias("kinds")).where("kinds > 1"), "kinds")
     unsure = segs.join(kinds, "anchor", "left").where("kinds IS NOT NULL OR (again AND times = 1)")
     run = F.struct("anchor", "seg", "example.first", "example.n", F.least("times", F.lit(2)).cast("int").alias("weight"))
-    listed = unsure.groupBy(F.col("example.id").alias("id"), F.col("example.crc").alias("crc")).agg(F.collect_set(run).alias("runs"))
+    listed = unsure.groupBy(*(F.col(f"example.{k}").alias(k) for k in KEY)).agg(F.collect_set(run).alias("runs"))
     listed = write_through(listed, "examples")
-    some = marked_by(texts, listed, ["id", "crc"], "maybe").where("maybe").join(listed, ["id", "crc"]).dropDuplicates(["id", "crc"])
+    some = marked_by(texts, listed, KEY, "maybe").where("maybe").join(listed, KEY).dropDuplicates(KEY)
     windows = write_through(window_rows(some, passage), "windows")
     again = windows.groupBy("anchor", "window").agg(F.sum("weight").alias("times")).where("times > 1").select("anchor", "window")
     again = write_through(again, "recurring-windows")
@@ -162,7 +164,7 @@ def recurring_places(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
     parts = parts.join(segs.where("times = 1").select("anchor", "seg"), ["anchor", "seg"]).select("anchor", "seg", "at")
     marked = write_through(whole.union(parts), "recurring-runs")
     found = live.join(marked, ["anchor", "seg"])
-    return found.groupBy("id", "crc").agg(F.collect_set(F.struct("first", "n", "at")).alias("places"))
+    return found.groupBy(*KEY).agg(F.collect_set(F.struct("first", "n", "at")).alias("places"))
 
 
 def windows_of(run: dict) -> list[tuple[int, int]]:
@@ -224,11 +226,14 @@ def locate(docs: list[list[str]], places: list[list[tuple[int, int]]], passage:
 def remove_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
     """Add ``n_words``, ``n_removed`` and ``kept_text`` (the kept words, joined by one space) to documents (doc_id, text)."""
     row = F.col("_row")
-    keyed = wrapped(docs).select("_row", F.coalesce(row["doc_id"].cast("long"), F.lit(-(2**63))).alias("id"), (F.crc32(text_of(row["text"]).cast("binary")) - (1 << 31)).cast("int").alias("crc"), text_of(row["text"]).alias("text"))
-    places = write_through(recurring_places(keyed.select("id", "crc", "text"), passage, gram), "places")
+    text = text_of(row["text"])
+    digest = F.md5(text.cast("binary"))
+    halves = (F.conv(F.substring(digest, at, 16), 16, -10).cast("long").alias(k) for at, k in ((1, "h1"), (17, "h2")))
+    keyed = wrapped(docs).select("_row", F.coalesce(row["doc_id"].cast("long"), F.lit(-(2**63))).alias("id"), *halves, text.alias("text"))
+    places = write_through(recurring_places(keyed.select(*KEY, "text"), passage, gram), "places")
     rest = F.struct(*(row[c].alias(c) for c in docs.columns if c != "text"))
-    keyed = marked_by(keyed.select(rest.alias("_rest"), "id", "crc", "text"), places, ["id", "crc"], "maybe")
-    joined = keyed.where("maybe").join(places, ["id", "crc"], "left").select("_rest", "text", "places")
+    keyed = marked_by(keyed.select(rest.alias("_rest"), *KEY, "text"), places, KEY, "maybe")
+    joined = keyed.where("maybe").join(places, KEY, "left").select("_rest", "text", "places")
     joined = joined.union(keyed.where("NOT maybe").select("_rest", "text", F.lit(None).alias("places")))
     schema = joined.select("_rest", F.lit("").alias("text"), F.lit(1).cast("long").alias("n_words"), F.lit(1).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
 

@@ -137,7 +137,7 @@ def chunks_of(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) ->
     rows = docs.select(row.alias("_row"), F.coalesce(train, F.lit(False)).alias("train"), F.col("text"))
     kind = rows.schema["_row"].dataType.simpleString()
     schema = f"block long, train array<boolean>, rows array<{kind}>, sizes array<long>, data binary"
-    return write_through(map_batches(rows, _chunked(block_bytes), schema), "streams")
+    return write_through(map_batches(rows, _chunked(block_bytes), schema), "streams", "zstd")
 
 
 # ------------------------------------------------------------------- entries
@@ -387,7 +387,7 @@ def _short_levels(tops: DataFrame, home: int) -> list[DataFrame]:
         seen = F.col("zeros") + F.col("ones")
         estimate = (F.col("ones") + 0.5) / (seen + 1.0)
         kept = level.select("context", "prefix", "zeros", "ones", "weighted", share.alias("share"), (seen > 0).alias("seen"), estimate.alias("estimate"))
-        levels.append(write_through(kept, "contexts"))
+        levels.append(write_through(kept, "contexts", "zstd"))
         level = levels[-1].groupBy(F.shiftright("context", 8).alias("context"), "prefix").agg(
             F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("longer")
         )
@@ -420,7 +420,7 @@ def mixtures(pairs: DataFrame, depth: int) -> DataFrame:
     levels = _short_levels(tops, home)
     state = _mixed(levels).withColumnRenamed("context", "home")
     both = placed.unionByName(state, allowMissingColumns=True).repartition("home").sortWithinPartitions("home")
-    values = write_through(map_batches(both, _home_values(depth, home), "a long, value double"), "values")
+    values = write_through(map_batches(both, _home_values(depth, home), "a long, value double"), "values", "zstd")
     discard(*levels)
     return values
 
@@ -511,16 +511,16 @@ def score_documents(docs: DataFrame, train: Column, depth: int = DEPTH, block_by
     chunks = chunks_of(docs, train, block_bytes)
     rows = chunks.schema["rows"].dataType.elementType
     entries = map_batches(chunks.select("block", "train", "sizes", "data"), _entries(depth), "block long, a long, b int, n long")
-    entries = write_through(entries, "entries")
+    entries = write_through(entries, "entries", "zstd")
     is_word = F.col("b").isNotNull()
-    words = write_through(entries.where(is_word).groupBy("a", "b").agg(F.sum("n").alias("n")), "words")
+    words = write_through(entries.where(is_word).groupBy("a", "b").agg(F.sum("n").alias("n")), "words", "zstd")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    pairs = write_through(entries.where(~is_word).groupBy("a").agg(F.sum("n").alias("n")), "pairs")
+    pairs = write_through(entries.where(~is_word).groupBy("a").agg(F.sum("n").alias("n")), "pairs", "zstd")
     values = mixtures(pairs, depth)
     known = words.select("a", "b", F.col("n").cast("double").alias("value"))
     answers = entries.where(~is_word).select("block", "a").join(values, "a").select("block", "a", F.lit(None).cast("int").alias("b"), "value")
     answers = answers.union(entries.where(is_word).select("block", "a", "b").join(known, ["a", "b"]).select("block", "a", "b", "value"))
-    answers = write_through(answers, "answers")
+    answers = write_through(answers, "answers", "zstd")
     discard(entries, words, pairs, values)
     schema = f"_row {rows.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double, stream_bytes long"
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)

@@ -267,6 +267,22 @@ def test_short_periods(spark):
     assert found == Counter(brute.without_repeats([r[:2] for r in rows]))
 
 
+def test_texts_of_one_id_and_one_checksum_are_told_apart(spark):
+    """Rows with null or equal ids whose texts share a CRC-32, one of them with a passage that stands elsewhere."""
+    rng, seen, found = random.Random(8), {}, None
+    passage = " ".join(f"p{i}" for i in range(40))
+    while found is None:
+        tail = str(rng.randrange(10**12))
+        for kind, text in (("shared", f"{passage} {tail}"), ("own", " ".join(f"q{i}" for i in range(45)) + f" {tail}")):
+            other = seen.setdefault(zlib.crc32(text.encode()), (kind, text))
+            if other[0] != kind:
+                found = {kind: text, other[0]: other[1]}
+    for same in (None, 7):
+        rows = [(same, found["shared"], "en", "a", 0), (same, found["own"], "en", "a", 0), (1, f"x {passage} y", "en", "a", 0)]
+        got = {r.text: r.n_removed for r in repeats.remove_repeats(frame(spark, rows)).collect()}
+        assert got == {found["shared"]: 40, found["own"]: 0, f"x {passage} y": 40}
+
+
 def test_long_passages_in_parts(monkeypatch):
     monkeypatch.setattr(repeats, "PART_WORDS", 7)
     monkeypatch.setattr(repeats, "AUTOMATON_BYTES", 60)
