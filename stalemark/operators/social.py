@@ -143,28 +143,40 @@ def view_profile(
     )
 
 
+TOP_SHARES = 16
+
+
 def top_k_resources(requests: DataFrame, resources: DataFrame, k: int | str) -> DataFrame:
     """For each requested owner, the ``k`` newest resources on its wall; ``k`` is a number or a column of the requests.
 
-    The rank is cut at k before the shuffle, so a wall with very many resources sends k rows per task.
+    A number is cut off before the shuffle, so a wall with very many resources sends k rows per task. A column gives every
+    wall a cut of its own, the most that its own requests want: walls are ranked in ``TOP_SHARES`` shares first, so that one
+    of very many resources is no single task's, and what is left of the shares is ranked again. What others ask for changes
+    nothing. Resources with one rid on a wall are ranked in any order.
     """
-    most = k if isinstance(k, int) else (requests.agg(F.max(k)).first()[0] or 0)
-    newest = Window.partitionBy("walluserid").orderBy(F.desc("rid"))
-    walls = requests.select(F.col("owner").alias("walluserid")).distinct()
-    asked_for = resources.join(walls, "walluserid", "left_semi")
-    top = asked_for.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most)
     asked = requests.withColumnRenamed("owner", "walluserid")
-    found = asked.join(top, "walluserid")
-    return found if isinstance(k, int) else found.where(F.col("place") <= F.col(k))
+    newest = Window.partitionBy("walluserid").orderBy(F.desc("rid"))
+    if isinstance(k, int):
+        walls = asked.select("walluserid").distinct()
+        found = resources.join(walls, "walluserid", "left_semi").withColumn("place", F.row_number().over(newest))
+        return asked.join(found.where(F.col("place") <= k), "walluserid")
+    walls = asked.groupBy("walluserid").agg(F.max(k).alias("_most")).where("_most > 0")
+    rows = resources.join(walls, "walluserid").withColumn("_share", F.pmod(F.xxhash64("rid"), F.lit(TOP_SHARES)))
+    in_share = Window.partitionBy("walluserid", "_share").orderBy(F.desc("rid"))
+    rows = rows.withColumn("place", F.row_number().over(in_share)).where("place <= _most")
+    rows = rows.withColumn("place", F.row_number().over(newest)).where("place <= _most").drop("_share", "_most")
+    return asked.join(rows, "walluserid").where(F.col("place") <= F.col(k))
 
 
 def resources_of_user(requests: DataFrame, resources: DataFrame, by: str = "creatorid") -> DataFrame:
     """For each requested owner, the resources it created (or, by ``walluserid``, has on its wall).
 
-    The rows of an owner are together in one partition, newest first; partitions have no order among each other.
+    All rows are in the order of owners, newest first for each, from the first partition to the last. Bounds are sampled by
+    (owner, rid), so an owner of very many resources takes several partitions in a row.
     """
     found = requests.select("owner").join(resources.withColumn("owner", F.col(by)), "owner")
-    return found.repartition("owner").sortWithinPartitions("owner", F.desc("rid"))
+    order = ["owner", F.desc("rid")]
+    return found.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def comments_on_resource(resource_ids: DataFrame, manipulations: DataFrame) -> DataFrame:

@@ -235,3 +235,59 @@ def cell_values(level: Column, cell: Column) -> Column:
     width = power_of_two(level)
     bottom = index * width * 2 + parity
     return F.when(level == 0, F.array(cell)).otherwise(F.sequence(bottom, bottom + (width - 1) * 2, two))
+
+
+# ------------------------------------------------------------- run-encoded sets
+#
+# A set of values as an array of runs (low, high), each of every second value from low to high: the even runs and the odd
+# runs, rising within each parity, none touching the next. So a set has one form, and its size does not show in it.
+
+
+def block_of(level: Column, cell: Column) -> Column:
+    """A cell as a run: its lowest and its highest value."""
+    two = F.lit(2).cast("bigint")
+    parity = cell % 2
+    width = power_of_two(level)
+    bottom = floor_div(cell - parity, two) * width * 2 + parity
+    low = F.when(level == 0, cell).otherwise(bottom)
+    high = F.when(level == 0, cell).otherwise(bottom + (width - 1) * 2)
+    return F.struct(low.alias("low"), high.alias("high"))
+
+
+def runs_of(blocks: Column | str) -> Column:
+    """Any runs of one parity each, in any order, overlapping or not, as the one form of their union."""
+    keyed = F.transform(
+        blocks,
+        lambda r: F.struct(F.pmod(r["low"], F.lit(2).cast("bigint")).alias("odd"), r["low"].alias("low"), r["high"].alias("high")),
+    )
+    none = F.array().cast("array<struct<odd: bigint, low: bigint, high: bigint>>")
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joins = (last["odd"] == r["odd"]) & (r["low"] <= last["high"] + 2)
+        longer = F.struct(last["odd"].alias("odd"), last["low"].alias("low"), F.greatest(last["high"], r["high"]).alias("high"))
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
+        return F.when((F.size(done) > 0) & joins, grown).otherwise(F.concat(done, F.array(r)))
+
+    merged = F.aggregate(F.array_sort(keyed), none, add)
+    return F.transform(merged, lambda r: F.struct(r["low"].alias("low"), r["high"].alias("high")))
+
+
+def run_union(first: Column | str, second: Column | str) -> Column:
+    return runs_of(F.concat(first, second))
+
+
+def run_holds(runs: Column | str, value: Column) -> Column:
+    """Is the value a member?"""
+    return F.exists(runs, lambda r: (r["low"] <= value) & (value <= r["high"]) & ((value - r["low"]) % 2 == 0))
+
+
+def run_size(runs: Column | str) -> Column:
+    """The number of members."""
+    two = F.lit(2).cast("bigint")
+    return F.aggregate(runs, F.lit(0).cast("bigint"), lambda n, r: n + floor_div(r["high"] - r["low"], two) + 1)
+
+
+def run_values(runs: Column | str) -> Column:
+    """The members, rising; the array is as long as the set."""
+    return F.array_sort(F.flatten(F.transform(runs, lambda r: F.sequence(r["low"], r["high"], F.lit(2).cast("bigint")))))

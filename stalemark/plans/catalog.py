@@ -12,7 +12,7 @@ from stalemark.operators import friendship, matching, social, states
 from stalemark.operators.slices import measure_slices
 from stalemark.plans import bindings, validate
 from stalemark.schemas import INITIAL, ITEM
-from stalemark.session import shared_folder
+from stalemark.session import register_written, shared_folder
 from stalemark.sources import entities, logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,7 @@ def report_sink(spark, sf_dir):
 
 def _log_folder(spark, sf_dir):
     folder = shared_folder(spark, "logs")
+    register_written(folder)
     bindings.read_lines(spark, sf_dir).write.text(f"{folder}/read_log")
     bindings.update_lines(spark, sf_dir).write.text(f"{folder}/update_log")
     return folder
@@ -149,6 +150,11 @@ def report_directory_possible(spark, sf_dir):
     return validate.report_directory(spark, _log_folder(spark, sf_dir), "possible_set")
 
 
+@query
+def report_directory_rejects(spark, sf_dir):
+    return validate.report_directory(spark, _log_folder(spark, sf_dir), "running_value", with_rejects=True)
+
+
 # ------------------------------------------------- projections, filters, predicates
 
 
@@ -371,6 +377,36 @@ def possible_values_running(spark, sf_dir):
     return _possible_values(spark, sf_dir, "running_value")
 
 
+def _possible_runs(spark, sf_dir, semantics):
+    runs = validate.possible_runs(*both(spark, sf_dir), semantics)
+    shown = F.transform("runs", lambda r: F.concat_ws(":", r["low"].cast("string"), r["high"].cast("string")))
+    return runs.select(*INTERVAL, F.array_join(shown, ",").alias("runs"), states.run_size("runs").alias("n_values"))
+
+
+@query
+def possible_runs_possible(spark, sf_dir):
+    return _possible_runs(spark, sf_dir, "possible_set")
+
+
+@query
+def possible_runs_running(spark, sf_dir):
+    return _possible_runs(spark, sf_dir, "running_value")
+
+
+@query
+def runs_hold_reads(spark, sf_dir):
+    # The verdict by membership in the run-encoded set, next to the two sets of an item's first and last read united.
+    reads, updates = both(spark, sf_dir)
+    runs = validate.possible_runs(reads, updates, "possible_set")
+    judged = reads.join(runs, list(INTERVAL)).withColumn("valid", states.run_holds("runs", F.col("value").cast("long")))
+    time = F.struct("start_ns", "end_ns", "seq_id")
+    ends = judged.groupBy(*ITEM).agg(
+        F.count_if("valid").alias("n_valid"), F.min_by("runs", time).alias("first"), F.max_by("runs", time).alias("last")
+    )
+    either = states.run_union("first", "last")
+    return ends.select(*ITEM, "n_valid", text(states.run_values(either)).alias("first_or_last"))
+
+
 @query
 def validate_reads_possible(spark, sf_dir):
     judged = validate.validate_reads(*both(spark, sf_dir), "possible_set")

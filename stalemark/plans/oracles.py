@@ -203,6 +203,19 @@ def _values(source: str, name: str) -> str:
     return f"SELECT {SPAN}, {_joined('value')} AS {name} FROM {source} GROUP BY ALL"
 
 
+# The runs of every second value of each read's set: (parity, low, high).
+RUNS_OF = f"""
+spread AS (
+  SELECT DISTINCT {SPAN}, value, value & 1 AS odd FROM seen
+), islands AS (
+  SELECT {SPAN}, odd, value, value - 2 * row_number() OVER (PARTITION BY {SPAN}, odd ORDER BY value) AS island FROM spread
+), runs AS (
+  SELECT {SPAN}, odd, min(value) AS low, max(value) AS high, count(*) AS n FROM islands GROUP BY {SPAN}, odd, island
+)"""
+RUNS = f"""
+SELECT {SPAN}, string_agg(low || ':' || high, ',' ORDER BY odd, low) AS runs, CAST(sum(n) AS BIGINT) AS n_values FROM runs GROUP BY ALL"""
+
+
 def _overlap(test: str) -> str:
     return _with(LOGS) + (
         "SELECT r.seq_id AS read_id, u.seq_id AS update_seq_id, u.start_ns AS update_start_ns, u.end_ns AS update_end_ns, "
@@ -284,6 +297,9 @@ ORACLES: dict[str, str] = {
     "(9, 'correct_percent', CAST(correct_reads AS DOUBLE) / total_reads * 100.0)) l(line, figure, amount)",
     "scan_read_logs": _with(LOGS, LINES) + "SELECT line AS value, true AS is_part FROM lines WHERE log_type = 'READ'",
     "report_directory_running": _with(PARSED, RUNNING, VERDICTS, READ_ITEMS, REPORT) + FRACTIONS,
+    "report_directory_rejects": _with(PARSED, RUNNING, VERDICTS, READ_ITEMS, REPORT)
+    + FRACTIONS.replace("FROM report", ", (SELECT count(*) FROM events WHERE event_type IN ('view', 'click') AND CAST(json_extract(props, '$.k') AS INT) IN (1, 2, 3)) AS rejected_reads, "
+    "(SELECT count(*) FROM events WHERE event_type NOT IN ('view', 'click') AND CAST(json_extract(props, '$.k') AS INT) IN (1, 2, 3)) AS rejected_updates FROM report"),
     "report_directory_possible": _with(PARSED, POSSIBLE, VERDICTS, READ_ITEMS, REPORT) + FRACTIONS,
     "refused_reads": _with(LOGS)
     + "SELECT seq_id, CASE WHEN seq_id % 20 <> 7 THEN value END AS value, CASE seq_id % 20 WHEN 3 THEN 'unknown_attribute' "
@@ -355,6 +371,16 @@ ORACLES: dict[str, str] = {
     + "SELECT key, attribute, count(DISTINCT (start_ns, end_ns)) AS n_intervals FROM updates GROUP BY ALL",
     "possible_values_possible": _with(LOGS, POSSIBLE) + _values("seen", "possible_values"),
     "possible_values_running": _with(LOGS, RUNNING) + _values("seen", "possible_values"),
+    "possible_runs_possible": _with(LOGS, POSSIBLE, RUNS_OF) + RUNS,
+    "possible_runs_running": _with(LOGS, RUNNING, RUNS_OF) + RUNS,
+    "runs_hold_reads": _with(LOGS, POSSIBLE, VERDICTS)
+    + ", ends AS (SELECT key, attribute, count(*) FILTER (valid) AS n_valid, min((start_ns, end_ns, seq_id)) AS a, "
+    "max((start_ns, end_ns, seq_id)) AS b FROM verdicts GROUP BY key, attribute), "
+    "members AS (SELECT DISTINCT e.key, e.attribute, s.value FROM ends e JOIN reads r ON r.key = e.key AND r.attribute = e.attribute "
+    "AND ((r.start_ns, r.end_ns, r.seq_id) = e.a OR (r.start_ns, r.end_ns, r.seq_id) = e.b) "
+    "JOIN seen s ON s.key = r.key AND s.attribute = r.attribute AND s.start_ns = r.start_ns AND s.end_ns = r.end_ns) "
+    "SELECT key, attribute, n_valid, string_agg(value, ',' ORDER BY value) AS first_or_last "
+    "FROM ends JOIN members USING (key, attribute) GROUP BY ALL",
     "validate_reads_possible": _with(LOGS, POSSIBLE, VERDICTS) + f"SELECT seq_id, {SPAN}, value, valid FROM verdicts",
     "validate_reads_running": _with(LOGS, RUNNING, VERDICTS) + f"SELECT seq_id, {SPAN}, value, valid FROM verdicts",
     "staleness_report_possible": _with(LOGS, POSSIBLE, VERDICTS, READ_ITEMS, REPORT) + FRACTIONS,

@@ -208,8 +208,20 @@ def possible_values(
     slices: TimeSlices | None = None,
 ) -> DataFrame:
     """Per distinct (item, interval) of the reads, the rising array of values such a read may return."""
+    runs = possible_runs(reads, updates, semantics, initial, slices)
+    return runs.select(*INTERVAL, states.run_values("runs").alias("possible_values"))
+
+
+def possible_runs(
+    reads: DataFrame,
+    updates: DataFrame,
+    semantics: str,
+    initial: Mapping[str, int] = INITIAL,
+    slices: TimeSlices | None = None,
+) -> DataFrame:
+    """The same sets as ``runs``, whose length does not grow with the number of values: see ``states.runs_of``."""
     reads, updates, slices = _inputs(reads, updates, semantics, initial, slices)
-    return _values_of(reads.select(*INTERVAL).distinct(), updates, semantics, initial, slices, own=True)
+    return _runs_of(reads.select(*INTERVAL).distinct(), updates, semantics, initial, slices, own=True)
 
 
 def state_before(
@@ -221,7 +233,8 @@ def state_before(
 ) -> DataFrame:
     """Per distinct (item, interval) of the reads, only the values that come from before the read."""
     reads, updates, slices = _inputs(reads, updates, semantics, initial, slices)
-    return _values_of(reads.select(*INTERVAL).distinct(), updates, semantics, initial, slices, own=False)
+    runs = _runs_of(reads.select(*INTERVAL).distinct(), updates, semantics, initial, slices, own=False)
+    return runs.select(*INTERVAL, states.run_values("runs").alias("possible_values"))
 
 
 def anchored(distinct: DataFrame, after: DataFrame, semantics: str, slices: TimeSlices) -> DataFrame:
@@ -230,7 +243,7 @@ def anchored(distinct: DataFrame, after: DataFrame, semantics: str, slices: Time
     return anchor(distinct, after, slices)
 
 
-def _values_of(
+def _runs_of(
     distinct: DataFrame, updates: DataFrame, semantics: str, initial: Mapping[str, int], slices: TimeSlices, own: bool
 ) -> DataFrame:
     closed = _closed(semantics)
@@ -247,14 +260,17 @@ def _values_of(
     asked = placed.select(*INTERVAL, sees_start.alias("sees_start"), F.explode(spans).alias("span")).select(
         *INTERVAL, "sees_start", F.col("span.from").alias("from"), F.col("span.to").alias("to")
     )
-    # A read's row lists its values, so meeting its spans with merged runs costs no more than the result.
+    # Meeting the spans with merged runs of updates costs no more than the cells that make the result.
     runs = matching.merge_runs(cells, slices)
     found = matching.overlap_join(asked, runs, closed, slices=slices, span=("from", "to"), keep_left=True)
-    start = F.when(F.bool_or("sees_start"), F.array(_start(semantics, initial)))
-    none = F.array().cast("array<bigint>")
-    held = found.groupBy(*INTERVAL).agg(matching.found_cells().alias("held"), F.coalesce(start, none).alias("start"))
-    values = F.concat(matching.values_in("held"), F.col("start"))
-    return held.select(*INTERVAL, F.array_sort(F.array_distinct(values)).alias("possible_values"))
+    start = _start(semantics, initial)
+    block = states.block_of(F.col("update_level"), F.col("update_cell"))
+    held = found.groupBy(*INTERVAL).agg(
+        F.collect_set(F.when(F.col("update_cell").isNotNull(), block)).alias("held"), F.bool_or("sees_start").alias("sees_start")
+    )
+    own_start = F.when(F.col("sees_start"), F.array(F.struct(start.alias("low"), start.alias("high"))))
+    blocks = F.concat("held", F.coalesce(own_start, F.array().cast("array<struct<low: bigint, high: bigint>>")))
+    return held.select(*INTERVAL, states.runs_of(blocks).alias("runs"))
 
 
 def validate_reads(
@@ -272,9 +288,9 @@ def validate_reads(
     """
     reads = reads.where(usable(closed=True) & _judged(semantics, initial))
     if with_values:
-        values = possible_values(reads, updates, semantics, initial, slices)
-        judged = reads.join(values, list(INTERVAL))
-        return judged.withColumn("valid", F.array_contains("possible_values", F.col("value").cast("bigint")))
+        runs = possible_runs(reads, updates, semantics, initial, slices)
+        judged = reads.join(runs, list(INTERVAL)).withColumn("valid", states.run_holds("runs", F.col("value").cast("bigint")))
+        return judged.withColumn("possible_values", states.run_values("runs")).select(*reads.columns, "possible_values", "valid")
     verdicts = judge_spans(reads, updates, semantics, initial, slices).drop("n_reads").withColumnRenamed("value", "_value")
     return reads.withColumn("_value", F.col("value").cast("bigint")).join(verdicts, [*INTERVAL, "_value"]).drop("_value")
 
@@ -359,11 +375,23 @@ def report_of(reads: DataFrame, updates: DataFrame, semantics: str, initial: Map
     return staleness_report(judge_spans(reads, updates, semantics, initial), update_counts(reads, updates))
 
 
-def report_directory(spark: SparkSession, path: str, semantics: str, initial: Mapping[str, int] = INITIAL) -> DataFrame:
-    """The report of a directory of read and update logs: scan, parse, validate. ``logs.parse_logs`` gives the rejects."""
-    reads, _ = logs.parse_logs(logs.scan_logs(spark, path, "read"))
-    updates, _ = logs.parse_logs(logs.scan_logs(spark, path, "update"))
-    return report_of(reads, updates, semantics, initial)
+def report_directory(
+    spark: SparkSession, path: str, semantics: str, initial: Mapping[str, int] = INITIAL, with_rejects: bool = False
+) -> DataFrame:
+    """The report of a directory of read and update logs: scan, parse, validate.
+
+    With ``with_rejects`` it also says how many lines of either log are none (``rejected_reads``, ``rejected_updates``);
+    ``logs.parse_logs`` gives the lines themselves with a reason.
+    """
+    reads, bad_reads = logs.parse_logs(logs.scan_logs(spark, path, "read"))
+    updates, bad_updates = logs.parse_logs(logs.scan_logs(spark, path, "update"))
+    report = report_of(reads, updates, semantics, initial)
+    if not with_rejects:
+        return report
+    bad = bad_reads.select(F.lit(True).alias("read")).unionByName(bad_updates.select(F.lit(False).alias("read")))
+    counts = bad.agg(F.count_if("read").alias("rejected_reads"), F.count_if(~F.col("read")).alias("rejected_updates"))
+    both = report.unionByName(counts, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 # ---------------------------------------------------------------------- by item

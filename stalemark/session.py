@@ -62,13 +62,18 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 def write_through(df: DataFrame, purpose: str) -> DataFrame:
     """The same rows, read back from a table written to the shared folder; ``remove_written`` removes such tables."""
     path = shared_folder(df.sparkSession, purpose)
+    register_written(path)
     df.write.parquet(path)
-    _written.append(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_path = path
     return table
 
 
+def register_written(path: str) -> None:
+    """Have ``remove_written`` remove this path too."""
+    _written.append(path)
+
+
 def written_tables() -> list[str]:
     """The paths of the tables that this driver has written and not removed."""
     return list(_written)

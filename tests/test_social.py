@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from stalemark.operators import friendship, social
 from stalemark.operators.slices import measure_slices
@@ -83,6 +84,37 @@ def test_top_k(spark, graph):
     assert "WindowGroupLimit" in plan
 
 
+def test_top_k_of_one_request_leaves_other_walls_alone(spark):
+    resources = spark.range(6000).selectExpr("id AS rid", "id AS creatorid", "IF(id % 3 = 0, id % 20, 1) AS walluserid", "'t' AS type")
+    small = frame(spark, [(5, w, 2) for w in range(20)], "requester bigint, owner bigint, k bigint")
+    large = small.unionByName(frame(spark, [(6, 1, 10**9), (7, 99, 10**9)], small.schema))
+
+    def run(requests):
+        found = social.top_k_resources(requests, resources, "k")
+        rows = Counter((r.requester, r.walluserid) for r in found.collect())
+        return {w: n for (q, w), n in rows.items() if q == 5}, rows[6, 1]
+
+    walls = Counter(i % 20 if i % 3 == 0 else 1 for i in range(6000))
+    assert run(small) == ({w: 2 for w in range(20)}, 0)
+    assert run(large) == ({w: 2 for w in range(20)}, walls[1])
+    top = [r.rid for r in social.top_k_resources(large, resources, "k").where("requester = 6").orderBy("place").collect()]
+    assert top == sorted((i for i in range(6000) if i % 3 or i % 20 == 1), reverse=True)
+
+
+def test_resources_of_a_hot_owner_take_several_partitions(spark):
+    resources = spark.range(20_000).selectExpr("id AS rid", "IF(id % 10 = 0, id % 50, 1) AS creatorid", "0 AS walluserid")
+    requests = spark.range(50).selectExpr("id AS owner")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = social.resources_of_user(requests, resources)
+        rows = found.withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [(r.owner, r.rid) for r in rows] == sorted(((r.owner, r.rid) for r in rows), key=lambda x: (x[0], -x[1]))
+    sizes = Counter(r.part for r in rows)
+    assert len(rows) == 20_000 and len(sizes) == 4 and max(sizes.values()) < 2 * 20_000 / 4
+
+
 def test_resources_and_stats(spark, graph):
     users, edges, resources = graph
     requests = frame(spark, [(2,), (1,)], "owner bigint")

@@ -124,3 +124,27 @@ def test_states_do_not_depend_on_slices_cut_again(spark, monkeypatch):
     assert slices.fine is not None
     for make in (states.running_value, states.possible_set_states):
         assert sorted(make(df, slices).collect()) == sorted(make(df, NO_SLICES).collect())
+
+
+def test_run_encoded_sets(spark):
+    rng = random.Random(3)
+    sets = [{rng.randrange(-6, 14) for _ in range(rng.randrange(12))} for _ in range(60)] + [set(), {10**12}, set(range(0, 40, 2))]
+    blocks = []
+    for members in sets:
+        own = [(v, v) for v in members for _ in range(rng.randrange(1, 3))]
+        own += [(v, v + 2) for v in members if v + 2 in members] + [(v, v + 4) for v in members if {v + 2, v + 4} <= members]
+        rng.shuffle(own)
+        blocks.append((own, sorted(members), rng.randrange(-6, 14)))
+    df = spark.createDataFrame(blocks, "b array<struct<low: bigint, high: bigint>>, v array<bigint>, x bigint")
+    df = df.withColumn("r", states.runs_of("b")).withColumn("u", states.run_union("r", F.array(F.struct(F.col("x").alias("low"), F.col("x").alias("high")))))
+    for row in df.select("*", states.run_values("r").alias("got"), states.run_size("r").alias("n"), states.run_holds("r", F.col("x")).alias("holds"), states.run_values("u").alias("both")).collect():
+        members = set(row.v)
+        assert (row.got, row.n, row.holds, row.both) == (row.v, len(members), row.x in members, sorted(members | {row.x}))
+        starts = [v for parity in (0, 1) for v in sorted(members) if v % 2 == parity and v - 2 not in members]
+        assert [r.low for r in row.r] == starts
+
+
+def test_cells_are_blocks(spark):
+    df = spark.range(6).crossJoin(spark.range(-9, 9).withColumnRenamed("id", "cell")).selectExpr("CAST(id AS INT) AS level", "cell")
+    for r in df.select(cell_values(F.col("level"), F.col("cell")).alias("v"), states.block_of(F.col("level"), F.col("cell")).alias("b")).collect():
+        assert (r.v[0], r.v[-1]) == tuple(r.b)
