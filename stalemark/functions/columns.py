@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,16 @@ def power_of_two(exponent: Column) -> Column:
 def floor_div(value: Column, width: Column) -> Column:
     """Integer quotient; never decreases as the value grows, which is all that bucketing needs."""
     return F.call_function("div", value, width)
+
+
+COPIES = "n_copies"
+
+
+def is_collapsed(rows: DataFrame) -> bool:
+    """Do the rows stand for several equal ones each, by a column ``n_copies``?"""
+    return COPIES in rows.columns
+
+
+def copies(rows: DataFrame) -> Column:
+    """How many log rows a row stands for."""
+    return F.col(COPIES) if is_collapsed(rows) else F.lit(1).cast("bigint")

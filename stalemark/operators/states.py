@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from stalemark.functions.columns import floor_div, power_of_two, starting_value
+from stalemark.functions.columns import copies, floor_div, is_collapsed, power_of_two, starting_value
 from stalemark.operators.scans import scan
 from stalemark.operators.slices import TimeSlices
 from stalemark.schemas import INITIAL, ITEM
@@ -37,7 +37,12 @@ def net_updates(updates: DataFrame) -> DataFrame:
     them, so their sum is enough; copies collapse before the shuffle.
     """
     step = F.when(F.col("op") == "I", 1).when(F.col("op") == "D", -1).otherwise(0)
-    return updates.groupBy(*INTERVAL).agg(F.sum(step).cast("bigint").alias("step"))
+    return _by_interval(updates).agg(F.sum(step * copies(updates)).cast("bigint").alias("step"))
+
+
+def _by_interval(updates: DataFrame) -> GroupedData:
+    """Grouped by interval. Where copies are collapsed already, rows are dealt by item at once, as all later steps want."""
+    return (updates.repartition(*ITEM) if is_collapsed(updates) else updates).groupBy(*INTERVAL)
 
 
 def running_value(
@@ -68,8 +73,8 @@ def match_attributes(updates: DataFrame, initial: Mapping[str, int] = INITIAL) -
 def merge_same_interval(updates: DataFrame) -> DataFrame:
     """One row per distinct interval: does it hold an insert (``inc``), does it hold anything else (``dec``), how many."""
     insert = F.coalesce(F.col("op") == "I", F.lit(False))
-    return updates.groupBy(*INTERVAL).agg(
-        F.bool_or(insert).alias("inc"), F.bool_or(~insert).alias("dec"), F.count("*").alias("n_updates")
+    return _by_interval(updates).agg(
+        F.bool_or(insert).alias("inc"), F.bool_or(~insert).alias("dec"), F.sum(copies(updates)).alias("n_updates")
     )
 
 

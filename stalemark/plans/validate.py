@@ -11,10 +11,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stalemark.functions.columns import starting_value
+from stalemark.functions.columns import COPIES, copies, is_collapsed, starting_value
 from stalemark.operators import matching, states
 from stalemark.operators.slices import TimeSlices, measure_slices
 from stalemark.schemas import INITIAL, ITEM
+from stalemark.session import write_through
 from stalemark.sources import logs
 
 INTERVAL = (*ITEM, "start_ns", "end_ns")
@@ -77,6 +78,23 @@ def _without_verdict(ok: DataFrame, semantics: str, initial: Mapping[str, int])
     return ok.withColumn("reason", reason).where(reason.isNotNull())
 
 
+def collapse_logs(reads: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What validation needs of both logs, equal rows as one with their number in ``n_copies``, written once.
+
+    Logs may be text that is costly to parse, and every question scans them again: how many rows an item has, what is
+    valid, how many updates there were. The functions of this module take the collapsed logs in place of the logs.
+    Rows without a usable interval stay, so counts and rejects are the same.
+    """
+    none = F.lit(None)
+    both = reads.select(*INTERVAL, F.lit(True).alias("is_read"), F.col("value").cast("bigint").alias("value"), none.cast("string").alias("op"))
+    both = both.unionByName(updates.select(*INTERVAL, F.lit(False).alias("is_read"), none.cast("bigint").alias("value"), "op"))
+    table = write_through(both.groupBy(*both.columns).agg(F.count("*").alias(COPIES)), "collapsed-logs")
+    return (
+        table.where("is_read").select(*INTERVAL, "value", COPIES),
+        table.where("NOT is_read").select(*INTERVAL, "op", COPIES),
+    )
+
+
 def _closed(semantics: str) -> bool:
     if semantics not in SEMANTICS:
         raise ValueError(f"semantics must be one of {SEMANTICS}, not {semantics!r}")
@@ -143,7 +161,11 @@ def judge_spans(
     reads, updates, slices = _inputs(reads, updates, semantics, initial, slices)
     closed = _closed(semantics)
     reads = reads.where(F.col("value").isNotNull())
-    distinct = reads.groupBy(*INTERVAL, F.col("value").cast("bigint").alias("value")).agg(F.count("*").alias("n_reads"))
+    value = F.col("value").cast("bigint").alias("value")
+    if is_collapsed(reads):
+        distinct = reads.select(*INTERVAL, value, F.col(COPIES).alias("n_reads"))
+    else:
+        distinct = reads.groupBy(*INTERVAL, value).agg(F.count("*").alias("n_reads"))
     after = update_states(updates, semantics, slices, initial).withColumn("cells", states.cells_of(closed))
     # One timeline of reads and states per item, dealt by item once; every step below keeps the rows where they are.
     distinct = distinct.repartition(*ITEM)
@@ -308,8 +330,8 @@ def stale_only(verdicts: DataFrame) -> DataFrame:
 
 def update_counts(reads: DataFrame, updates: DataFrame) -> DataFrame:
     """One row: all updates, and the updates of items that were read."""
-    both = updates.select(*ITEM, F.lit(1).alias("n"), F.lit(False).alias("was_read")).unionByName(
-        reads.select(*ITEM, F.lit(0).alias("n"), F.lit(True).alias("was_read"))
+    both = updates.select(*ITEM, copies(updates).alias("n"), F.lit(False).alias("was_read")).unionByName(
+        reads.select(*ITEM, F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("was_read"))
     )
     known = F.col("key").isNotNull() & F.col("attribute").isNotNull()  # no name, no item
     counted = both.groupBy(*ITEM).agg(F.sum("n").alias("n"), F.bool_or(F.col("was_read") & known).alias("was_read"))
@@ -371,7 +393,9 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def report_of(reads: DataFrame, updates: DataFrame, semantics: str, initial: Mapping[str, int] = INITIAL) -> DataFrame:
-    """Verdicts and counts of reads and updates as one report."""
+    """Verdicts and counts of reads and updates as one report. Both logs are read once."""
+    if not (is_collapsed(reads) and is_collapsed(updates)):
+        reads, updates = collapse_logs(reads, updates)
     return staleness_report(judge_spans(reads, updates, semantics, initial), update_counts(reads, updates))
 
 

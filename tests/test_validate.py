@@ -230,3 +230,33 @@ def test_reads_without_a_verdict(spark, semantics, kind):
     assert sorted(r.reason for r in refused.collect()) == sorted(["no_value", "start_after_end", "missing_field", "missing_field", *unknown])
     report = validate.report_of(read_df, update_df, semantics).first()
     assert report.total_reads == len(want) == report.correct_reads + report.stale_reads
+
+
+@pytest.mark.parametrize("semantics", validate.SEMANTICS)
+def test_collapsed_logs_give_the_same(spark, semantics):
+    """Copies by the hundred, rows without an interval or a value, other attributes: counted once or collapsed first."""
+    reads, updates = random_logs(11, n_items=8)
+    updates += updates[:5] * 100 + [(1, "ACCEPTFRND", 5, None, "I", 0), (None, "PENDFRND", 1, 2, None, 0), (1, "OTHER", 1, 2, "D", 0)]
+    reads += reads[:3] * 100 + [(1, "ACCEPTFRND", 9, 2, 10), (2, "PENDFRND", 1, 2, None), (None, "PENDFRND", 1, 2, 0), (1, "OTHER", 1, 2, 0)]
+    raw = frames(spark, reads, updates)
+    collapsed = validate.collapse_logs(*raw)
+    assert collapsed[0].count() < len(reads) and collapsed[1].count() < len(updates)
+    for question in (
+        lambda r, u: validate.judge_spans(r, u, semantics),
+        lambda r, u: validate.update_counts(r, u),
+        lambda r, u: validate.possible_values(r, u, semantics),
+        lambda r, u: validate.update_states(u.where(validate.usable(semantics == "running_value")), semantics, NO_SLICES, validate.INITIAL),
+    ):
+        assert sorted(map(repr, question(*raw).collect())) == sorted(map(repr, question(*collapsed).collect()))
+    report = validate.report_of(*raw, semantics)
+    direct = validate.staleness_report(validate.judge_spans(*raw, semantics), validate.update_counts(*raw))
+    assert report.collect() == direct.collect()
+
+
+def test_verdicts_deal_each_log_by_item_once(spark):
+    """From collapsed logs to verdicts: one exchange for the reads, one for the updates, whatever windows follow."""
+    reads, updates = validate.collapse_logs(*frames(spark, *random_logs(4)))
+    for semantics in validate.SEMANTICS:
+        judged = validate.judge_spans(reads, updates, semantics, slices=NO_SLICES)
+        plan = judged._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(key") == plan.count("Exchange") == 2
