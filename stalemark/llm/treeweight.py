@@ -40,7 +40,8 @@ from stalemark.session import discard
 
 DEPTH = 5
 BLOCK_BYTES = 32 << 20
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+TALLY_ROWS = 1 << 19
 END = 0x0A  # no word holds it, and no word ends with it
 GAP = 0x20
 WORD, PAIR = 1, 0  # kinds of entries
@@ -131,7 +132,7 @@ def _streams(chunk: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks_of(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents as streams (lower case, single spaces, end mark), about a megabyte to a row, with their other columns."""
+    """The documents as streams (lower case, single spaces, end mark), about half a megabyte to a row, with their other columns."""
     rest = [c for c in docs.columns if c != "text"]
     row = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(0).alias("_none"))
     rows = docs.select(row.alias("_row"), F.coalesce(train, F.lit(False)).alias("train"), F.col("text"))
@@ -144,34 +145,36 @@ def chunks_of(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) ->
 
 
 class _Tally:
-    """Distinct entries with sums of their counts, merged as they come in."""
+    """Distinct entries (a, or a and b) with sums of their counts, merged as they come in."""
 
     def __init__(self):
-        self.parts, self.held, self.least = [], 0, 1 << 20
+        self.parts, self.held, self.least = [], 0, TALLY_ROWS
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((keys, counts))
-        self.held += len(keys)
+    def add(self, *entries: np.ndarray) -> None:
+        self.parts.append(entries)
+        self.held += len(entries[0])
         if self.held > self.least:
             self.merge()
-            self.least = max(1 << 20, 2 * self.held)
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-        keys, counts = (np.concatenate(x) for x in zip(*self.parts))
-        keys, counts = _summed(keys, counts)
-        self.parts, self.held = [(keys, counts)], len(keys)
-        return keys, counts
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((keys[:, 1], keys[:, 0])) if keys[:, 1].any() else np.argsort(keys[:, 0], kind="stable")
-    keys, counts = keys[order], counts[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+            self.least = max(TALLY_ROWS, 2 * self.held)
+
+    def merge(self) -> tuple[np.ndarray, ...]:
+        if self.parts:
+            joined = tuple(np.concatenate(column) for column in zip(*self.parts))
+            self.parts = []  # let the parts go before they are sorted
+            self.parts = [_summed(*joined)]
+            self.held = len(self.parts[0][0])
+        return self.parts[0] if self.parts else ()
+
+
+def _summed(*entries: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Equal keys as one, with the sum of their counts, the last column."""
+    *keys, counts = entries
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    keys = [key[order] for key in keys]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.logical_or.reduce([key[1:] != key[:-1] for key in keys])
     at = np.flatnonzero(fresh)
-    return keys[at], (np.add.reduceat(counts, at) if len(at) else counts)
+    return (*(key[at] for key in keys), np.add.reduceat(counts[order], at) if len(at) else counts)
 
 
 def _entries(depth: int):
@@ -180,13 +183,12 @@ def _entries(depth: int):
         block, tallies = None, (_Tally(), _Tally())
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, tally in enumerate(tallies):
-                keys, counts = tally.merge()
-                for at in range(0, len(keys), 1 << 16):
-                    some = slice(at, at + (1 << 16))
-                    n = len(counts[some])
-                    second = pa.array(keys[some, 1].astype(np.int32)) if kind == WORD else pa.nulls(n, pa.int32())
-                    columns = [pa.array(np.full(n, block)), pa.array(keys[some, 0]), second, pa.array(counts[some])]
+            for tally in tallies:
+                merged = tally.merge()
+                for at in range(0, len(merged[0]) if merged else 0, 1 << 16):
+                    first, *second, counts = (column[at : at + (1 << 16)] for column in merged)
+                    b = pa.array(second[0].astype(np.int32)) if second else pa.nulls(len(first), pa.int32())
+                    columns = [pa.array(np.full(len(first), block)), pa.array(first), b, pa.array(counts)]
                     yield pa.RecordBatch.from_arrays(columns, ["block", "a", "b", "n"])
 
         for batch in batches:
@@ -201,9 +203,9 @@ def _entries(depth: int):
                 marked = np.sort(pairs_of(stream, bounds, depth) << 1 | np.repeat(train, np.diff(bounds)))
                 at = np.flatnonzero(np.concatenate([[True], marked[1:] != marked[:-1]]))
                 times = np.diff(np.append(at, len(marked))) * (marked[at] & 1)
-                tallies[PAIR].add(np.column_stack([marked[at] >> 1, np.zeros_like(at)]), times)
+                tallies[PAIR].add(marked[at] >> 1, times)
                 a, b, first = words_of(stream, bounds)
-                tallies[WORD].add(*_summed(np.column_stack([a, b]), np.repeat(train, np.diff(first))))
+                tallies[WORD].add(*_summed(a, b, np.repeat(train, np.diff(first))))
         if block is not None:
             yield from flush()
 
