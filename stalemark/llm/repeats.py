@@ -3,22 +3,25 @@
 1. In each window of ``PASSAGE`` words, the smallest hash of ``GRAM`` words in a row is its anchor. Equal windows have
    equal anchors, and neighbouring windows mostly share theirs, so a document becomes a few runs of windows, one for
    about every 12 words: (anchor, hash of all words of the run).
-2. Runs that occur twice recur as a whole. Where runs of one anchor differ, the windows of one example of each are
-   counted. No group is collected: counts are aggregated before the shuffle, and joined back.
-3. Documents meet the places found in them. A task takes them slice by slice, compiles the passages at these places into
-   Aho-Corasick automata of bounded size and streams the documents of the slice through; what is found is removed.
+2. Runs that occur twice, and windows that runs of one anchor have in common, are candidates: hashes say that they recur.
+   No group is collected: counts are aggregated before the shuffle, and joined back.
+3. The text of one example of each candidate is a passage. Passages are dealt by anchor into decks of bounded size, and the
+   stretches of all documents that hold the anchor stream through the Aho-Corasick automaton of its deck.
+4. A passage found once only is refuted: the hash lied. All other places that the automata found are removed, and no others.
 
-Steps 1 and 2, joins by 64-bit hashes, decide which passages recur. The automata only find those passages again in the slice
-that they were cut from: they don't confirm that a passage stands elsewhere as text, and see no document of another slice.
+An anchor with more passages than an automaton may hold is divided by passage (a stretch goes to the parts that its own
+windows are in), one that very many stretches hold is salted (each salt has all passages of its deck).
 
 Edge cases: a null text has no words; documents shorter than a window lose nothing; rows that repeat, with one doc_id or
 several, repeat each other's windows and lose them; a document may lose all words and stays as an empty one; rows with null
 or equal ids are told apart by 128 bits of their text's hash; texts of any length are read whole by one task; an empty table
-gives no rows. Other columns are carried along; output columns replace input columns of the same name.
+gives no rows. Other columns are carried along; output columns replace input columns of the same name. Rows equal in id and
+text have one salt, so very many copies of one such row make one long task, in a stream of bounded memory.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stalemark.llm.frames import map_batches, marked_by, text_of, wrapped, write_through
+from stalemark.llm.frames import map_batches, marked_by, partitions, text_of, wrapped, write_through
 from stalemark.llm.texts import Slice, constants, expand, mix, run_hashes, slices, word_hashes
 
 PASSAGE, GRAM = 35, 12
-AUTOMATON_BYTES = 1 << 20
+SLICE_BYTES = 1 << 20
+AUTOMATON_WORDS = 1 << 17  # of all passages in an automaton, about
+STREAM_RUNS = 50_000  # stretches that one salt of a hot anchor streams, about
 PART_WORDS = 2_000
+FLUSH_BYTES = 4 << 20
 KEY = ["id", "h1", "h2"]  # a document: its id, and 128 bits of a hash of its text, since ids may repeat or be null
 RUNS = "id long, h1 long, h2 long, anchor long, seg long, first int, n int, again boolean"
+DEALT = "deck long, salts int, sub int, salt int, stream boolean, id long, h1 long, h2 long, first int, text string"
+GROUP = ["deck", "salts", "sub", "salt"]
+FOUND = "deck long, salts int, sub int, passage int, id long, h1 long, h2 long, begin int, end int, times int"
 
 
 def sliding(values: np.ndarray, width: int, better: np.ufunc) -> np.ndarray:
@@ -136,16 +145,17 @@ def window_rows(examples: DataFrame, passage: int = PASSAGE) -> DataFrame:
     return map_batches(examples.select("text", "runs"), rows, "anchor long, seg long, place int, window long, weight int")
 
 
-def recurring_places(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
-    """(id, h1, h2, places): the runs (first window, windows, at) of each of ``texts`` (id, h1, h2, text) that occur elsewhere
-    too; as a whole, or where ``at`` isn't null, in the windows it lists.
+def candidate_runs(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """(id, h1, h2, runs): the runs of each of ``texts`` (id, h1, h2, text) that recur by their hashes, as a whole, or where
+    ``at`` isn't null, in the windows it lists; with the deck of their anchor, and whether the run is the example.
 
     Tables that are joined back to what they were counted from are written first: such a join has its own shuffle, which
     can split a key that holds many of the rows.
     """
     runs = write_through(find_runs(texts, passage, gram), "runs")
     twice = runs.groupBy("anchor").agg(F.count("n").alias("times"), F.max("again").alias("again")).where("times > 1 OR again")
-    live = write_through(runs.join(write_through(twice.select("anchor"), "anchors"), "anchor"), "live-runs")
+    anchors = write_through(twice.select("anchor", "times"), "anchors")
+    live = write_through(runs.join(anchors.select("anchor"), "anchor"), "live-runs")
     segs = live.groupBy("anchor", "seg").agg(
         F.count("n").alias("times"), F.max("again").alias("again"), F.min(F.struct(*KEY, "first", "n")).alias("example")
     )
@@ -160,67 +170,162 @@ def recurring_places(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
     again = windows.groupBy("anchor", "window").agg(F.sum("weight").alias("times")).where("times > 1").select("anchor", "window")
     again = write_through(again, "recurring-windows")
     parts = windows.join(again, ["anchor", "window"]).groupBy("anchor", "seg").agg(F.collect_set("place").alias("at"))
-    whole = segs.where("times > 1").select("anchor", "seg", F.lit(None).cast("array<int>").alias("at"))
-    parts = parts.join(segs.where("times = 1").select("anchor", "seg"), ["anchor", "seg"]).select("anchor", "seg", "at")
-    marked = write_through(whole.union(parts), "recurring-runs")
-    found = live.join(marked, ["anchor", "seg"])
-    return found.groupBy(*KEY).agg(F.collect_set(F.struct("first", "n", "at")).alias("places"))
+    whole = segs.where("times > 1").select("anchor", "seg", "example", F.lit(None).cast("array<int>").alias("at"))
+    parts = parts.join(segs.where("times = 1").select("anchor", "seg", "example"), ["anchor", "seg"])
+    marked = write_through(whole.unionByName(parts), "recurring-runs")
+    words = F.when(F.col("at").isNull(), F.col("example.n") + passage - 1).otherwise(F.size("at") * passage)
+    held = marked.groupBy("anchor").agg(F.sum(words).alias("words"))
+    decks = 1 + 2 * (held.agg(F.sum("words")).first()[0] or 0) // AUTOMATON_WORDS
+    held = held.join(anchors, "anchor").select(
+        "anchor", *(F.ceil(F.col(c) / most).cast("int").alias(k) for k, c, most in (("subs", "words", AUTOMATON_WORDS), ("salts", "times", STREAM_RUNS)))
+    )
+    deck = F.when(F.greatest("subs", "salts") > 1, F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(decks)))
+    held = write_through(held.withColumn("deck", deck), "decks")
+    found = live.join(write_through(marked.join(held, "anchor"), "dealt-runs"), ["anchor", "seg"])
+    chosen = F.struct(*KEY, "first", "n") == F.col("example")
+    return found.groupBy(*KEY).agg(F.collect_set(F.struct("deck", "subs", "salts", "first", "n", "at", chosen.alias("example"))).alias("runs"))
+
 
+def phrase(words: list[bytes]) -> bytes:
+    """Words as automata see them: a space before and after each."""
+    return b" %b " % b" ".join(words)
 
-def windows_of(run: dict) -> list[tuple[int, int]]:
-    """The recurring windows of a run, as (first, how many)."""
-    return [(run["first"], run["n"])] if run["at"] is None else [(run["first"] + p, 1) for p in run["at"]]
 
+def passages_of(run: dict, words: list[bytes], passage: int) -> set[bytes]:
+    """The passages of a run that recur: all of it, or the windows it lists.
 
-def covered(places: list[tuple[int, int]], passage: int) -> list[tuple[int, int]]:
-    """Maximal stretches of words under the windows at ``places``."""
-    out: list[list[int]] = []
-    for first, n in sorted(places):
-        if out and first <= out[-1][1]:  # the next window, or one already there: the same passage goes on
-            out[-1][1] = max(out[-1][1], first + n)
-        else:
-            out.append([first, first + n])
-    return [(a, b + passage - 1) for a, b in out]
+    A long run goes in parts that share ``passage`` - 1 words, so every window stays whole in one of them.
+    """
+    first, n = run["first"], run["n"]
+    if run["at"] is not None:
+        return {phrase(words[first + p : first + p + passage]) for p in run["at"]}
+    return {phrase(words[at : min(at + PART_WORDS, first + n) + passage - 1]) for at in range(first, first + n, PART_WORDS)}
 
 
-def pattern_batches(docs: list[list[str]], places: list[list[tuple[int, int]]], passage: int) -> Iterator[list[str]]:
-    """The distinct passages of the documents' ``places`` as text, in batches of about ``AUTOMATON_BYTES``.
+def dealt(run: dict, key: tuple, words: list[bytes], passage: int) -> Iterator[tuple]:
+    """Rows of ``DEALT``: the stretch of words under a run for every deck it streams through, and its passages, if the run is
+    the example.
+    """
+    deck, subs, salts, first, n = (run[k] for k in ("deck", "subs", "salts", "first", "n"))
+    own = passages_of(run, words, passage)
+    to = {0}
+    if subs > 1:  # all windows: other runs may list some of them
+        to = {zlib.crc32(p) % subs for p in own}
+        to |= {zlib.crc32(phrase(words[at : at + passage])) % subs for at in range(first, first + n)}
+    stretch = phrase(words[first : first + n + passage - 1])
+    for sub in to:
+        yield deck, salts, sub, hash((key[0], key[2], first)) % salts, True, *key, first, stretch
+    for text in own if run["example"] else ():
+        for salt in range(salts):
+            yield deck, salts, zlib.crc32(text) % subs, salt, False, *key, first, text
+
+
+def deal(listed: DataFrame, passage: int = PASSAGE) -> DataFrame:
+    """Passages and stretches (``DEALT``) of documents (id, h1, h2, runs, text)."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+    schema = pa.schema([(c.split()[0], kind) for c, kind in zip(DEALT.split(", "), kinds, strict=True)])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    A long passage goes in parts that share ``passage`` - 1 words, so every window stays whole in one of them.
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, size = [], 0
+        for batch in batches:
+            for at in range(batch.num_rows):
+                key = tuple(batch.column(k)[at].as_py() for k in range(3))
+                words = batch.column(4)[at].as_py().encode().split()
+                for run in batch.column(3)[at].as_py():
+                    for row in dealt(run, key, words, passage):
+                        made.append(row)
+                        size += len(row[-1])
+                        if size >= FLUSH_BYTES:
+                            yield batch_of(made)
+                            made, size = [], 0
+        if made:
+            yield batch_of(made)
+
+    return map_batches(listed.select(*KEY, "runs", "text"), rows, DEALT)
+
+
+def occurrences(passages: list[str], stretches: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Where the passages stand in batches of stretches, by one automaton: (stretch, passage, begin, end, times), in words of
+    the stretch; places of one passage that touch or overlap are one, found ``times`` times. Send it a list of stretches.
     """
-    batch, size = {}, 0
-    for words, own in zip(docs, places, strict=True):
-        for a, b in covered(own, passage):
-            for first in range(a, max(b - passage + 1, a + 1), PART_WORDS):
-                text = f" {' '.join(words[first : min(b, first + PART_WORDS + passage - 1)])} "
-                if text not in batch:
-                    batch[text], size = None, size + len(text)
-                if size >= AUTOMATON_BYTES:
-                    yield list(batch)
-                    batch, size = {}, 0
-    if batch:
-        yield list(batch)
-
-
-def locate(docs: list[list[str]], places: list[list[tuple[int, int]]], passage: int) -> list[np.ndarray]:
-    """Which words of each document stand in a passage of any of the documents' ``places``."""
     import ahocorasick
 
-    hits = [np.zeros(len(words) + 1, np.int64) for words in docs]
-    for batch in pattern_batches(docs, places, passage):
-        automaton = ahocorasick.Automaton()
-        for text in batch:
-            automaton.add_word(text, len(text))
-        automaton.make_automaton()
-        for words, hit in zip(docs, hits, strict=True):
-            if len(words) < passage:
-                continue
-            begins = np.cumsum([1, *(len(w) + 1 for w in words)])  # in the text with a space before each word
-            for end, size in automaton.iter(f" {' '.join(words)} "):
-                a, b = np.searchsorted(begins, (end - size + 2, end + 1))
-                hit[a] += 1
-                hit[b] -= 1
-    return [np.cumsum(h)[:-1] > 0 for h in hits]
+    automaton, sizes = ahocorasick.Automaton(), np.array([p.count(" ") - 1 for p in passages])
+    for i, text in enumerate(passages):
+        automaton.add_word(text, i)
+    automaton.make_automaton()
+    while True:
+        hits = np.array(list(automaton.iter("".join(stretches))), np.int64).reshape(-1, 2)
+        spaces = np.flatnonzero(np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32) == 32)
+        bounds = np.cumsum([0, *(t.count(" ") for t in stretches)])
+        last = np.searchsorted(spaces, hits[:, 0])
+        of, which = np.searchsorted(bounds, last, "right") - 1, hits[:, 1]
+        end = last - bounds[of]
+        order = np.lexsort((end, which, of))
+        of, which, end = of[order], which[order], end[order]
+        begin = end - sizes[which]
+        fresh = np.ones(len(of), bool)
+        fresh[1:] = (of[1:] != of[:-1]) | (which[1:] != which[:-1]) | (begin[1:] > end[:-1])
+        at = np.flatnonzero(fresh)
+        times = np.diff(np.append(at, len(of)))
+        stretches = yield of[at], which[at], begin[at], end[at + times - 1], times
+
+
+def found_places(rows: DataFrame) -> DataFrame:
+    """``FOUND`` places of the passages among rows of ``DEALT``; a passage has one number in all salts of its deck."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in FOUND.split(", ")])
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, passages, search = None, set(), None
+        for batch in (b for b in batches if b.num_rows):
+            marks = np.stack([batch.column(k).cast(pa.int64()).to_numpy() for k in range(5)])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                *group, stream = marks[:, a].tolist()
+                if group != now:
+                    now, passages, search = group, set(), None
+                texts = batch.column(9).slice(a, b - a).to_pylist()
+                if not stream:
+                    passages.update(texts)
+                elif passages:
+                    if search is None:
+                        search = occurrences(sorted(passages), texts)
+                        hits = next(search)
+                    else:
+                        hits = search.send(texts)
+                    of, which, begin, end, times = hits
+                    key = [batch.column(k).slice(a, b - a).take(pa.array(of)) for k in (5, 6, 7, 8)]
+                    first = key[3].to_numpy()
+                    columns = [*(np.full(len(of), g) for g in group[:3]), which, *key[:3], first + begin, first + end, times]
+                    yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, schema, strict=True)], names)
+
+    met = rows.repartition(partitions(rows), *GROUP).sortWithinPartitions(*GROUP, "stream")
+    return map_batches(met, locate, FOUND)
+
+
+def recurring_places(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """(id, h1, h2, places): the stretches (begin, end) of words of ``texts`` (id, h1, h2, text) that stand elsewhere too."""
+    listed = write_through(candidate_runs(texts, passage, gram), "candidates")
+    held = marked_by(texts, listed, KEY, "maybe").where("maybe").join(listed, KEY)
+    places = write_through(found_places(deal(held, passage)), "found")
+    name = ["deck", "salts", "sub", "passage"]
+    refuted = places.groupBy(*name).agg(F.sum("times").alias("times")).where("times = 1").select(*name)
+    places = places.join(write_through(refuted, "refuted"), name, "left_anti")
+    return places.groupBy(*KEY).agg(F.collect_set(F.struct("begin", "end")).alias("places"))
+
+
+def covered(size: int, places: list[dict] | None) -> np.ndarray:
+    """Which of ``size`` words stand in one of the places."""
+    depth = np.zeros(size + 1, np.int64)
+    for place in places or ():
+        depth[place["begin"]] += 1
+        depth[place["end"]] -= 1
+    return np.cumsum(depth)[:-1] > 0
 
 
 def remove_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
@@ -239,12 +344,10 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) ->
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(1), AUTOMATON_BYTES):
+            for part in slices(batch.column(1), SLICE_BYTES):
                 own = batch.slice(part.first, part.n)
-                texts = [t or "" for t in own.column(1).to_pylist()]
-                words = [[w.decode() for w in t.encode().split()] for t in texts]
-                places = [[w for p in x or () for w in windows_of(p)] for x in own.column(2).to_pylist()]
-                gone = locate(words, places, passage)
+                words = [[w.decode() for w in (t or "").encode().split()] for t in own.column(1).to_pylist()]
+                gone = [covered(len(ws), x) for ws, x in zip(words, own.column(2).to_pylist(), strict=True)]
                 kept = [" ".join([w for w, g in zip(ws, gs.tolist(), strict=True) if not g]) if gs.any() else " ".join(ws) for ws, gs in zip(words, gone, strict=True)]
                 n_words, n_gone = [len(w) for w in words], [int(g.sum()) for g in gone]
                 columns = [own.column(0), own.column(1), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())]

@@ -285,13 +285,46 @@ def test_texts_of_one_id_and_one_checksum_are_told_apart(spark):
 
 def test_long_passages_in_parts(monkeypatch):
     monkeypatch.setattr(repeats, "PART_WORDS", 7)
-    monkeypatch.setattr(repeats, "AUTOMATON_BYTES", 60)
-    words = [f"w{k}" for k in range(40)]
-    docs = [words, words[5:30], ["x", *words[:9]], ["y"] * 3]
-    places = [[(3, 30)], [(0, 21)], [], []]
-    assert len(list(repeats.pattern_batches(docs, places, 5))) > 2
-    gone = [np.flatnonzero(g).tolist() for g in repeats.locate(docs, places, 5)]
-    assert gone[:2] == [list(range(3, 37)), list(range(25))] and gone[3] == []
+    words = [b"w%d" % k for k in range(40)]
+    run = {"deck": 5, "subs": 1, "salts": 2, "first": 3, "n": 23, "at": None, "example": True}
+    rows = list(repeats.dealt(run, (1, 2, 3), words, 5))
+    passages = sorted({r[-1].decode() for r in rows if not r[4]})
+    assert len(passages) == 4 and sum(not r[4] for r in rows) == 8  # every salt has all of them
+    docs = [words, words[5:30], [b"x", *words[:9]], [b"y"] * 3]
+    found = next(repeats.occurrences(passages, [repeats.phrase(d).decode() for d in docs]))
+    gone = [np.flatnonzero(repeats.covered(len(d), [{"begin": b, "end": e} for o, _, b, e, _ in zip(*found) if o == i])).tolist() for i, d in enumerate(docs)]
+    assert gone == [list(range(3, 30)), list(range(5, 25)), [], []]
+    assert repeats.passages_of({**run, "at": [0, 4]}, words, 5) == {repeats.phrase(words[k : k + 5]) for k in (3, 7)}
+
+
+def test_places_that_touch_are_one():
+    found = next(repeats.occurrences([" a a "], [" a a a b a a ", " b ", " \u00e9 a a "]))
+    assert [x.tolist() for x in found] == [[0, 0, 2], [0, 0, 0], [0, 4, 1], [3, 6, 3], [2, 1, 1]]
+
+
+def test_divided_and_salted_decks(spark, monkeypatch):
+    """Automata of a few words and salts of a few stretches: anchors with many passages, and one passage in most rows."""
+    monkeypatch.setattr(repeats, "AUTOMATON_WORDS", 60)
+    monkeypatch.setattr(repeats, "STREAM_RUNS", 3)
+    monkeypatch.setattr(repeats, "FLUSH_BYTES", 500)
+    rng = random.Random(3)
+    core = [f"c{k}" for k in range(6)]
+    rows = []
+    for i in range(120):  # one gram of every row, in contexts that few or many share
+        near = [f"n{rng.randrange(3)}" for _ in range(4)]
+        rows.append((i, " ".join([rng_text(rng, 9, 300), *near[:2], *core, *near[2:], rng_text(rng, 9, 300)]), None, None, 0))
+    rows += [(200 + i, " ".join(core * 3), None, None, 0) for i in range(10)] + [(None, rows[5][1], None, None, 0), rows[7], rows[7]]
+    rows.append((300, "z " * 70, None, None, 0))
+    found = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in repeats.remove_repeats(frame(spark, rows), 8, 5).collect())
+    assert found == Counter(brute.without_repeats([r[:2] for r in rows], 8))
+
+
+def test_hashes_that_lie_remove_nothing(spark, monkeypatch):
+    """All words have one hash: every window is a candidate everywhere, and only the automata know better."""
+    monkeypatch.setattr(repeats, "word_hashes", lambda data, starts, ends, seed=1: np.full(len(starts), seed, np.uint64))
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(40 + i)), None, None, 0) for i in range(12)]
+    assert repeats.find_runs(frame(spark, rows).selectExpr("doc_id AS id", "doc_id AS h1", "doc_id AS h2", "text")).select("anchor").distinct().count() == 1
+    assert {r.n_removed for r in repeats.remove_repeats(frame(spark, rows)).collect()} == {0}
 
 
 # ------------------------------------------------------------- quality, language
