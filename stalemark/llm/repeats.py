@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from stalemark.llm.frames import map_batches, marked_by, partitions, text_of, wrapped, write_through
 from stalemark.llm.texts import Slice, constants, expand, mix, run_hashes, slices, word_hashes
+from stalemark.session import discard
 
 PASSAGE, GRAM = 35, 12
 SLICE_BYTES = 1 << 20
@@ -150,12 +151,13 @@ def candidate_runs(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -
     ``at`` isn't null, in the windows it lists; with the deck of their anchor, and whether the run is the example.
 
     Tables that are joined back to what they were counted from are written first: such a join has its own shuffle, which
-    can split a key that holds many of the rows.
+    can split a key that holds many of the rows. They are removed once no later table is made from them.
     """
     runs = write_through(find_runs(texts, passage, gram), "runs")
     twice = runs.groupBy("anchor").agg(F.count("n").alias("times"), F.max("again").alias("again")).where("times > 1 OR again")
     anchors = write_through(twice.select("anchor", "times"), "anchors")
     live = write_through(runs.join(anchors.select("anchor"), "anchor"), "live-runs")
+    discard(runs)
     segs = live.groupBy("anchor", "seg").agg(
         F.count("n").alias("times"), F.max("again").alias("again"), F.min(F.struct(*KEY, "first", "n")).alias("example")
     )
@@ -173,6 +175,7 @@ def candidate_runs(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -
     whole = segs.where("times > 1").select("anchor", "seg", "example", F.lit(None).cast("array<int>").alias("at"))
     parts = parts.join(segs.where("times = 1").select("anchor", "seg", "example"), ["anchor", "seg"])
     marked = write_through(whole.unionByName(parts), "recurring-runs")
+    discard(segs, kinds, listed, windows, again)
     words = F.when(F.col("at").isNull(), F.col("example.n") + passage - 1).otherwise(F.size("at") * passage)
     held = marked.groupBy("anchor").agg(F.sum(words).alias("words"))
     decks = 1 + 2 * (held.agg(F.sum("words")).first()[0] or 0) // AUTOMATON_WORDS
@@ -181,9 +184,13 @@ def candidate_runs(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -
     )
     deck = F.when(F.greatest("subs", "salts") > 1, F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(decks)))
     held = write_through(held.withColumn("deck", deck), "decks")
-    found = live.join(write_through(marked.join(held, "anchor"), "dealt-runs"), ["anchor", "seg"])
+    marked_with_deck = write_through(marked.join(held, "anchor"), "dealt-runs")
+    found = live.join(marked_with_deck, ["anchor", "seg"])
     chosen = F.struct(*KEY, "first", "n") == F.col("example")
-    return found.groupBy(*KEY).agg(F.collect_set(F.struct("deck", "subs", "salts", "first", "n", "at", chosen.alias("example"))).alias("runs"))
+    run = F.struct("deck", "subs", "salts", "first", "n", "at", chosen.alias("example"))
+    out = write_through(found.groupBy(*KEY).agg(F.collect_set(run).alias("runs")), "candidates")
+    discard(anchors, live, marked, held, marked_with_deck)
+    return out
 
 
 def phrase(words: list[bytes]) -> bytes:
@@ -310,13 +317,16 @@ def found_places(rows: DataFrame) -> DataFrame:
 
 def recurring_places(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
     """(id, h1, h2, places): the stretches (begin, end) of words of ``texts`` (id, h1, h2, text) that stand elsewhere too."""
-    listed = write_through(candidate_runs(texts, passage, gram), "candidates")
+    listed = candidate_runs(texts, passage, gram)
     held = marked_by(texts, listed, KEY, "maybe").where("maybe").join(listed, KEY)
     places = write_through(found_places(deal(held, passage)), "found")
     name = ["deck", "salts", "sub", "passage"]
     refuted = places.groupBy(*name).agg(F.sum("times").alias("times")).where("times = 1").select(*name)
-    places = places.join(write_through(refuted, "refuted"), name, "left_anti")
-    return places.groupBy(*KEY).agg(F.collect_set(F.struct("begin", "end")).alias("places"))
+    refuted = write_through(refuted, "refuted")
+    kept = places.join(refuted, name, "left_anti").groupBy(*KEY).agg(F.collect_set(F.struct("begin", "end")).alias("places"))
+    kept = write_through(kept, "places")
+    discard(listed, places, refuted)
+    return kept
 
 
 def covered(size: int, places: list[dict] | None) -> np.ndarray:
@@ -335,7 +345,7 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) ->
     digest = F.md5(text.cast("binary"))
     halves = (F.conv(F.substring(digest, at, 16), 16, -10).cast("long").alias(k) for at, k in ((1, "h1"), (17, "h2")))
     keyed = wrapped(docs).select("_row", F.coalesce(row["doc_id"].cast("long"), F.lit(-(2**63))).alias("id"), *halves, text.alias("text"))
-    places = write_through(recurring_places(keyed.select(*KEY, "text"), passage, gram), "places")
+    places = recurring_places(keyed.select(*KEY, "text"), passage, gram)
     rest = F.struct(*(row[c].alias(c) for c in docs.columns if c != "text"))
     keyed = marked_by(keyed.select(rest.alias("_rest"), *KEY, "text"), places, KEY, "maybe")
     joined = keyed.where("maybe").join(places, KEY, "left").select("_rest", "text", "places")
