@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,36 +195,42 @@ def candidate_runs(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -
     return out
 
 
-def phrase(words: list[bytes]) -> bytes:
-    """Words as automata see them: a space before and after each."""
-    return b" %b " % b" ".join(words)
+class Line:
+    """The words of a document as automata see them, with a space before and after each."""
 
+    def __init__(self, words: list[bytes]):
+        self.text = b" %b " % b" ".join(words)
+        self.starts = [0, *accumulate(len(w) + 1 for w in words)]
 
-def passages_of(run: dict, words: list[bytes], passage: int) -> set[bytes]:
-    """The passages of a run that recur: all of it, or the windows it lists.
+    def cut(self, first: int, last: int) -> bytes:
+        """The words ``first`` to ``last - 1``."""
+        return self.text[self.starts[first] : self.starts[last] + 1]
+
+
+def passages_of(line: Line, first: int, n: int, at: list[int] | None, passage: int) -> set[bytes]:
+    """The passages of a run that recur: all of it, or the windows ``at`` lists.
 
     A long run goes in parts that share ``passage`` - 1 words, so every window stays whole in one of them.
     """
-    first, n = run["first"], run["n"]
-    if run["at"] is not None:
-        return {phrase(words[first + p : first + p + passage]) for p in run["at"]}
-    return {phrase(words[at : min(at + PART_WORDS, first + n) + passage - 1]) for at in range(first, first + n, PART_WORDS)}
+    if at is not None:
+        return {line.cut(first + p, first + p + passage) for p in at}
+    return {line.cut(a, min(a + PART_WORDS, first + n) + passage - 1) for a in range(first, first + n, PART_WORDS)}
 
 
-def dealt(run: dict, key: tuple, words: list[bytes], passage: int) -> Iterator[tuple]:
+def dealt(run: tuple, key: tuple, line: Line, passage: int) -> Iterator[tuple]:
     """Rows of ``DEALT``: the stretch of words under a run for every deck it streams through, and its passages, if the run is
     the example.
     """
-    deck, subs, salts, first, n = (run[k] for k in ("deck", "subs", "salts", "first", "n"))
-    own = passages_of(run, words, passage)
+    deck, subs, salts, first, n, at, example = run
+    own = passages_of(line, first, n, at, passage) if example or subs > 1 else ()
     to = {0}
     if subs > 1:  # all windows: other runs may list some of them
         to = {zlib.crc32(p) % subs for p in own}
-        to |= {zlib.crc32(phrase(words[at : at + passage])) % subs for at in range(first, first + n)}
-    stretch = phrase(words[first : first + n + passage - 1])
+        to |= {zlib.crc32(line.cut(k, k + passage)) % subs for k in range(first, first + n)}
+    stretch = line.cut(first, first + n + passage - 1)
     for sub in to:
         yield deck, salts, sub, hash((key[0], key[2], first)) % salts, True, *key, first, stretch
-    for text in own if run["example"] else ():
+    for text in own if example else ():
         for salt in range(salts):
             yield deck, salts, zlib.crc32(text) % subs, salt, False, *key, first, text
 
@@ -238,11 +246,14 @@ def deal(listed: DataFrame, passage: int = PASSAGE) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, size = [], 0
         for batch in batches:
-            for at in range(batch.num_rows):
-                key = tuple(batch.column(k)[at].as_py() for k in range(3))
-                words = batch.column(4)[at].as_py().encode().split()
-                for run in batch.column(3)[at].as_py():
-                    for row in dealt(run, key, words, passage):
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            flat = batch.column(3).flatten()
+            runs = zip(*(flat.field(k).to_pylist() for k in range(flat.type.num_fields)), strict=True)
+            counts = batch.column(3).value_lengths().to_pylist()
+            for key, count, text in zip(keys, counts, batch.column(4), strict=True):
+                line = Line(text.as_py().encode().split())
+                for run in islice(runs, count):
+                    for row in dealt(run, key, line, passage):
                         made.append(row)
                         size += len(row[-1])
                         if size >= FLUSH_BYTES:
@@ -265,8 +276,9 @@ def occurrences(passages: list[str], stretches: list[str]) -> Iterator[tuple[np.
         automaton.add_word(text, i)
     automaton.make_automaton()
     while True:
-        hits = np.array(list(automaton.iter("".join(stretches))), np.int64).reshape(-1, 2)
-        spaces = np.flatnonzero(np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32) == 32)
+        whole = "".join(stretches)
+        hits = np.fromiter(chain.from_iterable(automaton.iter(whole)), np.int64).reshape(-1, 2)
+        spaces = np.flatnonzero(np.frombuffer(whole.encode("utf-32-le"), np.uint32) == 32)
         bounds = np.cumsum([0, *(t.count(" ") for t in stretches)])
         last = np.searchsorted(spaces, hits[:, 0])
         of, which = np.searchsorted(bounds, last, "right") - 1, hits[:, 1]
@@ -329,13 +341,15 @@ def recurring_places(texts: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
     return kept
 
 
-def covered(size: int, places: list[dict] | None) -> np.ndarray:
-    """Which of ``size`` words stand in one of the places."""
-    depth = np.zeros(size + 1, np.int64)
-    for place in places or ():
-        depth[place["begin"]] += 1
-        depth[place["end"]] -= 1
-    return np.cumsum(depth)[:-1] > 0
+def covered(sizes: list[int], of: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Which words of documents of ``sizes`` words stand in one of the places: of document ``of[i]``, from ``begin[i]`` to
+    ``end[i] - 1``.
+    """
+    base = np.cumsum([0, *(n + 1 for n in sizes)])
+    length = int(base[-1]) + 1
+    depth = np.bincount(base[of] + begin, minlength=length) - np.bincount(base[of] + end, minlength=length)
+    inside = np.cumsum(depth) > 0
+    return [inside[b : b + n] for b, n in zip(base.tolist(), sizes, strict=False)]
 
 
 def remove_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
@@ -357,9 +371,11 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) ->
             for part in slices(batch.column(1), SLICE_BYTES):
                 own = batch.slice(part.first, part.n)
                 words = [[w.decode() for w in (t or "").encode().split()] for t in own.column(1).to_pylist()]
-                gone = [covered(len(ws), x) for ws, x in zip(words, own.column(2).to_pylist(), strict=True)]
+                n_words, flat = [len(w) for w in words], own.column(2).flatten()
+                of = np.repeat(np.arange(part.n), pc.fill_null(own.column(2).value_lengths(), 0).to_numpy())
+                gone = covered(n_words, of, flat.field(0).to_numpy(), flat.field(1).to_numpy())
                 kept = [" ".join([w for w, g in zip(ws, gs.tolist(), strict=True) if not g]) if gs.any() else " ".join(ws) for ws, gs in zip(words, gone, strict=True)]
-                n_words, n_gone = [len(w) for w in words], [int(g.sum()) for g in gone]
+                n_gone = [int(g.sum()) for g in gone]
                 columns = [own.column(0), own.column(1), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["_rest", "text", "n_words", "n_removed", "kept_text"])
 

@@ -286,15 +286,15 @@ def test_texts_of_one_id_and_one_checksum_are_told_apart(spark):
 def test_long_passages_in_parts(monkeypatch):
     monkeypatch.setattr(repeats, "PART_WORDS", 7)
     words = [b"w%d" % k for k in range(40)]
-    run = {"deck": 5, "subs": 1, "salts": 2, "first": 3, "n": 23, "at": None, "example": True}
-    rows = list(repeats.dealt(run, (1, 2, 3), words, 5))
+    line = repeats.Line(words)
+    rows = list(repeats.dealt((5, 1, 2, 3, 23, None, True), (1, 2, 3), line, 5))
     passages = sorted({r[-1].decode() for r in rows if not r[4]})
     assert len(passages) == 4 and sum(not r[4] for r in rows) == 8  # every salt has all of them
     docs = [words, words[5:30], [b"x", *words[:9]], [b"y"] * 3]
-    found = next(repeats.occurrences(passages, [repeats.phrase(d).decode() for d in docs]))
-    gone = [np.flatnonzero(repeats.covered(len(d), [{"begin": b, "end": e} for o, _, b, e, _ in zip(*found) if o == i])).tolist() for i, d in enumerate(docs)]
+    of, _, begin, end, _ = next(repeats.occurrences(passages, [repeats.Line(d).text.decode() for d in docs]))
+    gone = [np.flatnonzero(g).tolist() for g in repeats.covered([len(d) for d in docs], of, begin, end)]
     assert gone == [list(range(3, 30)), list(range(5, 25)), [], []]
-    assert repeats.passages_of({**run, "at": [0, 4]}, words, 5) == {repeats.phrase(words[k : k + 5]) for k in (3, 7)}
+    assert repeats.passages_of(line, 3, 23, [0, 4], 5) == {b" w3 w4 w5 w6 w7 ", b" w7 w8 w9 w10 w11 "}
 
 
 def test_places_that_touch_are_one():
