@@ -5,18 +5,22 @@
 2. Classes that share a band with the smallest class of that band are candidates of one another: the connected
    components of that graph hold all pairs that share any band. A pair at the threshold shares none of the bands with
    probability (1 - 0.8**5)**38 < 3e-7.
-3. A cluster of candidates is cut into blocks, and each pair of blocks meets in one task. Bit counts of the packed
-   signatures estimate each pair, corrected for low bits that agree by chance; pairs within reach of the threshold are
-   settled on their full sets. A task returns a spanning forest of its links, never all of them.
-4. Components of those links.
-
-Edge cases: documents without words link with nothing; fewer words than a shingle's are one shingle; a null doc_id takes
-no part in links and is kept with a null component; rows that repeat a doc_id count as one document.
+3. A cluster of candidates is cut into blocks, and each pair of blocks meets in one task, first with nothing but packed
+   signatures and set sizes. Bit counts estimate each pair, corrected for low bits that agree by chance; pairs within
+   reach of the threshold connect the narrower clusters that are left. Documents that merely share a template end here.
+4. Of those, blocks of full sets meet in the same way and settle the pairs within reach. A task returns a spanning forest
+   of its links, never all of them.
+5. Components of those links.
+
+Edge cases: documents without words (null, empty or blank text) link with nothing; fewer words than a shingle's are one
+shingle; a null doc_id takes no part in links and is kept with a null component; rows that repeat a doc_id count as one
+document; of equal doc_ids and sets the smallest id stands for all. An empty table gives an empty one. A text is hashed
+whole, whatever its length, in slices of a batch. Only doc_id and text are read; other columns, of any name, are not.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ SHINGLE = 5
 BANDS, ROWS_PER_BAND = 38, 5
 LOW_BITS = 2
 PERCENT = 80
-BLOCK = 128
+BLOCK, SIGNED_BLOCK = 128, 2048  # members of a cluster that meet as full sets, and as signatures
 SURE = 6.0  # standard deviations below the threshold at which an estimate rules a pair out
 
 SIGNATURES = "doc_id long, n_shingles long, high long, low long, bands array<long>, signature binary"
@@ -120,6 +124,33 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
     return connected_components(pairs).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
 
 
+def least_estimate(percent: int) -> float:
+    """The estimate below which a pair is ruled out: ``SURE`` standard deviations below the threshold."""
+    chance = 0.5**LOW_BITS
+    agree = chance + (1 - chance) * percent / 100
+    return percent / 100 - SURE * (agree * (1 - agree) / (BANDS * ROWS_PER_BAND)) ** 0.5 / (1 - chance)
+
+
+def open_pairs(marks: np.ndarray, sizes: np.ndarray, sides: list[int], ids: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that neither their signatures nor their sizes rule out, between the two sides (or
+    within, if there is one side only).
+    """
+    least, side = least_estimate(percent), np.array(sides)
+    label, across = np.arange(len(ids)), len(set(sides)) > 1
+    forest = []
+    for i in range(len(ids) - 1):
+        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        rest = rest[side[rest] != side[i]] if across else rest
+        rest = rest[np.minimum(sizes[i], sizes[rest]) * 100 >= np.maximum(sizes[i], sizes[rest]) * percent]
+        if not len(rest):
+            continue
+        for j in rest[estimate(marks[i], marks[rest], BANDS * ROWS_PER_BAND) >= least].tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                forest.append((ids[i], ids[j]))
+    return forest
+
+
 def linked(sets: list[np.ndarray], marks: np.ndarray, sides: list[int], ids: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of the links between the two sides (or within, if there is one side only)."""
     n = BANDS * ROWS_PER_BAND
@@ -133,8 +164,7 @@ def linked(sets: list[np.ndarray], marks: np.ndarray, sides: list[int], ids: lis
 
     one_side = len(set(sides)) == 1
     side = np.array(sides)
-    agree = 0.5**LOW_BITS + (1 - 0.5**LOW_BITS) * percent / 100
-    least = percent / 100 - SURE * (agree * (1 - agree) / n) ** 0.5 / (1 - 0.5**LOW_BITS)
+    least = least_estimate(percent)
     forest = []
     for i in range(len(ids) - 1):
         rest = np.arange(i + 1, len(ids))
@@ -152,14 +182,69 @@ def linked(sets: list[np.ndarray], marks: np.ndarray, sides: list[int], ids: lis
     return forest
 
 
+def in_blocks(members: DataFrame, size: int) -> DataFrame:
+    """Members of clusters of more than one, with ``block`` of ``blocks`` of about ``size`` members each."""
+    sized = members.groupBy("cluster").agg(F.count("doc_id").alias("n")).where("n > 1")
+    placed = members.join(sized, "cluster").withColumn("blocks", F.ceil(F.col("n") / size).cast("int"))
+    return placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).drop("n")
+
+
+def pairs_of_blocks(placed: DataFrame, columns: list[str], decide: Callable[[list, list, list, list], list[tuple[int, int]]]) -> DataFrame:
+    """Pairs (a, b) that ``decide`` finds where two blocks of a cluster meet, or a block itself.
+
+    It gets, for the members of both, two lists of ``columns``, then their blocks and ids.
+    """
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = placed.withColumn("other", other).select(
+        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", *columns
+    )
+    group = ["cluster", "i", "j"]
+    met = met.repartition(partitions(placed), *group).sortWithinPartitions(*group, "block", "doc_id")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def pairs() -> pa.RecordBatch:
+            found = []
+            if len(held) > 1 and (now[1] == now[2] or len({r[0] for r in held}) == 2):
+                blocks, ids, first, second = map(list, zip(*held, strict=True))
+                found = decide(first, second, blocks, ids)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for cluster, i, j, *row in zip(*(batch.column(n).to_pylist() for n in range(7)), strict=True):
+                if now != (cluster, i, j):
+                    if held:
+                        yield pairs()
+                    now, held = (cluster, i, j), []
+                held.append(row)
+        if held:
+            yield pairs()
+
+    return map_batches(met, settle, "a long, b long")
+
+
+def narrowed_clusters(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, cluster) of members (doc_id, cluster, n_shingles, signature) that signatures leave in a cluster.
+
+    Documents of one template share bands without being near duplicates. Signatures are a few bytes, so large blocks of
+    them can meet; what they do not connect can hold no link, and its full sets are sent nowhere.
+    """
+
+    def decide(signature: list, n_shingles: list, blocks: list, ids: list) -> list[tuple[int, int]]:
+        marks = np.stack([np.frombuffer(x, np.uint64) for x in signature])
+        return open_pairs(marks, np.array(n_shingles), blocks, ids, percent)
+
+    pairs = pairs_of_blocks(in_blocks(members, SIGNED_BLOCK), ["signature", "n_shingles"], decide)
+    return connected_components(pairs).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+
+
 def confirmed_links(docs: DataFrame, members: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between members (doc_id, cluster, high, low, signature) of a cluster, enough to connect what is linked.
 
     Every block of a cluster meets every other and itself once. ``docs`` gives the texts, for the full sets.
     """
-    sized = members.groupBy("cluster").agg(F.count("doc_id").alias("n")).where("n > 1")
-    placed = members.join(sized, "cluster").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    placed = in_blocks(members, BLOCK)
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
     texts = marked_by(texts, members, ["doc_id"], "_maybe").where("_maybe").join(placed, "doc_id")
     schema = pa.schema([("doc_id", pa.int64()), ("cluster", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32()), ("signature", pa.binary()), ("shingles", pa.binary())])
@@ -175,36 +260,12 @@ def confirmed_links(docs: DataFrame, members: DataFrame, length: int = SHINGLE,
                 yield pa.RecordBatch.from_arrays(columns, schema=schema).filter(keep)
 
     made = map_batches(texts.select("text", "doc_id", "cluster", "blocks", "block", "signature", "high"), sets_of, "doc_id long, cluster long, blocks int, block int, signature binary, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = made.withColumn("other", other).select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "signature", "shingles"
-    )
-    group = ["cluster", "i", "j"]
-    met = met.repartition(partitions(docs), *group).sortWithinPartitions(*group, "block", "doc_id")
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def links() -> pa.RecordBatch:
-            found = []
-            if len(held) > 1 and (now[1] == now[2] or len({r[0] for r in held}) == 2):
-                sets = [np.frombuffer(r[3], np.uint64) for r in held]
-                marks = np.stack([np.frombuffer(r[2], np.uint64) for r in held])
-                found = linked(sets, marks, [r[0] for r in held], [r[1] for r in held], percent)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in range(7)]
-            for cluster, i, j, block, doc_id, signature, shingles in zip(*columns, strict=True):
-                if now != (cluster, i, j):
-                    if held:
-                        yield links()
-                    now, held = (cluster, i, j), []
-                held.append((block, doc_id, signature, shingles))
-        if held:
-            yield links()
+    def decide(signature: list, shingles: list, blocks: list, ids: list) -> list[tuple[int, int]]:
+        marks = np.stack([np.frombuffer(x, np.uint64) for x in signature])
+        return linked([np.frombuffer(x, np.uint64) for x in shingles], marks, blocks, ids, percent)
 
-    return map_batches(met, settle, "a long, b long")
+    return pairs_of_blocks(made, ["signature", "shingles"], decide)
 
 
 def near_duplicates(docs: DataFrame, length: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -218,9 +279,10 @@ def near_duplicates(docs: DataFrame, length: int = SHINGLE, percent: int = PERCE
     # A table of its own, so that the joins below can split a class that holds many of the rows.
     classes = write_through(full.groupBy("high", "low").agg(F.min("doc_id").alias("least")), "class-ids")
     firsts = full.join(classes, ["high", "low"]).where("doc_id = least").dropDuplicates(["doc_id", "high", "low"])
-    firsts = write_through(firsts.select("doc_id", "high", "low", "bands", "signature"), "classes")
-    clusters = candidate_clusters(firsts)
-    members = write_through(firsts.select("doc_id", "high", "low", "signature").join(clusters, "doc_id"), "members")
+    firsts = write_through(firsts.select("doc_id", "n_shingles", "high", "low", "bands", "signature"), "classes")
+    marks = firsts.select("doc_id", "n_shingles", "high", "low", "signature")
+    candidates = write_through(marks.join(candidate_clusters(firsts), "doc_id"), "candidates")
+    members = write_through(marks.join(narrowed_clusters(candidates, percent), "doc_id"), "members")
     components = connected_components(confirmed_links(docs, members, length, percent)).withColumnRenamed("node", "least")
     named = signed.select("doc_id", "n_shingles", "high", "low").join(classes, ["high", "low"], "left").join(components, "least", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "least", "doc_id"))

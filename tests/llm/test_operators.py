@@ -192,6 +192,36 @@ def test_near_duplicates_odd_rows(spark, docs):
     assert Counter(map(tuple, got)) == Counter({(1, 2, 1, True): 2, (2, 2, 1, False): 1, (None, 2, None, True): 1})
 
 
+def test_documents_of_one_template_send_no_sets(spark):
+    rng = random.Random(21)
+    header = rng_text(rng, 60)
+    rows = [(i, f"{header} " + " ".join(f"x{i}y{j}" for j in range(42))) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 600, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = nearness.signatures(docs)
+    candidates = signed.join(nearness.candidate_clusters(signed), "doc_id")
+    assert max(r["count"] for r in candidates.groupBy("cluster").count().collect()) > 300
+    left = nearness.narrowed_clusters(candidates).collect()
+    assert {r.doc_id for r in left} == {i for n in range(0, 600, 60) for i in (n, 1000 + n)}
+    got = {r.doc_id: r.component_id for r in nearness.near_duplicates(docs).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_open_pairs_leave_no_link_out(percent):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 400 - k], rng.integers(0, 1 << 63, k % 40, dtype=np.uint64)])) for k in range(0, 200, 2)]
+    sides = [k % 2 for k in range(len(sets))]
+    marks = nearness.packed(nearness.minima(sets, 190))
+    ids = list(range(len(sets)))
+    label = {i: i for i in ids}
+    for a, b in nearness.open_pairs(marks, np.array([len(s) for s in sets]), sides, ids, percent):
+        label = {i: label[a] if at == label[b] else at for i, at in label.items()}
+    for a, b in nearness.linked(sets, marks, sides, ids, percent):
+        assert label[a] == label[b]
+
+
 def test_estimates():
     sets = [np.unique(texts.mix(np.arange(a, a + 1000, dtype=np.uint64))) for a in (0, 0, 100, 5000)]
     marks = nearness.packed(nearness.minima(sets, 190))
