@@ -13,7 +13,7 @@ from stalemark import session
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 CODEC = "spark.sql.parquet.compression.codec"
 BATCH_BYTES = "8m"
-FILTER_BITS = 23
+BITS_A_KEY, MOST_BITS = 8, 26
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,10 +65,15 @@ def write_through(df: DataFrame, purpose: str, codec: str | None = None) -> Data
 def marked_by(df: DataFrame, keys: DataFrame, columns: list[str], name: str) -> DataFrame:
     """Add ``name``: whether a row may have a partner in ``keys`` with the same ``columns``, which hold no nulls.
 
-    A bitmap of 2**``FILTER_BITS`` bits, whatever the size of ``keys``: at most 131,072 rows of 64 bits, so it may be
-    broadcast. Rows without a partner that share a bit with one are marked too; the fuller the bitmap, the more of them.
+    A bitmap of ``BITS_A_KEY`` bits or more a row of ``keys``, a table that is written already, so counting it costs little.
+    The bitmap has at most 2**``MOST_BITS`` bits, 1,048,576 rows of 64, so it may be broadcast. Rows without a partner that
+    share a bit with one are marked too. With more keys than the bitmap has room for, it would mark about every row, so every
+    row is marked without one: the join that follows gives the same result, at the price of a shuffle of all rows.
     """
-    place = F.pmod(F.xxhash64(*columns), F.lit(1 << FILTER_BITS))
+    bits = (max(1, keys.count()) * BITS_A_KEY - 1).bit_length()
+    if bits > MOST_BITS:
+        return df.select(*(F.col(f"`{c}`") for c in df.columns), F.lit(True).alias(name))
+    place = F.pmod(F.xxhash64(*columns), F.lit(1 << bits))
     word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
     bitmap = keys.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit"))
     bitmap = bitmap.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))

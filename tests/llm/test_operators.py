@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stalemark.llm import balltree, bytelang, chat, graph, mixing, nearness, packing, phrases, quality, ranks, repeats, sharding, texts
+from stalemark.llm import balltree, bytelang, chat, frames, graph, mixing, nearness, packing, phrases, quality, ranks, repeats, sharding, texts
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -155,6 +155,33 @@ def test_sum_of_squares_is_the_rule():
         gaps = gaps + [capacity - size] if own == len(gaps) else [*gaps[:own], gaps[own] - size, *gaps[own + 1 :]]
 
 
+def test_other_tokenizers_encode_whole_texts(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.reads_words_alone(packing.default_tokenizer()) and not packing.reads_words_alone(path)
+    got = packing.token_pieces(frame(spark, docs), 64, 1, path).collect()
+    tokenizer, want = Tokenizer.from_file(path), Counter()
+    for doc_id, text, *_ in docs:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), 64)):
+            part = np.array(ids[at : at + 64], "<u4")
+            want[doc_id, piece, at, len(part), zlib.crc32(part.tobytes())] += 1
+    assert Counter(map(tuple, got)) == want
+
+
+def test_marks_hold_every_partner(spark, monkeypatch):
+    keys, rows = spark.range(0, 900, 3).toDF("k"), spark.range(3000).selectExpr("id AS k", "id AS `a.b`")
+    for most in (26, 4):  # a bitmap, and more keys than it has room for
+        monkeypatch.setattr(frames, "MOST_BITS", most)
+        got = frames.marked_by(rows, keys, ["k"], "maybe")
+        assert got.columns == ["k", "a.b", "maybe"] and got.count() == 3000
+        marked = {r.k for r in got.where("maybe").collect()}
+        assert marked >= set(range(0, 900, 3)) and (len(marked) < 1000 if most == 26 else len(marked) == 3000)
+    assert frames.marked_by(rows, keys.limit(0), ["k"], "maybe").where("maybe").count() == 0
+
+
 def test_full_chunks_are_packed_on(spark):
     pieces = spark.range(300).selectExpr("id as doc_id", "0 as piece", "0L as start", "1 + id % 7 as length", "id as ids_crc32")
     got = packing.pack(pieces, 1, 10, chunk=20).collect()
@@ -434,6 +461,11 @@ def test_language(spark):
     assert {(r.lang_pred, r.score) for r in bytelang.label_documents(df, None).collect()} == {("und", 0.0)}
 
 
+def test_least_score():
+    scores = [bytelang.least_score(bytelang.Network.fresh([str(i) for i in range(n)], seed=1)) for n in (1, 2, 4, 200)]
+    assert scores[0] == 0 and scores[1] == 0.5625 and scores[2] == 0.34375 and abs(scores[3] - 1.375 / 200) < 1e-12
+
+
 def test_many_languages(spark):
     """Every language is learned, the rarest too, and the words of each are bounded."""
     rows = [(i, f"a{i % 301} b{i % 301} {'c' * (i % 5)}", f"l{i % 301:03}", None, 0) for i in range(1806)] + [(5000, "only one", "rare", None, 0), (5001, " ", "blank", None, 0)]
