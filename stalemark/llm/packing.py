@@ -5,12 +5,15 @@ piece is a sequence of its own. The rests are packed in chunks of ``ITEMS_PER_CH
 the sum over gaps of (open sequences with that gap)² becomes smallest, a new sequence included; among equal sums, where
 the smallest gap remains. Only the lengths matter to the rule, so a chunk is packed from thin rows.
 
-Edge cases: a null or empty text is the end-of-document id alone; rows that repeat are packed each; an empty table gives
-an empty result; texts of any length are tokenised whole.
+Edge cases: a null or empty text is the end-of-document id alone; a null doc_id stays null; rows that repeat are packed
+each; an empty table gives an empty result; texts of any length are tokenised whole, the longest in the memory of one task;
+among rests of one length any order is as good, since only lengths matter; only doc_id and text are read, so other
+columns, of any name, are left out.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -35,6 +38,11 @@ LATIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,])?")
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = [chr(b) if b in PRINTABLE else chr(256 + sum(x not in PRINTABLE for x in range(b))) for b in range(256)]
 
+#: How a tokenizer file must treat text before its model sees words, for ``WordEncoder`` to be right.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACES = "sequence_id long, offset long"
 
@@ -45,6 +53,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def reads_words_alone(path: str) -> bool:
+    """Does the tokenizer file fold case, drop white space and split as ``WordEncoder`` takes it to?"""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    split = {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+    return (
+        parts["normalizer"] == {"type": "Sequence", "normalizers": NORMALIZERS}
+        and parts["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [split, BYTE_LEVEL]}
+        and parts["post_processor"] is None
+        and all(t["content"].startswith("<|") for t in parts["added_tokens"])
+    )
+
+
+class WholeTextEncoder:
+    """Token ids of texts, as little-endian bytes, by any tokenizer file."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 class KnownWords(dict):
     """Ids of words that came back; a word is encoded when it first comes, and waits in ``rare`` until it comes again."""
 
@@ -62,7 +95,7 @@ class KnownWords(dict):
 class WordEncoder:
     """Token ids of texts, as little-endian bytes, by way of a bounded cache of words.
 
-    Right for this tokenizer, which drops white space before it looks at words and ignores case: what stands between two
+    Right for tokenizers that ``reads_words_alone`` accepts, like the default one, which drops white space before it looks at words and ignores case: what stands between two
     spaces is encoded alike wherever it stands. Latin words need no normalising, so they go straight to the tokenizer's
     model.
     """
@@ -97,13 +130,14 @@ class WordEncoder:
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """The pieces of each document (doc_id, text): piece number, ids before it, length, and the CRC-32 of its ids."""
     path = tokenizer or default_tokenizer()
+    kind = WordEncoder if reads_words_alone(path) else WholeTextEncoder
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = kind(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
