@@ -277,6 +277,16 @@ def label_documents(docs: DataFrame, net: Network | None) -> DataFrame:
     return map_batches(docs.select(*(F.col(f"`{c}`") for c in columns)), label, schema)
 
 
+def least_score(net: Network) -> float:
+    """The score below which a text is hardly in any learned language: a little above what chance would give.
+
+    With four languages or fewer, an eighth of the way from chance to certainty; with more, 1.375 times chance. One language
+    alone rejects nothing.
+    """
+    n = len(net.languages)
+    return (1 + min(3, n - 1) / 8) / n if n > 1 else 0.0
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a row is kept from training: the CRC-32 of its id as text leaves 2 by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
