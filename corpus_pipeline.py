@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-dedup, substring dedup, mixing, packing.
 
 Each stage works on every row that the one before kept, and returns the columns of ``documents``; the last returns pieces.
-Each passes on rows in full, takes an empty table, and carries extra columns along.
+Each passes on rows in full, takes an empty table, and carries extra columns along, whatever their names. Rows that repeat
+are decided on alike, but near-dedup keeps one of them; null texts and empty ones end in the first stage.
 """
 
 from __future__ import annotations
@@ -21,12 +22,16 @@ def _text_and_rest(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out documents in no language: without a text, without a letter in it, or if no language could be learned.
+    """Leave out documents in no language, and fill in a null ``lang`` with the network's label; given ones stay.
 
-    Nothing else is rejected: the network's labels and scores decide about no row, and are not carried on.
+    In no language are those without a text, without a letter in it, and those whose score is hardly above chance
+    (``bytelang.least_score``): junk, or languages in equal parts. If no language could be learned, all are.
     """
-    named = bytelang.label_documents(_text_and_rest(docs).drop("doc_id"), bytelang.learn_languages(docs))
-    return unwrapped(named.where(F.col("lang_pred") != bytelang.NONE), {"text": F.col("text")}).select(docs.columns)
+    net = bytelang.learn_languages(docs)
+    named = bytelang.label_documents(_text_and_rest(docs).drop("doc_id"), net)
+    least = bytelang.least_score(net) if net else 0.0
+    spoken = named.where((F.col("lang_pred") != bytelang.NONE) & (F.col("score") >= least))
+    return unwrapped(spoken, {"text": F.col("text"), "lang": F.coalesce(F.col("_row")["lang"], "lang_pred")}).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
