@@ -86,6 +86,21 @@ def test_pipeline(spark, docs):
     assert sum(r.piece == 0 for r in packed) == mixed.count()
 
 
+def test_language_stage_decides(spark, docs):
+    """The network's scores reject what mixes all languages, its labels fill in those that are missing."""
+    rows = documents(spark, SF_DIR)
+    by_lang = {}
+    for d in docs.values():
+        by_lang.setdefault(d["lang"], []).extend((d["text"] or "").split()[:50])
+    mixed = [" ".join(" ".join(ws) for ws in zip(*(w[at : at + 100] for w in by_lang.values()))) for at in (0, 100, 200)]
+    blank = rows.withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    more = spark.createDataFrame([(9000 + i, t, None, "s", len(t)) for i, t in enumerate(mixed)], rows.schema)
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, blank.unionByName(more), SF_DIR).collect()}
+    assert not got.keys() & {9000, 9001, 9002} and len(got) >= 0.995 * len(docs)
+    assert sum(docs[i]["lang"] == lang for i, lang in got.items()) >= 0.995 * len(got)
+    assert all(docs[i]["lang"] == lang for i, lang in got.items() if i % 5)
+
+
 def test_empty_pipeline(spark):
     docs = documents(spark, SF_DIR).limit(0)
     for _, stage in corpus_pipeline.STAGES:
