@@ -5,8 +5,9 @@ compress each other share phrases, so the minimum hashes of two phrase sets tell
 one byte of each of ``HASHES`` minima, in hexadecimal; likeness is the share of equal bytes, corrected for the 1 in 256
 that agree by chance.
 
-Every phrase without its last byte is a phrase too. So the length of the next phrase can be sought up or down from that of
-the last one, and a text that shares its beginning with another is parsed on from there.
+Every phrase without its last byte is a phrase too, so phrases are a tree that is walked byte by byte, and a text that shares
+its beginning with another is parsed on from there. The hash of a phrase follows from that of the phrase it continues; phrases
+of many documents are hashed together.
 
 Edge cases: a null text is an empty one; empty texts have one fingerprint, like themselves alone; documents follow each
 other by descending doc_id, those without one last, rows of one doc_id by their text; a single document is its own next.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,18 @@ NO_PHRASE = np.full(HASHES, 0xFFFFFFFF, np.uint32)
 _FACTORS = constants(4, HASHES)
 FACTORS = (_FACTORS & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None]
 SHIFTS = (_FACTORS >> np.uint64(32)).astype(np.uint32)[:, None]
+STEP = 1009  # above any byte; a prime, so that the keys of a tree spread in its dict
+PHRASES_AT_ONCE = 1 << 16
+CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    CRC = np.where(CRC & 1, CRC >> 1 ^ np.uint32(0xEDB88320), CRC >> 1).astype(np.uint32)
 
 
 def parse(data: bytes, begin: int, known: set[bytes]) -> tuple[list[bytes], int]:
-    """Add the phrases of ``data`` from ``begin`` on to ``known``; the new ones, and where an unfinished one begins."""
+    """Add the phrases of ``data`` from ``begin`` on to ``known``; the new ones, and where an unfinished one begins.
+
+    The plain form, for one text and its phrases as bytes; ``Phrases`` finds the same ones, as hashes, for many texts.
+    """
     new, at, end, size = [], begin, len(data), 4
     while at < end:
         size = min(size, end - at)
@@ -56,13 +66,70 @@ def parse(data: bytes, begin: int, known: set[bytes]) -> tuple[list[bytes], int]
     return new, at
 
 
+def grow(data: bytes, tree: dict[int, int], at: int, last: int) -> int:
+    """Add the phrases of ``data`` to ``tree``, walked on from ``at``; where the walk stands in the end.
+
+    A phrase is ``STEP`` times its number, the empty one 0. The tree maps a phrase plus a byte to the phrase one byte longer;
+    new ones are numbered after ``last``.
+    """
+    find = tree.get
+    for byte in data:
+        key = at + byte
+        at = find(key, 0)
+        if not at:
+            last += STEP
+            tree[key] = last
+    return at
+
+
+class Phrases:
+    """The phrases of many texts, numbered through."""
+
+    def __init__(self):
+        self.keys, self.count = [], 0
+
+    def add(self, data: bytes, tree: dict[int, int], at: int = 0) -> tuple[int, slice]:
+        """Grow a tree; where its walk stands, and the numbers of the new phrases, from 0."""
+        old, first = len(tree), self.count
+        at = grow(data, tree, at, first * STEP)
+        self.keys.append(np.fromiter(islice(tree, old, None), np.int64, len(tree) - old))
+        self.count += len(tree) - old
+        return at, slice(first, self.count)
+
+    def codes(self) -> np.ndarray:
+        """The CRC-32 of each phrase, found from that of the phrase it continues, shorter phrases first."""
+        keys = np.concatenate([np.zeros(0, np.int64), *self.keys])
+        above = keys // STEP
+        byte = (keys - above * STEP).astype(np.uint32)
+        number = np.arange(1, self.count + 1)
+        state, known = np.full(self.count + 1, 0xFFFFFFFF, np.uint32), np.zeros(self.count + 1, bool)
+        known[0] = True
+        while len(number):
+            ready = known[above]
+            go, wait = np.flatnonzero(ready), np.flatnonzero(~ready)
+            now, before = number[go], state[above[go]]
+            state[now] = CRC[(before ^ byte[go]) & 255] ^ (before >> 8)
+            known[now] = True
+            number, above, byte = number[wait], above[wait], byte[wait]
+        return ~state[1:]
+
+
+def hashed(codes: np.ndarray) -> np.ndarray:
+    return (mix(codes.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
+def least(values: np.ndarray, so_far: np.ndarray = NO_PHRASE) -> np.ndarray:
+    """The least value of each hash over the phrases with ``values`` and ``so_far``."""
+    for at in range(0, len(values), 1024):
+        part = values[None, at : at + 1024] * FACTORS
+        part += SHIFTS
+        so_far = np.minimum(so_far, part.min(axis=1))
+    return so_far
+
+
 def minima(phrases: list[bytes], so_far: np.ndarray = NO_PHRASE) -> np.ndarray:
     """The least value of each hash over ``phrases`` and ``so_far``."""
-    for at in range(0, len(phrases), 4096):
-        codes = np.array([zlib.crc32(p) for p in phrases[at : at + 4096]], np.uint64)
-        values = (mix(codes) >> np.uint64(32)).astype(np.uint32)
-        so_far = np.minimum(so_far, (values[None, :] * FACTORS + SHIFTS).min(axis=1))
-    return so_far
+    return least(hashed(np.array([zlib.crc32(p) for p in phrases], np.uint64)), so_far)
 
 
 def low_bytes(minima_: np.ndarray) -> np.ndarray:
@@ -74,7 +141,9 @@ def likeness(one: np.ndarray, other: np.ndarray) -> float:
 
 
 def fingerprint(text: str) -> np.ndarray:
-    return low_bytes(minima(parse(text.encode(), 0, set())[0]))
+    found = Phrases()
+    found.add(text.encode(), {})
+    return low_bytes(least(hashed(found.codes())))
 
 
 def edited(text: str, following: str) -> tuple[str, int]:
@@ -83,17 +152,14 @@ def edited(text: str, following: str) -> tuple[str, int]:
     return text[: len(text) - half] + following[:half], len(text) - half
 
 
-def both_fingerprints(text: str, other: str, common: int) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprints of two texts that share their first ``common`` characters, parsed once."""
-    head = text[:common].encode()
-    known: set[bytes] = set()
-    first, at = parse(head, 0, known)
-    so_far = minima(first)
-    out = []
-    for whole, dictionary in ((text, known.copy()), (other, known)):
-        new, _ = parse(whole.encode(), at, dictionary)
-        out.append(low_bytes(minima(new, so_far)))
-    return out[0], out[1]
+def add_both(found: Phrases, text: str, other: str, common: int) -> tuple[slice, slice, slice]:
+    """The phrases of two texts: those of their first ``common`` characters, parsed once, and those of the rest of each."""
+    tree: dict[int, int] = {}
+    at, head = found.add(text[:common].encode(), tree)
+    again = tree.copy()
+    _, one = found.add(text[common:].encode(), tree, at)
+    _, two = found.add(other[common:].encode(), again, at)
+    return head, one, two
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -129,37 +195,48 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, int | None, str]]:
         for batch in batches:
-            for k in range(len(batch)):
-                yield tuple(batch.column(c)[k].as_py() for c in range(4))
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, waiting = [], None
+        made, found, pending, before = [], Phrases(), [], None
 
         def finish(following: str) -> tuple:
-            """The row of the document that waits, now that the next is known; its likeness to that one comes later."""
+            """What is known of the document that waits, now that the next is known, and its phrases."""
             doc_id, text = waiting
             changed, common = edited(text, following)
-            one, two = both_fingerprints(text, changed, common)
-            return doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), one, two
+            return (doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest()), add_both(found, text, changed, common)
+
+        def hash_pending() -> None:
+            """Make rows of the documents parsed so far; the last one's waits for its likeness to the next."""
+            nonlocal found, before
+            values = hashed(found.codes())
+            for known, (head, one, two) in pending:
+                shared = least(values[head])
+                own = low_bytes(least(values[one], shared))
+                if before is not None:
+                    made.append((*before, likeness(before[3], own)))
+                before = None if known is None else (*known, own, low_bytes(least(values[two], shared)))
+            found = Phrases()
+            pending.clear()
 
-        bucket, before, done = None, None, False
+        bucket, waiting, done = None, None, False
         for now, guest, doc_id, text in rows(batches):
             if now != bucket:
-                bucket, before, waiting, done = now, None, None, False
+                bucket, waiting, done = now, None, False
             if done:
                 continue  # one guest is enough
             if waiting is not None:
-                row = finish(text)
-                if before is not None:
-                    made.append((*before, likeness(before[3], row[3])))
-                before = row
+                pending.append(finish(text))
             waiting = (doc_id, text)
-            if guest:
-                made.append((*before, likeness(before[3], fingerprint(text))))
+            if guest:  # it ends the bucket: its own row is made where it is at home
+                pending.append((None, add_both(found, text, text, len(text))))
                 done = True
+            if found.count >= PHRASES_AT_ONCE or len(pending) >= 1000:
+                hash_pending()
             if len(made) >= 1000:
                 yield batch_of(made)
                 made = []
+        hash_pending()
         if made:
             yield batch_of(made)
 
